@@ -146,7 +146,7 @@ def estimates(stats: DataFrame) -> DataFrame:
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.n.sum() < MIN_GROUP:
-            return pd.DataFrame({"lang": [], "source": [], "mean": [], "precision": []})
+            return pd.DataFrame({"lang": [], "source": [], "mean": [], "precision": []}, dtype=object)
         pdf = pdf.sort_values([f"q{k}" for k in range(P)])
         products = np.empty((len(pdf), P, P))
         for i, j in pairs:
