@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, quality_classifier, quality_rules, simhash_dedup, toxicity
+from lectern.llm import byte_bpe, decontamination, quality_classifier, quality_rules, simhash_dedup, toxicity
 from lectern.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.classify(docs, docs, table(spark, sf_dir, "labels"))
@@ -37,6 +41,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_dedup, op4_quality_rules, op6_quality_classifier, op8_toxicity, op9_byte_bpe)
+    f.__name__: f for f in (op3_simhash_dedup, op4_quality_rules, op5_decontamination, op6_quality_classifier, op8_toxicity, op9_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {}
