@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, decontamination, quality_classifier, quality_rules, simhash_dedup, toxicity
+from lectern.llm import byte_bpe, decontamination, quality_classifier, quality_rules, simhash_dedup, token_files, toxicity, url_filter
 from lectern.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, docs, table(spark, sf_dir, "labels"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(token_files.VOCABULARY))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.classify(docs, docs, table(spark, sf_dir, "labels"))
@@ -40,7 +44,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(byte_bpe.VOCABULARY))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_dedup, op4_quality_rules, op5_decontamination, op6_quality_classifier, op8_toxicity, op9_byte_bpe)
+    f.__name__: f for f in (op3_simhash_dedup, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_token_files, op8_toxicity, op9_byte_bpe, op10_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {}
