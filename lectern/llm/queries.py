@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, decontamination, license_scan, quality_classifier, quality_rules, simhash_dedup, token_files, toxicity, url_filter
+from lectern.llm import byte_bpe, decontamination, html_text, license_scan, quality_classifier, quality_rules, simhash_dedup, token_files, toxicity, url_filter
 from lectern.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,6 +57,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_simhash_dedup, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_token_files, op8_toxicity, op9_byte_bpe, op10_url_filter)
+    f.__name__: f for f in (op1_license_scan, op2_html_text, op3_simhash_dedup, op4_quality_rules, op5_decontamination, op6_quality_classifier, op7_token_files, op8_toxicity, op9_byte_bpe, op10_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {}
