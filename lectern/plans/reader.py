@@ -391,7 +391,9 @@ class Blocks:
             found = None
             if c in "`$\\<[!@^*_~hw":
                 found = self.inline(text, k, at)
-            if found:
+            if found and found[0].kind == "text":  # marks that mean nothing here
+                k = found[1]
+            elif found:
                 node, end = found
                 flush(k)
                 node.start, node.end = place(k, end)
