@@ -3,7 +3,7 @@
 Blocks: frontmatter, ATX and setext headings, paragraphs, fenced and indented code, block quotes, bullet and ordered
 lists (also fancy and example markers), pipe tables, thematic breaks, fenced divs, HTML blocks, TeX environments,
 template tags on a line of their own, footnote and link definitions. Neither a list, a heading nor a quote interrupts
-a paragraph; a fence, a div fence and a tag line do. Inlines: code, math, links, images, autolinks, bare URLs,
+a paragraph (but a list does in a list item); a fence, a div fence and a tag line do. Inlines: code, math, links, images, autolinks, bare URLs,
 wikilinks, citations, footnotes, spans with attributes, emphasis, strong, strikeout, raw TeX and HTML, hard breaks.
 
 A node has the range of its source, ``start`` and ``end`` in characters, and a row number; rows are in pre-order. What
@@ -108,14 +108,14 @@ class Blocks:
         self.source = source
         self.messages: list[Node] = []
 
-    def parse(self, lines: list[Line], tight: bool = False) -> list[Node]:
+    def parse(self, lines: list[Line], tight: bool = False, in_item: bool = False) -> list[Node]:
         out: list[Node] = []
         k = 0
         while k < len(lines):
             if blank(lines[k]):
                 k += 1
                 continue
-            node, n = self.block(lines, k, tight)
+            node, n = self.block(lines, k, tight, in_item)
             out.append(node)
             k += n
         return out
@@ -123,13 +123,13 @@ class Blocks:
     def message(self, start: int, what: str) -> None:
         self.messages.append(Node("message", start, start, info=what))
 
-    def block(self, lines: list[Line], k: int, tight: bool) -> tuple[Node, int]:
+    def block(self, lines: list[Line], k: int, tight: bool, in_item: bool) -> tuple[Node, int]:
         line = lines[k].text
         for reader in (self.fence, self.div, self.heading, self.rule, self.quote, self.note, self.items, self.definition, self.code, self.html, self.tex, self.tag, self.table):
             found = reader(lines, k, line)
             if found:
                 return found
-        return self.paragraph(lines, k, tight)
+        return self.paragraph(lines, k, tight, in_item)
 
     @staticmethod
     def end_of(line: Line) -> int:
@@ -281,7 +281,7 @@ class Blocks:
             loose |= any(not y.text for y in body)
         for body, (x, mark) in zip(items, starts):
             last = body[-1] if body else x
-            item = Node("item", x.start, self.end_of(last), info=mark, children=self.parse(body, tight=not loose))
+            item = Node("item", x.start, self.end_of(last), info=mark, children=self.parse(body, not loose, True))
             task = re.match(r"\[([ xX])\]\s", body[0].text) if body else None
             item.classes = ["task"] if task else []
             made.append(item)
@@ -353,9 +353,9 @@ class Blocks:
             return True
         return bool(DIV.match(line.text)) or bool(self.tag([line], 0, line.text))
 
-    def paragraph(self, lines: list[Line], k: int, tight: bool) -> tuple[Node, int]:
+    def paragraph(self, lines: list[Line], k: int, tight: bool, in_item: bool) -> tuple[Node, int]:
         j = k + 1
-        while j < len(lines) and not blank(lines[j]) and not self.interrupts(lines[j]):
+        while j < len(lines) and not blank(lines[j]) and not self.interrupts(lines[j]) and not (in_item and self.marker(lines[j].text)):
             j += 1
         chars, at = [], []
         for n, x in enumerate(lines[k:j]):
