@@ -125,8 +125,12 @@ def suggestion(title: Column, replacement: Column) -> Column:
     return F.struct(title.cast("string").alias("title"), replacement.cast("string").alias("replacement"))
 
 
-NO_FIX = F.lit(None).cast("struct<title:string,replacement:string>")
-NO_SUGGESTIONS = F.array().cast("array<struct<title:string,replacement:string>>")
+def no_fix() -> Column:
+    return F.lit(None).cast("struct<title:string,replacement:string>")
+
+
+def no_suggestions() -> Column:
+    return F.array().cast("array<struct<title:string,replacement:string>>")
 
 
 def finding(rule: str, message: Column | str, start: Column | None = None, end: Column | None = None, suggestions: Column | None = None, fix: Column | None = None, data: dict[str, Column] | None = None) -> Column:
@@ -139,8 +143,8 @@ def finding(rule: str, message: Column | str, start: Column | None = None, end:
         message.alias("message"),
         (F.col("start") if start is None else start).cast("int").alias("start"),
         (F.col("end") if end is None else end).cast("int").alias("end"),
-        (NO_SUGGESTIONS if suggestions is None else suggestions).alias("suggestions"),
-        (NO_FIX if fix is None else fix).alias("fix"),
+        (no_suggestions() if suggestions is None else suggestions).alias("suggestions"),
+        (no_fix() if fix is None else fix).alias("fix"),
         (F.create_map(*pairs) if pairs else F.lit(None)).cast("map<string,string>").alias("data"),
     )
 
@@ -155,10 +159,10 @@ def emit_matches(rows: DataFrame, matches: Column, message: Column | str = "", b
     """Findings of a column of array<struct<rule,start,end,message,replacement>>, offsets from ``base``."""
     each = rows.select("doc_id", (F.lit(0) if base is None else base).alias("_base"), F.explode(matches).alias("m"))
     text = F.col("m.message") if message == "" else message
-    fix = F.when(F.col("m.replacement").isNotNull(), suggestion(F.concat(F.lit("Write "), F.col("m.replacement")), F.col("m.replacement"))).otherwise(NO_FIX)
+    fix = F.when(F.col("m.replacement").isNotNull(), suggestion(F.concat(F.lit("Write "), F.col("m.replacement")), F.col("m.replacement"))).otherwise(no_fix())
     found = F.struct(
         F.col("m.rule").alias("rule"), F.lit(None).cast("string").alias("severity"), text.alias("message"), (F.col("_base") + F.col("m.start")).cast("int").alias("start"),
-        (F.col("_base") + F.col("m.end")).cast("int").alias("end"), NO_SUGGESTIONS.alias("suggestions"), fix.alias("fix"), F.lit(None).cast("map<string,string>").alias("data"),
+        (F.col("_base") + F.col("m.end")).cast("int").alias("end"), no_suggestions().alias("suggestions"), fix.alias("fix"), F.lit(None).cast("map<string,string>").alias("data"),
     )
     return each.select("doc_id", F.inline(F.array(found)))
 

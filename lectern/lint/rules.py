@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.lint import prose, tex
-from lectern.lint.registry import FINDING, NO_FIX, REGISTRY, Context, emit, emit_matches, finding, suggestion
+from lectern.lint.registry import FINDING, REGISTRY, Context, emit, emit_matches, finding, no_fix, suggestion
 from lectern.operators.similar import package_closure, similar_names
 from lectern.plans.model import Model, not_within
 
-TEXT = F.col("text")
 #: Folders that TeX searches; more is an error.
 MAX_ROOTS = 100
 
@@ -40,7 +39,7 @@ NON_DESCRIPTIVE = ("click here", "here", "link", "this link", "more", "read more
     ("link/non-descriptive-text", "warning", "A link's text says where it leads"),
 )
 def links(model: Model, context: Context) -> DataFrame:
-    shown = F.trim(F.coalesce(TEXT, F.lit("")))
+    shown = F.trim(F.coalesce(F.col("text"), F.lit("")))
     return emit(
         model.of("link", "image"),
         ((F.col("kind") == "image") & (shown == ""), finding("accessibility/image-alt", "the image has no text")),
@@ -68,8 +67,8 @@ def code(model: Model, context: Context) -> DataFrame:
         ),
     )
     fenced = model.lines.join(rows.select("doc_id", F.col("start").alias("f0"), F.col("end").alias("f1")), "doc_id").where("start > f0 AND end < f1")
-    at = F.col("start") + F.locate("\t", TEXT) - 1
-    return local.unionByName(emit(fenced, (F.locate("\t", TEXT) > 0, finding("code/hard-tab", "a tab in code", at, at + 1))))
+    at = F.col("start") + F.locate("\t", F.col("text")) - 1
+    return local.unionByName(emit(fenced, (F.locate("\t", F.col("text")) > 0, finding("code/hard-tab", "a tab in code", at, at + 1))))
 
 
 @REGISTRY.group(
@@ -82,7 +81,7 @@ def code(model: Model, context: Context) -> DataFrame:
 )
 def headings(model: Model, context: Context) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("start")
-    title = F.lower(F.trim(TEXT))
+    title = F.lower(F.trim(F.col("text")))
     same = Window.partitionBy("doc_id", title).orderBy("start")
     rows = model.headings.select(
         "*",
@@ -93,10 +92,10 @@ def headings(model: Model, context: Context) -> DataFrame:
     )
     return emit(
         rows,
-        ((F.col("nth") > 1) & (title != ""), finding("heading/duplicate", F.concat(F.lit("the title `"), TEXT, F.lit("` stands above already")), data={"first_start": F.col("first_at")})),
+        ((F.col("nth") > 1) & (title != ""), finding("heading/duplicate", F.concat(F.lit("the title `"), F.col("text"), F.lit("` stands above already")), data={"first_start": F.col("first_at")})),
         (F.col("level") > F.col("before") + 1, finding("heading/increment", F.concat(F.lit("level "), F.col("level"), F.lit(" after level "), F.col("before")))),
         ((F.col("level") == 1) & (F.col("h1") > 1), finding("heading/multiple-h1", "another first-level heading")),
-        (F.trim(TEXT).rlike(r"[.,;:!?]$"), finding("style/heading-punctuation", "the title ends with a mark")),
+        (F.trim(F.col("text")).rlike(r"[.,;:!?]$"), finding("style/heading-punctuation", "the title ends with a mark")),
         (F.col("div_depth") > 0, finding("structure/heading-in-fenced-div", "a heading inside of a div")),
     )
 
@@ -148,8 +147,8 @@ def statement(model: Model, context: Context) -> DataFrame:
     classes = F.coalesce("classes", F.array().cast("array<string>"))
     outer = model.divs.where(F.arrays_overlap(classes, F.array(*map(F.lit, STATEMENTS)))).select("doc_id", F.col("start").alias("s0"), F.col("end").alias("s1"))
     inner = model.divs.where(F.arrays_overlap(classes, F.array(*map(F.lit, (*PROOFS, "example"))))).select("doc_id", "start", "end")
-    raw = model.of("raw_block").where(TEXT.rlike(r"\\begin\{(?:proof|example|solution)\}")).select("doc_id", "start", "end")
-    said = model.of("para", "plain").where(TEXT.rlike(r"^Proof\b")).select("doc_id", "start", "end")
+    raw = model.of("raw_block").where(F.col("text").rlike(r"\\begin\{(?:proof|example|solution)\}")).select("doc_id", "start", "end")
+    said = model.of("para", "plain").where(F.col("text").rlike(r"^Proof\b")).select("doc_id", "start", "end")
     within = union(inner, raw, said).join(outer, "doc_id").where("start > s0 AND end <= s1").select("doc_id", "start", "end").distinct()
     return emit(within, (F.lit(True), finding("structure/statement-boundary", "a proof or example inside of a statement")))
 
@@ -206,10 +205,10 @@ def file_path(model: Model, context: Context) -> DataFrame:
     """Inline code, outside of links, that names a file: a rooted path, a path with an ending, or a name with one
     of the endings of context table endings (ending); without that table a few common ones."""
     common = ("md", "txt", "pdf", "png", "jpg", "svg", "html", "css", "js", "json", "csv", "xml", "py", "c", "h", "tex", "bib", "zip", "gz")
-    names = F.regexp_extract(TEXT, r"^[\w.-]+\.([A-Za-z][A-Za-z0-9]{0,7})$", 1)
-    rooted = TEXT.rlike(r"^(?:~|\.{1,3}|…)?/[\w.~-][^\s]*$")
-    with_ending = TEXT.rlike(r"^[^\s`]*/[^\s`]*\.[A-Za-z][A-Za-z0-9]{0,7}$") & ~TEXT.rlike(r"^[a-z]+://")
-    return emit(model.of("code").where("NOT in_link"), (rooted | with_ending | F.lower(names).isin(*common), finding("link/file-path", F.concat(F.lit("`"), TEXT, F.lit("` names a file; link to it")))))
+    names = F.regexp_extract(F.col("text"), r"^[\w.-]+\.([A-Za-z][A-Za-z0-9]{0,7})$", 1)
+    rooted = F.col("text").rlike(r"^(?:~|\.{1,3}|…)?/[\w.~-][^\s]*$")
+    with_ending = F.col("text").rlike(r"^[^\s`]*/[^\s`]*\.[A-Za-z][A-Za-z0-9]{0,7}$") & ~F.col("text").rlike(r"^[a-z]+://")
+    return emit(model.of("code").where("NOT in_link"), (rooted | with_ending | F.lower(names).isin(*common), finding("link/file-path", F.concat(F.lit("`"), F.col("text"), F.lit("` names a file; link to it")))))
 
 
 @REGISTRY.group(
@@ -226,14 +225,14 @@ def formulas(model: Model, context: Context) -> DataFrame:
     rows = model.math
     scanned = emit_matches(rows, tex.formula_column("text"), base=F.col("tex_start"))
     complex_tex = r"&|\\\\|\\begin\{|\\(?:tag|label|notag|nonumber)\b|\\(?:sum|prod|coprod|int|iint|iiint|iiiint|oint|bigcup|bigcap|bigoplus|bigotimes|bigsqcup|lim|limsup|liminf)(?![A-Za-z@])"
-    arrows = F.size(F.regexp_extract_all(TEXT, F.lit(prose.ARROW), F.lit(0)))
+    arrows = F.size(F.regexp_extract_all(F.col("text"), F.lit(prose.ARROW), F.lit(0)))
     parents = model.of("para", "plain").select("doc_id", F.col("node_id").alias("parent_id"), F.col("start").alias("p0"), F.col("end").alias("p1"), F.col("text").alias("around"))
     placed = rows.join(parents, ["doc_id", "parent_id"], "left")
     alone = (F.col("start") <= F.col("p0")) & (F.col("end") >= F.col("p1") - 1)
-    sequence = (arrows >= 2) & (TEXT.rlike(r"^\s*0\b|\b0\s*$") | F.coalesce(F.lower("around").contains("exact sequence"), F.lit(False)))
+    sequence = (arrows >= 2) & (F.col("text").rlike(r"^\s*0\b|\b0\s*$") | F.coalesce(F.lower("around").contains("exact sequence"), F.lit(False)))
     local = emit(
         placed,
-        ((F.col("info") == "display") & alone & (F.length(F.trim(TEXT)) <= 60) & ~TEXT.rlike(complex_tex) & ~sequence, finding("math/display-economy", "a short formula alone in display")),
+        ((F.col("info") == "display") & alone & (F.length(F.trim(F.col("text"))) <= 60) & ~F.col("text").rlike(complex_tex) & ~sequence, finding("math/display-economy", "a short formula alone in display")),
         ((F.col("info") == "inline") & sequence, finding("math/structural-sequence-display", "an exact sequence in the line")),
     )
     return scanned.unionByName(local)
@@ -252,7 +251,7 @@ def formulas(model: Model, context: Context) -> DataFrame:
 def prose_rules(model: Model, context: Context) -> DataFrame:
     found = emit_matches(model.of("text"), prose.prose_column("text"), base=F.col("start"))
     raw = emit_matches(model.of("raw_inline", "raw_block").where("info = 'tex'"), prose.raw_tex_column("text"), base=F.col("start"))
-    outside = emit(model.of("raw_inline").where("info = 'tex'"), (~TEXT.rlike(r"^\\(?:todo|begin|end|input|include|includegraphics|cite|ref|label)\b"), finding("math/outside-math-mode", F.concat(F.lit("`"), TEXT, F.lit("` is TeX outside of math")))))
+    outside = emit(model.of("raw_inline").where("info = 'tex'"), (~F.col("text").rlike(r"^\\(?:todo|begin|end|input|include|includegraphics|cite|ref|label)\b"), finding("math/outside-math-mode", F.concat(F.lit("`"), F.col("text"), F.lit("` is TeX outside of math")))))
     free = found.where("rule NOT IN ('prose/untyped-vague-claim', 'prose/untyped-map-reference')")
     # claims: no formula in the clause; maps: no typed arrow within 240 characters in the paragraph
     formulas_ = model.math.select("doc_id", F.col("start").alias("m0"), F.col("end").alias("m1"), F.col("text").rlike(prose.ARROW).alias("typed"))
@@ -328,10 +327,10 @@ def paragraphs(model: Model, context: Context) -> DataFrame:
     children = model.nodes.where("parent_id IS NOT NULL").select("doc_id", "parent_id", "node_id", "kind", "text", "start", "end", F.lead("text").over(first).alias("next"), F.row_number().over(first).alias("nth")).where("nth = 1")
     paras = model.of("para").select("doc_id", F.col("node_id").alias("parent_id"), F.col("text").alias("whole"), F.col("start").alias("p0"))
     rows = children.join(paras, ["doc_id", "parent_id"])
-    run_in = (F.col("kind") == "strong") & (F.size(F.split(F.trim(TEXT), r"\s+")) <= 12) & (TEXT.rlike(r"[.:]$") | F.coalesce(F.col("next").rlike(r"^\s*[.:]"), F.lit(False)))
+    run_in = (F.col("kind") == "strong") & (F.size(F.split(F.trim(F.col("text")), r"\s+")) <= 12) & (F.col("text").rlike(r"[.:]$") | F.coalesce(F.col("next").rlike(r"^\s*[.:]"), F.lit(False)))
     return emit(
         rows,
-        (run_in, finding("structure/bold-label", F.concat(F.lit("`"), TEXT, F.lit("` is a label by its type only")))),
+        (run_in, finding("structure/bold-label", F.concat(F.lit("`"), F.col("text"), F.lit("` is a label by its type only")))),
         (F.col("whole").rlike(r"^[a-z_][A-Za-z0-9_-]*:(?:\s|$)") & (F.col("start") == F.col("p0")), finding("structure/yaml-in-body", "a key of metadata opens a paragraph")),
     )
 
@@ -342,8 +341,8 @@ def paragraphs(model: Model, context: Context) -> DataFrame:
     ("table/caption-id-on-caption", "info", "A table's identifier stands on the table"),
 )
 def tables(model: Model, context: Context) -> DataFrame:
-    cells = emit(model.of("dropped_cell"), (F.trim(F.coalesce(TEXT, F.lit(""))) != "", finding("table/dropped-cells", F.concat(F.lit("`"), TEXT, F.lit("` is outside of every column")))))
-    captions = emit(model.lines, (TEXT.rlike(r"^[ \t]{0,3}:[ \t]+\S.*?[ \t]+\{#tbl[:\-][^\s{}]+\}[ \t]*$"), finding("table/caption-id-on-caption", "the identifier stands on the caption")))
+    cells = emit(model.of("dropped_cell"), (F.trim(F.coalesce(F.col("text"), F.lit(""))) != "", finding("table/dropped-cells", F.concat(F.lit("`"), F.col("text"), F.lit("` is outside of every column")))))
+    captions = emit(model.lines, (F.col("text").rlike(r"^[ \t]{0,3}:[ \t]+\S.*?[ \t]+\{#tbl[:\-][^\s{}]+\}[ \t]*$"), finding("table/caption-id-on-caption", "the identifier stands on the caption")))
     return cells.unionByName(captions)
 
 
@@ -451,7 +450,7 @@ def macro_rules(model: Model, context: Context) -> DataFrame:
     rows = model.math.select("doc_id", "tex_start", F.explode(column("text")).alias("u")).select("doc_id", "tex_start", "u.*")
     start, end = F.col("tex_start") + F.col("start"), F.col("tex_start") + F.col("end")
     better = F.when((F.col("replacement") != "") & (F.col("rule") != "tex/macro-arity"), F.array(suggestion(F.lit("Use the macro"), F.col("replacement")))).otherwise(F.array().cast("array<struct<title:string,replacement:string>>"))
-    fix = F.when((F.col("rule") == "math/house-delimiter-macro") & (F.col("replacement") != ""), suggestion(F.lit("Use the macro"), F.col("replacement"))).otherwise(NO_FIX)
+    fix = F.when((F.col("rule") == "math/house-delimiter-macro") & (F.col("replacement") != ""), suggestion(F.lit("Use the macro"), F.col("replacement"))).otherwise(no_fix())
     said = F.when(F.col("rule") == "tex/macro-arity", F.concat(F.lit("`\\"), F.col("name"), F.lit("` has "), F.col("replacement"), F.lit(" arguments"))).otherwise(F.concat(F.lit("a macro stands for this: "), F.col("name")))
     made = rows.select("doc_id", "rule", finding("", said, start, end, better, fix, {"macros": F.col("name")}).alias("f"))
     return made.select("doc_id", "rule", *[F.col(f"f.{c}") for c in ("severity", "message", "start", "end", "suggestions", "fix", "data")])
@@ -510,7 +509,7 @@ def citations(model: Model, context: Context) -> DataFrame:
     groups = rows.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.max("crosses").alias("any"), F.min("crosses").alias("all"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "crosses", "key"))), lambda x: F.when(x["crosses"], F.concat(F.lit("@"), x["key"])).otherwise(F.concat(F.lit("[@"), x["key"], F.lit("]")))), " ").alias("apart"))
     plain = F.col("text").rlike(r"^\s*@[\w:.-]+(?:\s*;\s*@[\w:.-]+)*\s*$")
     mixed = model.of("cite_group").join(groups, ["doc_id", "node_id"]).where("any AND NOT all")
-    fix = F.when(plain, suggestion(F.lit("Set them apart"), F.col("apart"))).otherwise(NO_FIX)
+    fix = F.when(plain, suggestion(F.lit("Set them apart"), F.col("apart"))).otherwise(no_fix())
     found = emit(mixed, (F.lit(True), finding("citation/mixed-reference-types", "cross-references and citations in one group", fix=fix)))
     if "bibliography" not in context.tables:
         return found
@@ -529,7 +528,7 @@ def wikilinks(model: Model, context: Context) -> DataFrame:
     if "wikilinks" not in context.tables:
         return nothing(model)
     rows = model.of("wikilink").withColumn("name", F.regexp_replace("url", r"#.*$", "")).join(context.tables["wikilinks"], "name")
-    label = F.when(TEXT == F.col("url"), F.lit("")).otherwise(F.concat(F.lit("|"), TEXT))
+    label = F.when(F.col("text") == F.col("url"), F.lit("")).otherwise(F.concat(F.lit("|"), F.col("text")))
     written = lambda c: F.concat(F.lit("[["), c, label, F.lit("]]"))
     choices = F.transform(F.coalesce("candidates", F.array().cast("array<string>")), lambda c: suggestion(F.concat(F.lit("Link "), c), written(c)))
     return emit(

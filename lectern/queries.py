@@ -209,7 +209,7 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {MD}, x AS (SELECT doc_id, text, CASE WHEN text LIKE '---%' THEN instr(substr(text, 4), '---') + 6 ELSE 0 END AS n FROM md) "
+    f"WITH {MD}, x AS (SELECT doc_id, text, CASE WHEN text LIKE '---%' THEN instr(substr(text, 4), '---') + 5 ELSE 0 END AS n FROM md) "
     "SELECT doc_id, CASE WHEN n > 0 THEN left(text, n) || chr(10) ELSE '' END AS frontmatter, CASE WHEN n > 0 THEN rtrim(substr(text, n + 2), chr(10)) ELSE rtrim(text, chr(10)) END AS body FROM x"
 )
 def frontmatter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,7 +465,7 @@ def quote_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def format_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents are formatted, and how many refused."""
     made = formatter.reformat_documents(markdown_documents(spark, sf_dir), formatter.AUTO)
-    return made.groupBy("status").agg(F.count("*").alias("n"))
+    return made.groupBy(F.when(F.col("status") == "refused", "refused").otherwise("ok").alias("status")).agg(F.count("*").alias("n"))
 
 
 @query()
