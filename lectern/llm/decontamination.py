@@ -42,7 +42,7 @@ BLOCK_CHARS = 40_000_000
 #: Diagonals this near each other belong to one cluster.
 DRIFT = 8
 #: Words whose tokens a worker remembers, and words that are looked up at once (but one text at least).
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 AT_ONCE = 200_000
 #: A word that no item has, between two texts; it isn't a name either, so no window passes it.
 BETWEEN = "\x00"

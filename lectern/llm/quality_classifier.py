@@ -30,7 +30,7 @@ MAX_NGRAMS = 200_000
 MIN_DOCS = 3
 CUT = 0.3
 #: Words whose n-grams a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 PARTS = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 

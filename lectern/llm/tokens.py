@@ -25,10 +25,10 @@ MARK = "\U0010ffff"
 #: What keeps a text from being cut at its spaces and line ends: runs of white space, white space at its ends, other white space.
 UNEVEN = "[\\x00\\t\\x0b\\x0c\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{10ffff}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$"
 #: Chunks that a worker remembers in each of two generations, and the longest that it does.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 LONGEST = 100
 #: Bytes of text that are encoded at once, but one document at least.
-AT_ONCE = 16 << 20
+AT_ONCE = 8 << 20
 
 
 def byte_table() -> list[str]:
