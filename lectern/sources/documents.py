@@ -92,12 +92,22 @@ def files(spark: SparkSession, root: str, discovery: Discovery = Discovery(), ig
     return found.where(keep).dropDuplicates(["path"]).orderBy("path")
 
 
+def glob_regex(path: str) -> str:
+    """A Hadoop glob as a regular expression over paths without their scheme."""
+    signs = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}
+    depth, out = 0, []
+    for c in re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", path):
+        depth += (c == "{") - (c == "}")
+        out.append(signs[c] if c in signs and (c != "," or depth) else c if c in "[]" else re.escape(c))
+    return "^" + "".join(out) + "$"
+
+
 def named_files(spark: SparkSession, paths: list[str], discovery: Discovery = Discovery()) -> DataFrame:
     """path, size, below: files named one by one, or by Hadoop globs. Named files pass the exclusions unless
     ``force_exclude``; the limit on size holds. A path that isn't there is an error."""
     found = spark.read.format("binaryFile").load(paths).select(F.col("path"), F.col("length").alias("size"), F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "").alias("below"))
     globs = any(re.search(r"[*?\[{]", p) for p in paths)
-    keep = F.lit(True)
+    keep = F.concat(F.lit("/"), "below").rlike("|".join(map(glob_regex, paths)))  # not what lies in folders that fit
     if discovery.force_exclude:
         keep &= ~ignored(F.col("below"), [*discovery.exclude, *discovery.extra])
     if globs:
