@@ -67,7 +67,9 @@ class Model:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._kept("nodes", reader.nodes(self.documents))
+        found = reader.nodes(self.documents)
+        # sorted by kind without a shuffle: each rule's scan then skips the pages of other kinds
+        return self._kept("nodes", found.sortWithinPartitions("kind") if self.stored else found)
 
     def of(self, *kinds: str) -> DataFrame:
         return self.nodes.where(F.col("kind").isin(*kinds))
