@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import mapped
 from lectern.llm.tokens import CHUNK, Encoder, Strings, byte_table, rank_tokenizer, read_ranks, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -48,7 +49,7 @@ def encode_batches(docs: DataFrame, path: str) -> DataFrame:
                 ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, "doc_id long, ids array<int>")
 
 
 def decode_batches(encoded: DataFrame, path: str) -> DataFrame:
@@ -60,7 +61,7 @@ def decode_batches(encoded: DataFrame, path: str) -> DataFrame:
             out = [pieces.joined(np.array(ids.as_py() or (), np.int64)) for ids in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())], ["doc_id", "decoded", "decoded_text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded binary, decoded_text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").transform(mapped, run, "doc_id long, decoded binary, decoded_text string")
 
 
 def offsets(text: str, path: str) -> list[tuple[int, int, int]]:
@@ -95,4 +96,4 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, schema)

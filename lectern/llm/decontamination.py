@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import mapped
+
 WINDOW = 5
 LITERALS = 2
 CONTAINED = 0.8
@@ -264,7 +266,7 @@ def contaminated_by(docs: DataFrame, table: Table) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
@@ -285,5 +287,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHARS)
                 clean[[k for k in suspects(texts, table, codes) if contaminations(texts[k], table, codes)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(mapped, run, docs.schema)
     return docs

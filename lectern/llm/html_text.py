@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import mapped
+
 PATH_DIM, WORD_DIM, FIGURES = 128, 32, 8
 INPUT = PATH_DIM + WORD_DIM + FIGURES
 HIDDEN = 16
@@ -352,4 +354,4 @@ def extract(pages: DataFrame, w: Weights | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.transform(mapped, run, "page_id long, url string, text string, n_chars long")

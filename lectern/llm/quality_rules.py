@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, without_ids
+from lectern.llm.common import cut, mapped, without_ids
 
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 MIN_WORDS = 50
@@ -69,7 +69,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             got = np.array([measure(t.as_py()) for t in b.column(3)], np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, got.T.copy())], [x.split()[0] for x in STATS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, STATS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")).transform(mapped, run, STATS)
 
 
 def base_failed() -> Column:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, mapped
 
 RADIUS = 3
 BUCKET = 4096
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([simhash(t.as_py()) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(mapped, run, "doc_id long, fp long")
 
 
 def covering(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -152,7 +152,7 @@ def bucket_links(keyed: DataFrame, radius: int, most: int) -> DataFrame:
                 yield emit(links)
         yield from close()
 
-    return keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "a long, b long, over int")
+    return keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").transform(mapped, run, "a long, b long, over int")
 
 
 def keys(nodes: DataFrame, masks: list[int]) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shared_folder
+from lectern.llm.common import mapped, shared_folder
 from lectern.llm.tokens import Encoder, json_tokenizer, slices
 
 MAGIC = b"LECTOKEN"
@@ -171,7 +171,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = ("doc_id", F.xxhash64("text"))  # the hash: rows without an id, or with a common one, fill several shards
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(run, MANIFEST)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").transform(mapped, run, MANIFEST)
 
 
 class Shard:
@@ -228,7 +228,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + ROWS], pa.int64()), pa.array(e[:-1] + base), pa.array(np.diff(e)), pa.array(crc, pa.int64())], names)
 
     rows = spark.createDataFrame(files, "shard int, name string, base long").repartition(max(1, len(files)))
-    return rows.select("name", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("name", "base").transform(mapped, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:

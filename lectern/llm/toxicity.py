@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fold, training_rows
+from lectern.llm.common import fold, mapped, training_rows
 
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 16
@@ -174,7 +174,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 out += [score(t, logits) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
