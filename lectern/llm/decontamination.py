@@ -132,6 +132,7 @@ class Table:
     hashes: np.ndarray  # ascending, with the item and the position of each
     item: np.ndarray
     position: np.ndarray
+    least: np.ndarray  # windows that an item must have in a text to be contained, or to have a run
     seen: np.ndarray  # by a hash's first bits, whether the table has one of those
 
 
@@ -154,7 +155,7 @@ def build(items: list[tuple[int | None, str]]) -> Table:
     order = np.argsort(h, kind="stable")
     seen = np.zeros(1 << 20, bool)
     seen[h >> np.uint64(44)] = True
-    return Table(codes.numbers, ids, words, spans, n_windows, h[order], (np.concatenate(owner) if hashes else np.zeros(0, int))[order], (np.concatenate(position) if hashes else np.zeros(0, int))[order], seen)
+    return Table(codes.numbers, ids, words, spans, n_windows, h[order], (np.concatenate(owner) if hashes else np.zeros(0, int))[order], (np.concatenate(position) if hashes else np.zeros(0, int))[order], np.minimum(CONTAINED * np.array(n_windows), RUN_WORDS - WINDOW + 1), seen)
 
 
 def filler(words: list[str], last: int) -> str:
@@ -197,6 +198,19 @@ def judge(words: list[str], span: tuple, item_words: list[str], item_span: tuple
     return best
 
 
+def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each low to its high, one after the other, and how many each has."""
+    n = high - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
+def stretches(n: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Where to cut a sequence so that each piece's sum is about ``most`` at most."""
+    part = (np.cumsum(n) - n) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+    return ((s, e) for s, e in zip(edges, edges[1:]) if e > s)
+
+
 def contaminations(text: str | None, table: Table, codes: Codes) -> list[tuple]:
     """(item, found, consistency, verbatim words) for each item that ``text`` contains."""
     words = (text or "").split()
@@ -206,17 +220,26 @@ def contaminations(text: str | None, table: Table, codes: Codes) -> list[tuple]:
     if not len(hit):
         return []
     h, at = h[hit], at[hit]
+    h, which = np.unique(h, return_inverse=True)
     low, high = np.searchsorted(table.hashes, h, "left"), np.searchsorted(table.hashes, h, "right")
-    n = high - low
-    if not n.sum():
+    # how many of an item's windows the text has: only items with enough of them are looked at in detail
+    count = np.zeros(len(table.ids), np.int64)
+    for s, e in stretches(high - low):
+        count += np.bincount(table.item[ranges(low[s:e], high[s:e])[0]], minlength=len(count))
+    enough = count >= table.least
+    if not enough.any():
         return []
-    where = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-    item, q, p = table.item[where], table.position[where], np.repeat(at, n)
+    parts = []
+    for s, e in stretches((high - low)[which]):
+        where, n = ranges(low[which[s:e]], high[which[s:e]])
+        kept = enough[table.item[where]]
+        parts.append((table.item[where][kept], table.position[where][kept], np.repeat(at[s:e], n)[kept]))
+    item, q, p = (np.concatenate(x) for x in zip(*parts))
     out = []
     order = np.argsort(item, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
         i = int(item[part[0]])
-        if len(part) >= min(CONTAINED * table.n_windows[i], RUN_WORDS - WINDOW + 1):
+        if len(part) >= table.least[i]:
             got = judge(words, span, table.words[i], table.spans[i], table.n_windows[i], p[part], q[part])
             if got:
                 out.append((i, *got))
