@@ -127,6 +127,23 @@ def spell(text: str) -> str:
     return apply(text, edits)
 
 
+def drop_escapes(text: str) -> str:
+    """Backslashes before points go where the text reads the same without: all at once, else one by one."""
+    literal = [(n.start, n.end) for n, _ in walk(parsed(text)) if n.kind in (*LITERAL, "code", "math", "raw_inline")]
+    spots = [m.start() for m in re.finditer(r"(?<!\\)\\\.", text) if not within(literal, m.start())]
+    if not spots:
+        return text
+    want = gate.canonical(text)
+    every = apply(text, [(k, k + 1, "") for k in spots])
+    if gate.canonical(every) == want:
+        return every
+    for k in reversed(spots):
+        one = text[:k] + text[k + 1 :]
+        if gate.canonical(one) == want:
+            text = one
+    return text
+
+
 def blocks_in_order(text: str) -> Iterator[tuple[Node, Node]]:
     """Neighbours: blocks of one container, one after the other."""
 
@@ -281,14 +298,26 @@ ATOMS = ("code", "math", "link", "image", "autolink", "bare_url", "raw_inline",
 _ALERT = re.compile(r"\[!(note|tip|important|warning|caution)\][ \t]*(?=\n|$)", re.I)
 
 
+def around_displays(text: str, para: Node, displays: list[Node], wrapper: Wrapper, first: str, later: str) -> str:
+    """A paragraph whose displayed formulas of several lines stand on lines of their own, as they are."""
+    rows, at = [], para.start
+    for x in [*displays, None]:
+        piece = re.sub(r"\n[ \t>]*", "\n", text[at : x.start if x else para.end]).strip()
+        if piece:
+            rows.append(wrapper(piece, later if rows else first, later))
+        if x:
+            lines = text[x.start : x.end].split("\n")
+            rows.append("\n".join((first if not rows and k == 0 else later if k == 0 else "") + line for k, line in enumerate(lines)))
+            at = x.end
+    return "\n".join(rows)
+
+
 def wrap_paragraphs(text: str, wrapper: Wrapper) -> str:
     edits: list[Edit] = []
     for n, above in walk(parsed(text)):
         if n.kind not in ("para", "plain"):
             continue
         source = text[n.start : n.end]
-        if any(x.kind == "math" and x.info == "display" and "\n" in text[x.start : x.end] for x in n.children):
-            continue
         if any(x.kind in ("cell", "row") for x in above):
             continue
         begin = line_start(text, n.start)
@@ -310,7 +339,11 @@ def wrap_paragraphs(text: str, wrapper: Wrapper) -> str:
             if not body:
                 edits.append((begin, n.end, head.rstrip("\n")))
                 continue
-        new = wrapper(body, first, later).translate(_SHOW)
+        displays = [x for x in n.children if x.kind == "math" and x.info == "display" and "\n" in text[x.start : x.end]]
+        if displays:
+            new = around_displays(text, n, displays, wrapper, first, later)
+        else:
+            new = wrapper(body, first, later).translate(_SHOW)
         edits.append((begin, n.end, head + new))
     return apply(text, edits)
 
@@ -414,7 +447,7 @@ def wrapper_of(options: Options) -> Wrapper | None:
 def format_body(text: str, options: Options, wrapper: Wrapper | None = None) -> tuple[str, int]:
     """All passes over Markdown without its frontmatter; how many hyphens were closed."""
     joined = 0
-    for step in (expand_tabs, spell, space_tags, separate_lists, separate_notes, place_items):
+    for step in (expand_tabs, spell, drop_escapes, space_tags, separate_lists, separate_notes, place_items):
         text = step(text)
     if "cleanups" in options.passes:
         text, joined = join_hyphens(unbold_headings(text))

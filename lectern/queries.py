@@ -15,7 +15,7 @@ from lectern.lint.registry import REGISTRY, Context, diagnostics
 from lectern.operators import preflight, similar, wrapping
 from lectern.plans import formatter, gate
 from lectern.plans.model import Model, asof, lines, not_within
-from lectern.samples import MD, markdown_documents
+from lectern.samples import EXTRAS, MD, extra_documents, extras_oracle, markdown_documents
 from lectern.sources.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,6 +427,43 @@ def package_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.package_closure(edges, edges.select("package").distinct())
 
 
+def extra_context(spark: SparkSession) -> Context:
+    make = spark.createDataFrame
+    words = "sin cup left right to lvert rvert mathbb vee mathrm abs alpha".split()
+    return Context(
+        {
+            "files": make([("there.md",)], "path string"),
+            "vocabulary": make([("", w) for w in words], "package string, command string"),
+            "macros": make([("abs", "\\left\\lvert #1 \\right\\rvert", 1, False), ("R", "\\mathbb{R}", 0, False), ("dual", "#1^\\vee", 1, False), ("signature", "", 1, False), ("cardinality", "", 1, False)], "name string, replacement string, argument_count int, optional_first boolean"),
+        }
+    )
+
+
+def extra_query(name: str, *names: str) -> None:
+    """A query that runs some rules over the other made-up Markdown."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model = Model(extra_documents(spark, sf_dir), shared_folder(spark, "model"))
+        settings = {r: ("warning" if r in names else "off") for r in REGISTRY.rules}
+        return diagnostics(REGISTRY.run(model, settings, extra_context(spark)), model).select("doc_id", "rule", "line").distinct()
+
+    QUERIES[name], ORACLE_SQL[name] = run, extras_oracle(*names)
+
+
+def of_group(*prefixes: str) -> list[str]:
+    return sorted({r for r, *_ in EXTRAS if r.startswith(prefixes)})
+
+
+extra_query("structure_findings", *of_group("structure/"), "pandoc/duplicate-identifier", "pandoc/unclosed-fenced-div")
+extra_query("reference_findings", *of_group("reference/"), "citation/mixed-reference-types")
+extra_query("numbering_findings", "numbering/manual")
+extra_query("formula_findings", "math/bare-operator", "math/set-operation-notation", "math/repeated-superscript", "math/unclosed-group", "math/unmatched-group-close", "math/unclosed-left", "math/unmatched-right", "math/display-economy", "math/structural-sequence-display")
+extra_query("text_findings", "math/outside-math-mode", "math/unicode-symbol", *of_group("prose/"), "link/reference-format", "link/file-path", "style/no-inline-html", "tikz/environment-wrapper")
+extra_query("table_and_fence_findings", *of_group("table/"), "tikz/fence-attributes")
+extra_query("resource_findings", "link/missing-local-target", "tex/missing-resource", "tex/unknown-command")
+extra_query("macro_findings", "tex/macro-arity", "math/house-delimiter-macro", "math/user-macro-candidates", "math/script-macro-candidates", "math/manual-semantic-macro", "math/manual-cardinality")
+
+
 # Formatter ---------------------------------------------------------------------------------------------------------
 
 
