@@ -57,6 +57,12 @@ def walk(nodes, above: tuple[Node, ...] = ()) -> Iterator[tuple[Node, tuple[Node
         yield from walk(n.children, (*above, n))
 
 
+@lru_cache(maxsize=32)
+def located(text: str) -> tuple[tuple[Node, tuple[Node, ...]], ...]:
+    """All nodes of a text, each with those it stands in."""
+    return tuple(walk(parsed(text)))
+
+
 def apply(text: str, edits: list[Edit]) -> str:
     """Edits from the last to the first; one that overlaps a later one is left out."""
     limit = len(text) + 1
@@ -78,7 +84,7 @@ def line_end(text: str, at: int) -> int:
 
 def literal_ranges(text: str) -> list[tuple[int, int]]:
     kinds = (*LITERAL, "math", "code")
-    return [(n.start, n.end) for n, _ in walk(parsed(text)) if n.kind in kinds and ("\n" in text[n.start : n.end] or n.kind in LITERAL)]
+    return [(n.start, n.end) for n, _ in located(text) if n.kind in kinds and ("\n" in text[n.start : n.end] or n.kind in LITERAL)]
 
 
 def within(ranges: list[tuple[int, int]], at: int) -> bool:
@@ -106,7 +112,7 @@ def spell(text: str) -> str:
     """One spelling: stars for emphasis, collapsed references, backslashes for breaks, formulas of a line on one
     line, a space before a div's attributes."""
     edits: list[Edit] = []
-    for n, above in walk(parsed(text)):
+    for n, above in located(text):
         source = text[n.start : n.end]
         if n.kind in ("emph", "strong") and (n.info or "")[:1] == "_":
             marks = len(n.info)
@@ -129,7 +135,7 @@ def spell(text: str) -> str:
 
 def drop_escapes(text: str) -> str:
     """Backslashes before points go where the text reads the same without: all at once, else one by one."""
-    literal = [(n.start, n.end) for n, _ in walk(parsed(text)) if n.kind in (*LITERAL, "code", "math", "raw_inline")]
+    literal = [(n.start, n.end) for n, _ in located(text) if n.kind in (*LITERAL, "code", "math", "raw_inline")]
     spots = [m.start() for m in re.finditer(r"(?<!\\)\\\.", text) if not within(literal, m.start())]
     if not spots:
         return text
@@ -174,7 +180,7 @@ def space_tags(text: str) -> str:
 def separate_lists(text: str) -> str:
     """A blank line before list items that continue a paragraph: bullets, or an ordered list that begins at 1."""
     edits = []
-    for n, above in walk(parsed(text)):
+    for n, above in located(text):
         if n.kind != "para" or any(x.kind != "div" for x in above):
             continue
         at = n.start
@@ -204,7 +210,7 @@ def place_items(text: str) -> str:
     quotes and definitions stay."""
     for depth in range(12):
         edits: list[Edit] = []
-        for n, above in walk(parsed(text)):
+        for n, above in located(text):
             if n.kind not in ("bullet_list", "ordered_list") or sum(x.kind == "item" for x in above) != depth or any(x.kind in ("quote", "note_definition") for x in above):
                 continue
             item = next((x for x in reversed(above) if x.kind == "item"), None)
@@ -236,7 +242,7 @@ def place_items(text: str) -> str:
 
 def unbold_headings(text: str) -> str:
     edits = []
-    for n, _ in walk(parsed(text)):
+    for n, _ in located(text):
         if n.kind == "heading" and len(n.children) == 1 and n.children[0].kind == "strong":
             s = n.children[0]
             edits += [(s.start, s.start + 2, ""), (s.end - 2, s.end, "")]
@@ -251,7 +257,7 @@ _HYPHEN = re.compile(rf"(?<=\w)-\n[ >]*(?=[a-z0-9$])(?!(?:{'|'.join(SUSPENDED)})
 def join_hyphens(text: str) -> tuple[str, int]:
     """Close line breaks after a hyphen, and how many."""
     edits = []
-    for n, _ in walk(parsed(text)):
+    for n, _ in located(text):
         if n.kind == "text":
             for m in _HYPHEN.finditer(text, n.start, min(len(text), n.end + 1)):
                 edits.append((m.start() + 1, m.end(), ""))
@@ -261,7 +267,7 @@ def join_hyphens(text: str) -> tuple[str, int]:
 def curl(text: str) -> str:
     """Typographic quotes in the text of each paragraph, heading and cell; what isn't text can't change."""
     edits: list[Edit] = []
-    for n, _ in walk(parsed(text)):
+    for n, _ in located(text):
         if n.kind not in ("para", "plain", "heading", "cell"):
             continue
         free = [False] * (n.end - n.start)
@@ -282,7 +288,7 @@ def curl(text: str) -> str:
 
 def dots(text: str) -> str:
     edits = []
-    for n, _ in walk(parsed(text)):
+    for n, _ in located(text):
         if n.kind == "text" and "..." in text[n.start : n.end]:
             source = text[n.start : n.end]
             new = ellipses(source)
@@ -314,7 +320,7 @@ def around_displays(text: str, para: Node, displays: list[Node], wrapper: Wrappe
 
 def wrap_paragraphs(text: str, wrapper: Wrapper) -> str:
     edits: list[Edit] = []
-    for n, above in walk(parsed(text)):
+    for n, above in located(text):
         if n.kind not in ("para", "plain"):
             continue
         source = text[n.start : n.end]
@@ -352,7 +358,7 @@ def space_items(text: str, spacing: str) -> str:
     """One blank line, or none, between the items of each list."""
     for _ in range(2):
         edits: list[Edit] = []
-        for n, above in walk(parsed(text)):
+        for n, above in located(text):
             if n.kind not in ("bullet_list", "ordered_list"):
                 continue
             big = any(len([c for c in x.children if c.kind not in ("bullet_list", "ordered_list")]) > 1 for x in n.children)
@@ -371,7 +377,7 @@ def space_items(text: str, spacing: str) -> str:
 def fence_code(text: str) -> str:
     """Indented code between fences."""
     edits = []
-    for n, _ in walk(parsed(text)):
+    for n, _ in located(text):
         if n.kind == "code_block" and n.info == "indented":
             longest = max(map(len, re.findall(r"`+", n.text or "")), default=0)
             marks = "`" * max(3, longest + 1)
@@ -389,7 +395,7 @@ WIDE = 72
 def align_tables(text: str) -> str:
     """Rows as ``| a | b |`` and delimiters as three hyphens; a row with cells to spare stays."""
     edits = []
-    for n, _ in walk(parsed(text)):
+    for n, _ in located(text):
         if n.kind != "table":
             continue
         rows = text[n.start : n.end].split("\n")
@@ -412,7 +418,7 @@ def align_tables(text: str) -> str:
 
 
 def same_rules(text: str) -> str:
-    return apply(text, [(n.start, n.end, "* * *") for n, _ in walk(parsed(text)) if n.kind == "rule"])
+    return apply(text, [(n.start, n.end, "* * *") for n, _ in located(text) if n.kind == "rule"])
 
 
 def close_gaps(text: str) -> str:
@@ -430,7 +436,7 @@ def space_headings(text: str) -> str:
 def quote_blanks(text: str) -> str:
     """``> `` on the empty lines between the blocks of a quote."""
     edits = []
-    for n, _ in walk(parsed(text)):
+    for n, _ in located(text):
         if n.kind == "quote":
             for a, b in zip(n.children, n.children[1:]):
                 edits += [(m.end(), m.end(), " ") for m in re.compile(r"(?m)^[ >]*>$").finditer(text, a.end, line_start(text, b.start))]
@@ -502,7 +508,7 @@ def reformat(text: str, options: Options = Options()) -> dict:
 
 
 def dropped_cells(text: str) -> list[tuple[int, str]]:
-    return [(text.count("\n", 0, n.start) + 1, f"`{n.text}` is outside of every column") for n, _ in walk(parsed(text)) if n.kind == "dropped_cell" and (n.text or "").strip()]
+    return [(text.count("\n", 0, n.start) + 1, f"`{n.text}` is outside of every column") for n, _ in located(text) if n.kind == "dropped_cell" and (n.text or "").strip()]
 
 
 RESULT = "struct<status:string,text:string,error:string,normalizations:array<string>,unasked:array<string>>"

@@ -8,17 +8,26 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.arrow import udf_of
 from lectern.plans import reader
 
 
+LINES = "array<struct<line_no:int,start:int,end:int,text:string>>"
+
+
+def line_rows(text: str) -> list[dict]:
+    out, at = [], 0
+    for k, line in enumerate(text.split("\n"), 1):
+        kept = line.removesuffix("\r")
+        out.append({"line_no": k, "start": at, "end": at + len(kept), "text": kept})
+        at += len(line) + 1
+    return out
+
+
 def lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 1), start, end, text: the lines of ``documents`` (doc_id, text). One shuffle by doc_id,
-    which later windows and joins on doc_id use again."""
-    each = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text"))
-    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
-    out = each.select("doc_id", (F.col("k") + 1).alias("line_no"), start.alias("start"), F.regexp_replace("text", "\r$", "").alias("text"))
-    return out.select("doc_id", "line_no", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+    """doc_id, line_no (from 1), start, end, text: the lines of ``documents`` (doc_id, text). A map: the offsets are a
+    running sum within one text, for which a window would shuffle every line of the corpus."""
+    return documents.select("doc_id", F.inline(udf_of(line_rows, LINES)("text")))
 
 
 def asof(points: DataFrame, marks: DataFrame, value: list[str]) -> DataFrame:
