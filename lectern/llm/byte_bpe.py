@@ -22,6 +22,9 @@ from lectern.llm.common import mapped
 from lectern.llm.tokens import CHUNK, Encoder, Strings, byte_table, rank_tokenizer, read_ranks, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Chunks that a worker remembers, and bytes of text at once: less than for files, as other stages hold memory, too.
+REMEMBERED = 150_000
+AT_ONCE = 2 << 20
 _loaded: dict[str, tuple] = {}
 
 
@@ -42,9 +45,9 @@ def encode_batches(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids of each row of ``docs`` (doc_id, text): ids as an array of int."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(loaded(path)[0])
+        encoder = Encoder(loaded(path)[0], REMEMBERED)
         for b in batches:
-            for at, n in slices(b.column(1)):
+            for at, n in slices(b.column(1), AT_ONCE):
                 ids, counts = encoder.encode(b.column(1).slice(at, n))
                 ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
@@ -84,10 +87,10 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, piece = loaded(path)
-        encoder, pieces, numbers = Encoder(tokenizer), Strings(piece), Strings([b"%d," % i for i in range(len(piece))])
+        encoder, pieces, numbers = Encoder(tokenizer, REMEMBERED), Strings(piece), Strings([b"%d," % i for i in range(len(piece))])
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            for at, n in slices(b.column(1)):
+            for at, n in slices(b.column(1), AT_ONCE):
                 ids, counts = encoder.encode(b.column(1).slice(at, n))
                 rows = np.split(ids, np.cumsum(counts)[:-1])
                 columns = [b.column(0).slice(at, n), pa.array(counts, pa.int64())]

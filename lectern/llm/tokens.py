@@ -46,8 +46,8 @@ TABLE = dict(enumerate(byte_table()))
 class Encoder:
     """Ids of whole texts, through the distinct chunks of an Arrow array of them."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, remembered: int = REMEMBERED):
+        self.tokenizer, self.remembered = tokenizer, remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.points: dict[str, bytes] = {}
@@ -59,7 +59,7 @@ class Encoder:
 
     def ids_of(self, keys: list[str]) -> list[bytes]:
         """The ids of each key's chunk as unsigned 32-bit integers."""
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.young, self.old = {}, self.young
         out = list(map(self.young.get, keys))
         young, old, model, match, rest = self.young, self.old, self.tokenizer.model.tokenize, WORD.fullmatch, []
@@ -137,10 +137,10 @@ class Strings:
         return gather(self.table, self.start, self.size, numbers).tobytes()
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, length) of stretches of rows with about ``AT_ONCE`` bytes of text."""
+def slices(texts: pa.Array, at_once: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """(start, length) of stretches of rows with about ``at_once`` bytes of text."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(size) - size) // AT_ONCE
+    part = (np.cumsum(size) - size) // at_once
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
     return ((a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
 
