@@ -65,7 +65,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of sentences; arrays are summed before anything is shuffled."""
     s = F.transform(text.sentences(F.col("text")), lambda x: F.length(x))
-    each = documents(spark, sf_dir).select("lang", s.alias("s")).where(F.size("s") > 0)
+    each = documents(spark, sf_dir).where(F.col("text").rlike(r"(?U)\S")).select("lang", s.alias("s"))  # texts without a word have none
     total = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return each.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size("s")).alias("n_sentences"), F.sum(total).alias("n_chars"), F.max(F.array_max("s")).cast("bigint").alias("longest"))
 
