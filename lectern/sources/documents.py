@@ -81,15 +81,26 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(bare(path), "^" + re.escape(start) + "/?", "")
 
 
+def wanted(path: Column, size: Column, root: str, discovery: Discovery, ignore: list[str] | None) -> Column:
+    """Whether a file below ``root`` is a document."""
+    keep = included(F.substring_index(path, "/", -1), discovery.include) & ~ignored(relative(path, root), [*discovery.exclude, *discovery.extra, *(ignore or [])])
+    return keep & (size <= discovery.max_size) if discovery.max_size else keep
+
+
 def files(spark: SparkSession, root: str, discovery: Discovery = Discovery(), ignore: list[str] | None = None) -> DataFrame:
     """path, size, below: the documents of a folder, at any depth and in any file system, sorted by path. Spark lists
     the files; only names and sizes are read here. ignore: patterns of the root's ignore files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path"), F.col("length").alias("size"), relative(F.col("path"), root).alias("below"))
-    name = F.substring_index("path", "/", -1)
-    keep = included(name, discovery.include) & ~ignored(F.col("below"), [*discovery.exclude, *discovery.extra, *(ignore or [])])
-    if discovery.max_size:
-        keep &= F.col("size") <= discovery.max_size
-    return found.where(keep).dropDuplicates(["path"]).orderBy("path")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), relative(F.col("path"), root).alias("below"))
+    return found.where(wanted(F.col("path"), F.col("size"), root, discovery, ignore)).dropDuplicates(["path"]).orderBy("path")
+
+
+def texts(spark: SparkSession, root: str, discovery: Discovery = Discovery(), ignore: list[str] | None = None) -> DataFrame:
+    """doc_id, path, text of the documents of a folder: one scan. The conditions are on the files' metadata, so what
+    isn't a document isn't opened, and nothing is joined or shuffled. doc_id: a hash of the path."""
+    path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    found = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
+    found = found.where(wanted(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), size, root, discovery, ignore))
+    return found.select(F.xxhash64(path).alias("doc_id"), path.alias("path"), F.col("value").alias("text"))
 
 
 def glob_regex(path: str) -> str:
@@ -117,14 +128,6 @@ def named_files(spark: SparkSession, paths: list[str], discovery: Discovery = Di
     return found.where(keep).dropDuplicates(["path"]).orderBy("path")
 
 
-def with_text(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
-    """doc_id, path, text of listed files: read whole, ids from the path's hash."""
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    plain = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), r"^([A-Za-z][A-Za-z0-9+.-]*):/*", "$1:/")
-    both = texts.withColumn("_p", plain("path")).drop("path").join(listed.select("path", plain("path").alias("_p")), "_p")
-    return both.select(F.xxhash64("path").alias("doc_id"), "path", "text")
-
-
 def from_texts(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """doc_id, path, text of some texts by label, such as one from the standard input."""
     rows = [(k, label, text) for k, (label, text) in enumerate(texts.items())]

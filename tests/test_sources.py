@@ -35,9 +35,11 @@ def test_named_files_pass_exclusions(spark, tree):
 
 
 def test_texts(spark, tree):
-    listed = d.files(spark, f"file:{tree}", d.Discovery(max_size=1000))
-    got = {r.path.rsplit("/", 1)[1]: r.text for r in d.with_text(spark, listed, f"file:{tree}").collect()}
-    assert got == {"a.md": "a", "z.md": "z", "b.md": "b", "k.md": "k"}
+    (tree / "sp ace+é.md").write_text("s")
+    found = d.texts(spark, f"file:{tree}", d.Discovery(max_size=1000), ["draft/"])
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in found.collect()}
+    assert sorted(got.values()) == ["a", "b", "k", "s"]
     assert [tuple(r) for r in d.from_texts(spark, {"-": "x"}).collect()] == [(0, "-", "x")]
 
 
