@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -157,20 +156,23 @@ def fit(rows: list[tuple[str, int]], strength: float = 1.0) -> Model:
     y = np.array([q for _, q in rows], int)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0, 1.0, (60.0 if not len(y) or y[0] else -60.0))
-    words = Words()
-    found = [indicators(t, words) for t, _ in rows]
-    by: list[Counter] = [Counter(), Counter()]
-    for f, q in zip(found, y):
-        by[q].update(f)
-    docs = by[0] + by[1]
-    kept = [g for g, n in sorted(docs.items(), key=lambda x: (-x[1], x[0]))[:MAX_NGRAMS] if n >= MIN_DOCS]
-    column = {g: k for k, g in enumerate(kept)}
+    words, number = Words(), {}
+    found = []  # numbers of each text's n-grams: sets of strings would fill the driver
+    for t, _ in rows:
+        f = sorted(indicators(t, words))
+        found.append(np.fromiter((number.setdefault(g, len(number)) for g in f), np.int32, len(f)))
+    by = [np.bincount(np.concatenate([f for f, q in zip(found, y) if q == c]), minlength=len(number)) for c in (0, 1)]
+    docs, names = by[0] + by[1], list(number)
+    kept = sorted(np.flatnonzero(docs >= MIN_DOCS).tolist(), key=lambda k: (-docs[k], names[k]))[:MAX_NGRAMS]
+    column = np.full(len(number), -1)
+    column[kept] = np.arange(len(kept))
     # log-count ratio: share of the class's documents that have the n-gram, smoothed
     good, bad = int(y.sum()) + 2, int((1 - y).sum()) + 2
-    ratio = np.log([(by[1][g] + 1) / good * bad / (by[0][g] + 1) for g in kept] or [0.0])
+    ratio = np.log((by[1][kept] + 1) / good * bad / (by[0][kept] + 1))
     sparse = []
     for f in found:
-        cols = np.fromiter((column[g] for g in f if g in column), int)
+        cols = column[f]
+        cols = cols[cols >= 0]
         vals = ratio[cols]
         norm = max(1e-9, float(np.sqrt(vals @ vals)))
         sparse.append((np.r_[cols, len(kept)], np.r_[vals, 0.1 * norm]))  # the last column: the intercept
@@ -180,7 +182,7 @@ def fit(rows: list[tuple[str, int]], strength: float = 1.0) -> Model:
     z = np.array([w[c[:-1]] @ v[:-1] for (c, v), k in zip(sparse, half) if k])
     both = len(set(y[half].tolist())) == 2
     slope, shift = platt(z, y[half]) if both else (1.0, 0.0)
-    weights = {g: float(w[k] * ratio[k]) for g, k in column.items() if w[k]}
+    weights = {names[g]: float(w[k] * ratio[k]) for k, g in enumerate(kept) if w[k]}
     return Model(weights, 0.0, slope, shift)
 
 
