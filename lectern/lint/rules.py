@@ -162,7 +162,17 @@ def identifiers(model: Model, context: Context) -> DataFrame:
 @REGISTRY.group("fragments", ("link/invalid-fragment", "warning", "A fragment names an identifier"))
 def fragments(model: Model, context: Context) -> DataFrame:
     wanted = model.links.where("kind = 'link' AND url LIKE '#_%'").select("doc_id", "start", "end", F.url_decode(F.substring("url", 2, 10_000)).alias("ident"))
-    missing = wanted.join(model.identifiers.select("doc_id", "ident").distinct(), ["doc_id", "ident"], "left_anti")
+    known = model.identifiers.select("doc_id", "ident").distinct()
+    missing = wanted.join(known, ["doc_id", "ident"], "left_anti")
+    if "path" in model.documents.columns:  # fragments of other documents of the run
+        paths = model.documents.select("doc_id", "path")
+        links = model.links.where("kind = 'link'").where(F.col("url").rlike(r"^(?![A-Za-z][A-Za-z0-9+.-]*:|/)[^#?]+#."))
+        folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+        file = F.regexp_replace(F.url_decode(F.regexp_replace("url", "#.*$", "")), r"^(?:\./)+", "")
+        there = links.join(paths, "doc_id").select("doc_id", "start", "end", F.url_decode(F.regexp_extract("url", "#(.*)$", 1)).alias("ident"), F.concat(folder, file).alias("path"))
+        there = there.join(paths.select(F.col("doc_id").alias("target"), "path"), "path")
+        lost = there.join(known.select(F.col("doc_id").alias("target"), "ident"), ["target", "ident"], "left_anti")
+        missing = missing.unionByName(lost.select(*missing.columns))
     return emit(missing, (F.lit(True), finding("link/invalid-fragment", F.concat(F.lit("no `#"), F.col("ident"), F.lit("` in the document")))))
 
 
@@ -218,24 +228,20 @@ def file_path(model: Model, context: Context) -> DataFrame:
         ("repeated-subscript", "error", "One subscript"), ("repeated-superscript", "error", "One superscript"), ("unclosed-group", "error", "Groups close"), ("unclosed-left", "error", "\\left has \\right"),
         ("unmatched-group-close", "error", "Groups open"), ("unmatched-right", "error", "\\right has \\left"),
     )],
-    ("math/display-economy", "warning", "Short formulas stand in the line"),
-    ("math/structural-sequence-display", "error", "Exact sequences are displayed"),
 )
 def formulas(model: Model, context: Context) -> DataFrame:
-    rows = model.math
-    scanned = emit_matches(rows, tex.formula_column("text"), base=F.col("tex_start"))
-    complex_tex = r"&|\\\\|\\begin\{|\\(?:tag|label|notag|nonumber)\b|\\(?:sum|prod|coprod|int|iint|iiint|iiiint|oint|bigcup|bigcap|bigoplus|bigotimes|bigsqcup|lim|limsup|liminf)(?![A-Za-z@])"
-    arrows = F.size(F.regexp_extract_all(F.col("text"), F.lit(prose.ARROW), F.lit(0)))
-    parents = model.of("para", "plain").select("doc_id", F.col("node_id").alias("parent_id"), F.col("start").alias("p0"), F.col("end").alias("p1"), F.col("text").alias("around"))
-    placed = rows.join(parents, ["doc_id", "parent_id"], "left")
-    alone = (F.col("start") <= F.col("p0")) & (F.col("end") >= F.col("p1") - 1)
-    sequence = (arrows >= 2) & (F.col("text").rlike(r"^\s*0\b|\b0\s*$") | F.coalesce(F.lower("around").contains("exact sequence"), F.lit(False)))
-    local = emit(
-        placed,
-        ((F.col("info") == "display") & alone & (F.length(F.trim(F.col("text"))) <= 60) & ~F.col("text").rlike(complex_tex) & ~sequence, finding("math/display-economy", "a short formula alone in display")),
-        ((F.col("info") == "inline") & sequence, finding("math/structural-sequence-display", "an exact sequence in the line")),
-    )
-    return scanned.unionByName(local)
+    return emit_matches(model.math, tex.formula_column("text"), base=F.col("tex_start"))
+
+
+@REGISTRY.group(
+    "surroundings",
+    ("math/display-economy", "warning", "Short formulas stand in the line"),
+    ("math/structural-sequence-display", "error", "Exact sequences are displayed"),
+    ("prose/untyped-vague-claim", "warning", "Claims come with a formula"),
+    ("prose/untyped-map-reference", "warning", "Maps come with their arrow"),
+)
+def surroundings(model: Model, context: Context) -> DataFrame:
+    return emit_matches(model.documents, prose.in_context_column("text"))
 
 
 @REGISTRY.group(
@@ -244,24 +250,13 @@ def formulas(model: Model, context: Context) -> DataFrame:
     ("math/unicode-symbol", "warning", "Symbols are TeX"),
     ("document/authorial-residue", "info", "Nothing is left from drafting"),
     ("link/reference-format", "error", "Cross-references begin with @"),
-    ("prose/untyped-vague-claim", "warning", "Claims come with a formula"),
-    ("prose/untyped-map-reference", "warning", "Maps come with their arrow"),
     ("tikz/environment-wrapper", "error", "Diagrams stand in fences"),
 )
 def prose_rules(model: Model, context: Context) -> DataFrame:
     found = emit_matches(model.of("text"), prose.prose_column("text"), base=F.col("start"))
     raw = emit_matches(model.of("raw_inline", "raw_block").where("info = 'tex'"), prose.raw_tex_column("text"), base=F.col("start"))
     outside = emit(model.of("raw_inline").where("info = 'tex'"), (~F.col("text").rlike(r"^\\(?:todo|begin|end|input|include|includegraphics|cite|ref|label)\b"), finding("math/outside-math-mode", F.concat(F.lit("`"), F.col("text"), F.lit("` is TeX outside of math")))))
-    free = found.where("rule NOT IN ('prose/untyped-vague-claim', 'prose/untyped-map-reference')")
-    # claims: no formula in the clause; maps: no typed arrow within 240 characters in the paragraph
-    formulas_ = model.math.select("doc_id", F.col("start").alias("m0"), F.col("end").alias("m1"), F.col("text").rlike(prose.ARROW).alias("typed"))
-    blocks = model.of("para", "plain").select("doc_id", F.col("start").alias("p0"), F.col("end").alias("p1"))
-    claims = found.where("rule IN ('prose/untyped-vague-claim', 'prose/untyped-map-reference')").join(blocks, "doc_id").where("start >= p0 AND end <= p1")
-    near = claims.join(formulas_, "doc_id").where("m0 >= p0 AND m1 <= p1").where(
-        "CASE WHEN rule = 'prose/untyped-vague-claim' THEN m1 >= start - 120 AND m0 <= end + 120 ELSE typed AND m1 >= start - 240 AND m0 <= end + 240 END"
-    )
-    claims = claims.drop("p0", "p1").join(near.select("doc_id", "rule", "start").distinct(), ["doc_id", "rule", "start"], "left_anti")
-    return union(free, claims.select(*free.columns), raw, outside)
+    return union(found, raw, outside)
 
 
 @REGISTRY.group(

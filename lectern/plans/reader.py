@@ -53,7 +53,7 @@ class Line:
 
 
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*(.*?)[ \t]*$")
-ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*$")
+ATX = re.compile(r" {0,3}(#+)(?:[ \t]+(.*?))?[ \t]*$")
 SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 QUOTE = re.compile(r" {0,3}> ?")

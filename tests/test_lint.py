@@ -76,6 +76,52 @@ def test_rule(found, number):
     assert line in bad and not good
 
 
+@pytest.fixture(scope="module")
+def more(spark, context):
+    """Findings of texts that the cases don't have."""
+    texts = [t for t, _, _ in MORE]
+    model = Model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = REGISTRY.run(model, {r: "warning" for r in REGISTRY.rules if not r.startswith(("reference/missing-work", "reference/duplicate-work", "style/required"))}).collect()
+    return {k: {r.rule for r in got if r.doc_id == k} for k in range(len(texts))}
+
+
+#: text, rules that find something, rules that don't
+MORE = [
+    ("Use $0\\too A\\too B\\too0$.\n", {"math/structural-sequence-display"}, set()),
+    ("The cokernel sequence $A\\injects B\\twoheadrightarrow C$ is.\n", {"math/structural-sequence-display"}, set()),
+    ("A cokernel sequence. It gives $X\\to\\ker{A\\too B}$.\n", set(), {"math/structural-sequence-display"}),
+    ("$$x=y$$ {#eq:xy}\n", set(), {"math/display-economy"}),
+    ("$$\nx=y\nz=w\n$$\n", set(), {"math/display-economy"}),
+    ("The exact sequence\n$$A\\to B\\to C$$\nis.\n", set(), {"math/display-economy", "math/structural-sequence-display"}),
+    ("$$\\begin{tikzcd} A & B \\end{tikzcd}$$\n", {"tikz/environment-wrapper"}, {"math/display-economy"}),
+    ("The mixed terms vanish for $b$. The map is natural for $f$.\n", set(), {"prose/untyped-vague-claim"}),
+    ("The mixed terms vanish. See $b$.\n", {"prose/untyped-vague-claim"}, set()),
+    ("The restriction of f is good.\n", set(), {"prose/untyped-map-reference"}),
+    ("####### Seven\n", set(), {"heading/duplicate", "heading/multiple-h1"}),
+    ("[text][missing] and text[^missing].\n\n[unused]: /t\n", set(), {"footnote/unused-definition", "link/empty-destination", "reference/duplicate-definition"}),
+    ("#NoHeading\n\n```python\nopen\n", set(), {"code/missing-language", "heading/multiple-h1"}),
+    ("Text[^x].\n\n[^x]: one\n[^x]: two\n", {"footnote/duplicate-definition"}, set()),
+    ("\\begin{align}\nx &= y\n", set(), {"math/outside-math-mode"}),
+    ("`\\sum` and <http://x_0.y> and [a_0](b_0)\n", set(), {"math/unicode-symbol"}),
+    ("$y^{2}^\\alpha$ and $Hom_R(M,N)$\n", {"math/repeated-superscript", "math/bare-operator"}, set()),
+    ("$\\{ a \\}$ $% {\n a$\n", set(), {"math/unclosed-group", "math/unmatched-group-close"}),
+    ("::: {.definition}\n```text\nProof. x\n```\n:::\n", set(), {"structure/statement-boundary"}),
+]
+
+
+@pytest.mark.parametrize("number", range(len(MORE)))
+def test_more(more, number):
+    _, found, quiet = MORE[number]
+    assert found <= more[number] and not quiet & more[number]
+
+
+def test_fragments_of_other_documents(spark):
+    rows = [(1, "d/a.md", "[x](b.md#here) [y](b.md#gone) [z](c.md#any)\n"), (2, "d/b.md", "# Here\n")]
+    model = Model(spark.createDataFrame(rows, "doc_id long, path string, text string"))
+    got = REGISTRY.run(model, {r: ("warning" if r == "link/invalid-fragment" else "off") for r in REGISTRY.rules}).collect()
+    assert [(r.doc_id, r.start) for r in got] == [(1, 15)]
+
+
 def test_levels_prune_and_override(spark):
     model = Model(spark.createDataFrame([(1, "# A.\n\n# A.\n")], "doc_id long, text string"))
     got = REGISTRY.run(model, {"heading/duplicate": "off", "style/heading-punctuation": {"level": "error"}}).collect()
