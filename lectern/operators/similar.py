@@ -23,19 +23,38 @@ def alignment_distance(a: str, b: str) -> int:
     return last[len(b)]
 
 
+#: Most edits that deletion keys are made for; names for which more are allowed meet by length.
+KEYED = 3
+
+
+def deletions(name: str, most: int) -> list[str]:
+    """The name with up to ``most`` characters left out. Two names within k edits (swaps of neighbours included) have
+    one of these in common, so a join on them finds every pair without comparing names with each other."""
+    out = layer = {name}
+    for _ in range(min(most, len(name))):
+        layer = {x[:k] + x[k + 1 :] for x in layer for k in range(len(x))}
+        out = out | layer
+    return sorted(out)
+
+
 def similar_names(wanted: DataFrame, vocabulary: DataFrame, top: int = TOP) -> DataFrame:
     """name, candidate, distance, rank: for each name of ``wanted`` (name) the nearest names of ``vocabulary`` (name,
     optionally preferred), at most a third of its length away and no farther than the nearest. Ties: anagrams first,
     then the same length, preferred names, the alphabet.
 
-    Candidates meet by length (a name can only be near one whose length is within the bound), then pass the native
-    edit distance, which is at most twice the alignment distance; only those reach the UDF."""
+    Names with up to ``KEYED`` edits allowed (under 12 characters) meet candidates on deletion keys. Longer ones meet
+    those of a possible length, and the native edit distance, at most twice the other, thins them out."""
     most = F.floor(F.greatest(F.length("name"), F.lit(3)) / 3).cast("int")
-    left = wanted.select("name").distinct().select("name", most.alias("most"))
-    left = left.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.length("name") - F.col("most")), F.length("name") + F.col("most"))).alias("_length"))
+    left = wanted.select("name").where("name IS NOT NULL").distinct().select("name", most.alias("most"))
     has = "preferred" in vocabulary.columns
-    right = vocabulary.groupBy(F.col("name").alias("candidate")).agg((F.max("preferred") if has else F.lit(False)).alias("preferred")).withColumn("_length", F.length("candidate"))
-    pairs = left.join(right, "_length").where(F.levenshtein("name", "candidate") <= 2 * F.col("most")).where("name <> candidate")
+    right = vocabulary.where("name IS NOT NULL").groupBy(F.col("name").alias("candidate")).agg((F.max("preferred") if has else F.lit(False)).alias("preferred"))
+    keys = udf_of(deletions, "array<string>")
+    short = left.where(F.col("most") <= KEYED).select("*", F.explode(keys(F.col("name"), F.col("most"))).alias("key"))
+    near = right.where(F.length("candidate") <= 4 * KEYED + 2).select("*", F.explode(keys(F.col("candidate"), F.lit(KEYED))).alias("key"))
+    keyed = short.join(near, "key").select("name", "most", "candidate", "preferred").distinct()
+    long = left.where(F.col("most") > KEYED).select("*", F.explode(F.sequence(F.length("name") - F.col("most"), F.length("name") + F.col("most"))).alias("length"))
+    by_length = long.join(right.withColumn("length", F.length("candidate")), "length").where(F.levenshtein("name", "candidate") <= 2 * F.col("most"))
+    pairs = keyed.unionByName(by_length.select("name", "most", "candidate", "preferred")).where("name <> candidate")
     pairs = pairs.withColumn("distance", udf_of(alignment_distance, "int")(F.col("name"), F.col("candidate"))).where("distance <= most")
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     nearest = Window.partitionBy("name")

@@ -160,6 +160,22 @@ def test_similar_names(spark):
     assert [(r.name, r.candidate, r.distance) for r in sorted(got, key=lambda r: r["rank"])] == [("alpah", "alpha", 1)]
 
 
+def test_similar_names_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 16))) for _ in range(250)})
+    wanted = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 16))) for _ in range(40)} | {w[1:] + w[:1] for w in words[:30]})
+    got = {}
+    for r in similar_names(spark.createDataFrame([(w,) for w in wanted], "name string"), spark.createDataFrame([(w,) for w in words], "name string")).collect():
+        got.setdefault(r.name, []).append((r["rank"], r.candidate))
+    for name in wanted:
+        scored = [(alignment_distance(name, w), w) for w in words if w != name]
+        close = [x for x in scored if x[0] <= max(len(name), 3) // 3]
+        best = sorted((w for d, w in close if d == min(close)[0]), key=lambda w: (sorted(w) != sorted(name), len(w) != len(name), w))[:3]
+        assert [w for _, w in sorted(got.get(name, []))] == best, name
+
+
 def test_closure_ends_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e")], "package string, include string")
     got = {(r.package, r.member) for r in package_closure(edges, spark.createDataFrame([("a",), ("d",)], "package string")).collect()}
