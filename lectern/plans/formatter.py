@@ -26,7 +26,7 @@ from lectern.plans.reader import Node, cell_ranges, read
 Edit = tuple[int, int, str]
 PASSES = ("cleanups", "smartquotes", "ellipses")
 SPACINGS = ("preserve", "loose", "tight")
-LITERAL = ("code_block", "raw_block", "frontmatter")
+LITERAL = ("code_block", "raw_block", "frontmatter", "grid_table", "line_block", "column_table", "definition_list")
 
 
 @dataclass(frozen=True)

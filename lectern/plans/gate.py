@@ -56,7 +56,7 @@ def _block(n: Node) -> list:
         return [n.kind, start, [_block(c) for c in n.children]]
     if n.kind == "table":
         return ["table", n.info, [_block(c) for r in n.children for c in r.children]]
-    if n.kind in ("raw_block", "tag", "frontmatter"):
+    if n.kind in ("raw_block", "tag", "frontmatter", "grid_table", "line_block", "column_table", "definition_list"):
         return [n.kind, n.info, (n.text or "").strip()]
     return [n.kind, n.ident, n.classes, n.url, n.title, [_block(c) for c in n.children]]
 

@@ -66,7 +66,10 @@ HTML_BLOCK = re.compile(r"(?i) {0,3}</?(?:address|article|aside|blockquote|body|
 TEX_BEGIN = re.compile(r" {0,3}\\begin\{([A-Za-z*]+)\}")
 DELIMITERS = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 ATTRIBUTES = re.compile(r"\{([^{}]*)\}")
-CAPTION = re.compile(r" {0,3}(?:[Tt]able)?:[ \t]+(.*)$")
+GRID = re.compile(r" {0,3}\+(?:[-=:]+\+)+[ \t]*$")
+LINE_BLOCK = re.compile(r"\|(?: |$)")
+COLUMNS = re.compile(r" *-{2,}(?: +-{2,})+[ \t]*$")
+DEFINITION_MARK = re.compile(r" {0,2}[:~][ \t]+\S")
 
 
 def attributes(source: str) -> tuple[str | None, list[str]]:
@@ -125,7 +128,7 @@ class Blocks:
 
     def block(self, lines: list[Line], k: int, tight: bool, in_item: bool) -> tuple[Node, int]:
         line = lines[k].text
-        for reader in (self.fence, self.div, self.heading, self.rule, self.quote, self.note, self.items, self.definition, self.code, self.html, self.tex, self.tag, self.table):
+        for reader in (self.fence, self.div, self.heading, self.rule, self.quote, self.note, self.items, self.definition, self.code, self.html, self.tex, self.tag, self.table, self.opaque):
             found = reader(lines, k, line)
             if found:
                 return found
@@ -347,6 +350,37 @@ class Blocks:
             node.children.append(row)
         return node, j - k
 
+    def opaque(self, lines: list[Line], k: int, line: str):
+        """Grid and column tables, line blocks, definition lists: kept as they are, not looked into."""
+
+        def upto(kind: str, more) -> tuple[Node, int]:
+            j = k + 1
+            while j < len(lines) and more(j):
+                j += 1
+            while blank(lines[j - 1]):
+                j -= 1
+            return Node(kind, lines[k].start, self.end_of(lines[j - 1]), text="\n".join(x.text for x in lines[k:j])), j - k
+
+        text = lambda j: lines[j].text if j < len(lines) else ""
+        if GRID.match(line):
+            return upto("grid_table", lambda j: text(j).lstrip()[:1] in ("+", "|"))
+        if LINE_BLOCK.match(line):
+            return upto("line_block", lambda j: bool(LINE_BLOCK.match(text(j))) or text(j).startswith(" ") and bool(text(j).strip()))
+        if COLUMNS.match(text(k + 1)) and line.strip() or COLUMNS.match(line):
+            return upto("column_table", lambda j: bool(text(j).strip()))
+        first = k + 1 if DEFINITION_MARK.match(text(k + 1)) else k + 2 if k + 2 < len(lines) and blank(lines[k + 1]) and DEFINITION_MARK.match(text(k + 2)) else 0
+        if first and not DEFINITION_MARK.match(line):
+            def more(j: int) -> bool:
+                if j <= first or DEFINITION_MARK.match(text(j)) or text(j).startswith(("    ", "\t")):
+                    return True
+                if blank(lines[j]):
+                    later = next((i for i in range(j + 1, len(lines)) if not blank(lines[i])), None)
+                    return later is not None and bool(DEFINITION_MARK.match(text(later)) or text(later).startswith(("    ", "\t")))
+                return not blank(lines[j - 1])
+
+            return upto("definition_list", more)
+        return None
+
     def interrupts(self, line: Line) -> bool:
         m = FENCE.match(line.text)
         if m and not (m[1][0] == "`" and "`" in m[2]):

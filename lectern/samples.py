@@ -111,7 +111,7 @@ EXTRAS = (
     ("link/file-path", 9, 0, "see `src/a.py` there\n\n", "see `src/a.py` there"),
     ("style/no-inline-html", 9, 1, "some <b>words\n\n", "some <b>words"),
     ("table/dropped-cells", 9, 2, "| a |\n|---|\n| 1 | 2 |\n\n", "| 1 | 2 |"),
-    ("table/caption-id-on-caption", 9, 3, ": A table {#tbl:a}\n\n", ": A table {#tbl:a}"),
+    ("table/caption-id-on-caption", 9, 3, "| a |\n|---|\n| 1 |\n\n: A table {#tbl:a}\n\n", ": A table {#tbl:a}"),
     ("tikz/fence-attributes", 9, 4, "```tikzcd wide\na\n```\n\n", "```tikzcd wide"),
     ("tikz/environment-wrapper", 9, 5, "\\begin{tikzcd}\na\n\\end{tikzcd}\n\n", "\\begin{tikzcd}"),
     ("reference/duplicate-definition", 9, 6, "[d{id}]: x\n\n[d{id}]: yy\n\n", "[d{id}]: yy"),

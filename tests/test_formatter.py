@@ -43,6 +43,12 @@ def test_wrapping_keeps_constructs_whole():
     assert f.fill_markdown("---\nt: 1\n---\na\n") == "---\nt: 1\n---\n\na\n"
 
 
+@pytest.mark.parametrize("text", ["+---+---+\n| a | b |\n+===+===+\n| 1 | 2 |\n+---+---+\n", "| The first line\n| and    another\n", "Term\n:   Its   definition, and\n    more of it\n", "Term\n\n:   Loose   one\n", "  a    b\n ---  ---\n  1    2\n"])
+def test_what_is_kept_as_it_is(text):
+    around = f"Words before.\n\n{text}\nWords after.\n"
+    assert f.fill_markdown(around, ALL) == around
+
+
 @pytest.mark.parametrize("text, why", [("a $ x $ b\n", "line 1"), ("```\nx\n", "line 1"), ("|a|\n|-|\n|1|2|\n", "outside of every column"), ("---\nt: 1\n---\na $ x $\n", "line 4")])
 def test_refusals(text, why):
     got = f.reformat(text, ALL)
