@@ -1,8 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy (operator 8).
 
 A word is the bag of its character 3- to 5-grams (with its ends marked), hashed into ``BUCKETS`` rows; its
-vector is their mean, a document's vector the mean of its words' vectors, and a linear softmax over it gives
-the two classes. Rows and softmax are trained together by full-batch Adam on at most ``TRAIN_ROWS`` labelled
+vector is their mean, a document's vector the mean of its words' vectors (with ``PAD`` zero vectors), and a linear
+softmax over it gives the two classes. A text is scored by the worst of its stretches of ``STRETCH`` words, so a long
+text around an insult doesn't hide it; both numbers were chosen on fold 1 with a model of folds 2 to 4. Rows and softmax are trained together by full-batch Adam on at most ``TRAIN_ROWS`` labelled
 rows outside fold 0; rows of n-grams that aren't found clearly more or less often in toxic documents
 (``LEAST_Z``) stay zero, or a mean over thousands of n-grams would learn their noise. As mean and softmax are
 both linear, a worker keeps one number for each word: unseen misspellings get theirs from the n-grams they
@@ -32,6 +33,10 @@ TRAIN_ROWS = 4000
 BUCKETS = 1 << 16
 DIM = 4
 EPOCHS = 100
+#: Words with a zero vector that every mean has besides: a few odd words don't make a short text toxic.
+PAD = 50
+#: Words of a stretch: a text is as toxic as the worst of its stretches, however long the rest is.
+STRETCH = 600
 LEAST_Z = 3.5
 LEAST_DOCS = 5
 CUT = 0.5
@@ -94,7 +99,9 @@ def score(text: str | None, logits: Logits) -> float:
         logits.learn(set(raw))
     z = np.fromiter(map(logits.__getitem__, raw), float, len(raw))
     z = z[~np.isnan(z)]
-    total = logits.model.bias + (float(z.mean()) if len(z) else 0.0)
+    starts = np.arange(0, len(z), STRETCH)
+    means = np.add.reduceat(z, starts) / (np.minimum(STRETCH, len(z) - starts) + PAD) if len(z) else np.zeros(1)
+    total = logits.model.bias + float(means.max())
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, total))))
 
 
@@ -107,9 +114,9 @@ def bag(text: str, known: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.
         size = np.bincount(owner, minlength=len(new))
         known.update(zip(new, np.split(bucket[order], np.cumsum(size)[:-1])))
     items = [(g, n) for w, n in counts.items() if len(g := known[w])]
-    total = sum(n for _, n in items)
-    if not total:
+    if not items:
         return np.zeros(0, int), np.zeros(0)
+    total = sum(n for _, n in items) + PAD
     ids = np.concatenate([g for g, _ in items])
     share = np.repeat([n / total / len(g) for g, n in items], [len(g) for g, _ in items])
     found, at = np.unique(ids, return_inverse=True)
