@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ SCHEMA = (
     "info:string,url:string,title:string,text:string,div_depth:int,in_link:boolean>>"
 )
 
+#: Patterns by source, without the detour that the re module takes for each lookup.
+rx = cache(re.compile)
+
 
 @dataclass
 class Node:
@@ -362,6 +366,9 @@ class Blocks:
             return Node(kind, lines[k].start, self.end_of(lines[j - 1]), text="\n".join(x.text for x in lines[k:j])), j - k
 
         text = lambda j: lines[j].text if j < len(lines) else ""
+        around = line + text(k + 1)[:4] + text(k + 2)[:4]
+        if not ("+" in line or "|" in line or "--" in around or ":" in around or "~" in around):
+            return None
         if GRID.match(line):
             return upto("grid_table", lambda j: text(j).lstrip()[:1] in ("+", "|"))
         if LINE_BLOCK.match(line):
@@ -442,8 +449,8 @@ class Blocks:
         """(node, end) of what begins at k."""
         c, rest = text[k], text[k : k + 2]
         if c == "`":
-            run = re.compile(r"`+").match(text, k)[0]
-            m = re.compile(rf"(?<!`){run}(?!`)(.+?)(?<!`){run}(?!`)", re.S).match(text, k)
+            run = rx(r"`+").match(text, k)[0]
+            m = rx(rf"(?<!`){run}(?!`)(.+?)(?<!`){run}(?!`)", re.S).match(text, k)
             if m:
                 return Node("code", 0, 0, text=m[1].strip(), info=run), m.end()
             return Node("text", 0, 0, text=run), k + len(run)
@@ -454,21 +461,21 @@ class Blocks:
                     return Node("math", 0, 0, info=kind, text=m[0][n:-n]), m.end()
             return None
         if c == "\\":
-            m = re.compile(r"\\\((.*?)\\\)|\\\[(.*?)\\\]", re.S).match(text, k)
+            m = rx(r"\\\((.*?)\\\)|\\\[(.*?)\\\]", re.S).match(text, k)
             if m:
                 return Node("math", 0, 0, info="inline" if m[1] is not None else "display", text=m[1] if m[1] is not None else m[2]), m.end()
             if rest == "\\\n":
                 return Node("line_break", 0, 0), k + 2
-            m = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])*(?:\{(?:[^{}]|\{[^{}]*\})*\})*").match(text, k)
+            m = rx(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])*(?:\{(?:[^{}]|\{[^{}]*\})*\})*").match(text, k)
             return (Node("raw_inline", 0, 0, info="tex", text=m[0]), m.end()) if m else None
         if c == "<":
-            m = re.compile(r"<([A-Za-z][A-Za-z0-9+.\-]*:[^\s<>]*|[^\s<>@]+@[^\s<>]+)>").match(text, k)
+            m = rx(r"<([A-Za-z][A-Za-z0-9+.\-]*:[^\s<>]*|[^\s<>@]+@[^\s<>]+)>").match(text, k)
             if m:
                 return Node("autolink", 0, 0, url=m[1], text=m[1]), m.end()
-            m = re.compile(r"<!--.*?-->|</?[A-Za-z][\w-]*(?:\s+[^<>]*)?/?>", re.S).match(text, k)
+            m = rx(r"<!--.*?-->|</?[A-Za-z][\w-]*(?:\s+[^<>]*)?/?>", re.S).match(text, k)
             return (Node("raw_inline", 0, 0, info="html", text=m[0]), m.end()) if m else None
         if c in "hw":
-            m = re.compile(r"(?:https?://|www\.)[^\s<>]*[^\s<>?!.,:;*_~'\")\]]").match(text, k)
+            m = rx(r"(?:https?://|www\.)[^\s<>]*[^\s<>?!.,:;*_~'\")\]]").match(text, k)
             if m and (k == 0 or not text[k - 1].isalnum()):
                 return Node("bare_url", 0, 0, url=m[0], text=m[0]), m.end()
             return None
@@ -477,7 +484,7 @@ class Blocks:
         if c == "[":
             return self.bracket(text, k, at)
         if c == "@":
-            m = re.compile(r"@(\{[^{}\s]+\}|\w(?:[\w:.#$%&+?<>~/-]*\w)?)").match(text, k)
+            m = rx(r"@(\{[^{}\s]+\}|\w(?:[\w:.#$%&+?<>~/-]*\w)?)").match(text, k)
             if m and (k == 0 or not (text[k - 1].isalnum() or text[k - 1] in "._")):
                 return Node("cite", 0, 0, ident=m[1].strip("{}"), info="bare"), m.end()
             return None
@@ -511,10 +518,10 @@ class Blocks:
 
     def bracket(self, text: str, k: int, at: list[int]):
         if text.startswith("[[", k):
-            m = re.compile(r"\[\[([^\[\]|\n]+)(?:\|([^\[\]\n]*))?\]\]").match(text, k)
+            m = rx(r"\[\[([^\[\]|\n]+)(?:\|([^\[\]\n]*))?\]\]").match(text, k)
             if m:
                 return Node("wikilink", 0, 0, url=m[1], text=m[2] if m[2] is not None else m[1]), m.end()
-        m = re.compile(r"\[\^([^\]\s]+)\]").match(text, k)
+        m = rx(r"\[\^([^\]\s]+)\]").match(text, k)
         if m:
             return Node("note", 0, 0, ident=m[1], info="reference"), m.end()
         end = closing(text, k)
@@ -535,7 +542,7 @@ class Blocks:
         label, after = text[k + 1 : end], text[end + 1 : end + 2]
         inner = self.inlines(label, at[k + 1 : end])
         node = Node(kind, 0, 0, text=plain(inner), children=inner)
-        m = re.compile(r"\(\s*(<[^<>\n]*>|(?:\\.|[^\s()\\]|\((?:\\.|[^\s()\\])*\))*)(?:\s+(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\([^()]*\)))?\s*\)").match(text, end + 1)
+        m = rx(r"\(\s*(<[^<>\n]*>|(?:\\.|[^\s()\\]|\((?:\\.|[^\s()\\])*\))*)(?:\s+(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\([^()]*\)))?\s*\)").match(text, end + 1)
         if m:
             node.url, node.title, node.info = m[1].strip("<>") if m[1].startswith("<") else m[1], m[2][1:-1] if m[2] else None, "inline"
             stop = m.end()
@@ -543,7 +550,7 @@ class Blocks:
             node.kind, (node.ident, node.classes) = "span", attributes(m[1])
             return node, m.end()
         else:
-            m = re.compile(r"\[([^\[\]]*)\]").match(text, end + 1)
+            m = rx(r"\[([^\[\]]*)\]").match(text, end + 1)
             key = " ".join((m[1] if m and m[1] else label).lower().split())
             if key not in self.definitions:
                 return None
@@ -569,7 +576,7 @@ def closing(text: str, k: int) -> int:
         if c == "\\":
             j += 1
         elif c == "`":
-            m = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)", re.S).match(text, j)
+            m = rx(r"(`+)(?!`).+?(?<!`)\1(?!`)", re.S).match(text, j)
             j = m.end() - 1 if m else j
         elif c == "[":
             depth += 1
@@ -588,7 +595,7 @@ def cell_ranges(row: str) -> list[tuple[int, int]]:
         if row[j] == "\\":
             j += 1
         elif row[j] == "`":
-            m = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)").match(row, j)
+            m = rx(r"(`+)(?!`).+?(?<!`)\1(?!`)").match(row, j)
             j = m.end() - 1 if m else j
         elif row[j] == "|":
             marks.append(j)

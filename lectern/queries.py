@@ -16,7 +16,7 @@ from lectern.operators import preflight, similar, wrapping
 from lectern.plans import formatter, gate
 from lectern.plans.model import Model, asof, lines, not_within
 from lectern.samples import EXTRAS, MD, extra_documents, extras_oracle, markdown_documents
-from lectern.sources.session import shared_folder
+from lectern.sources.session import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
 # Plain text ------------------------------------------------------------------------------------------------------

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.session import spread
+
 #: (divisor, remainder, text): the text stands in documents whose id has the remainder; divisor 1: in all.
 PARTS = (
     (10, 0, "---\ntitle: T\ntitle: U\n---\n\n"),
@@ -73,7 +75,7 @@ MD = (
 
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, text: the made-up Markdown of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
     src = docs.select("doc_id", "lang", "source", F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"[^\p{L} .,]", "")).alias("para"))
     return src.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".md")).alias("path"), F.expr(markdown_sql()).alias("text"))
 
@@ -152,5 +154,5 @@ def extras_oracle(*rules: str) -> str:
 
 def extra_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, text: the other made-up Markdown of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
     return docs.select("doc_id", F.concat(F.lit("extra-"), F.col("doc_id"), F.lit(".md")).alias("path"), F.expr(extras_sql()).alias("text"))

@@ -20,3 +20,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there; one's own folder only where none is set."""
     shared_folder(df.sparkSession, "cut")  # sees to it that there is one
     return df.checkpoint()
+
+
+#: Input for a core that is dealt out anew if a scan gives few tasks.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores: one file of one row group is one task, however many cores there are. A
+    table of over ``SMALL`` bytes for each core stays as its files give it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
