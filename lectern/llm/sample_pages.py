@@ -18,6 +18,7 @@ CLASSES = {
     "sidebar": ["sidebar", "side-bar", "aside", "widget", "widgets", "secondary", "related", "related-posts", "recommended", "trending", "popular", "tags", "share", "social"],
     "notice": ["notice", "cookie-banner", "cookie-notice", "alert", "consent", "gdpr", "message", "popup", "modal", "warning", "announcement", "paywall"],
     "ad": ["ad", "ads", "advert", "advertisement", "ad-box", "adsbygoogle", "sponsored", "sponsor", "promo", "promotion", "banner-ad", "ad-slot"],
+    "share": ["share", "social", "share-buttons", "social-links", "sharing", "tags", "post-tags", "follow", "share-bar", "post-nav"],
     "form": ["search", "search-form", "newsletter", "subscribe", "signup", "login", "contact-form", "form"],
     "comments": ["comments", "comment-list", "commentlist", "discussion", "replies", "comment-section", "responses", "disqus"],
     "main": ["content", "main", "main-content", "post", "entry", "entry-content", "article", "article-body", "story", "text", "post-content", "body", "page"],
@@ -122,6 +123,10 @@ class Writer:
             inner = f'<a href="/ad">{self.sentence()}</a>'
         return f"<{'div' if tag == 'ins' else tag}{self.attributes('ad')}>{inner}</{'div' if tag == 'ins' else tag}>"
 
+    def share(self) -> str:
+        inner = self.pick(" ", " | ", "").join(f'<a href="#">{" ".join(self.word() for _ in range(int(self.rng.integers(1, 4))))}</a>' for _ in range(int(self.rng.integers(1, 6))))
+        return f"<div{self.attributes(self.pick('share', 'none'))}>{inner}</div>"
+
     def form(self) -> str:
         inner = f"<label>{self.sentence(1, 4)}</label><input type=text><button>{self.word()}</button>" + (f"<p>{self.sentence()}</p>" if self.rng.random() < 0.4 else "")
         inner = f"<form{self.attributes('form', 0.5)}>{inner}</form>"
@@ -168,7 +173,7 @@ class Writer:
             elif x < 0.95:
                 out.append(self.main("div", self.prose()))
             else:
-                out.append(self.pick(self.advert, self.advert, self.sidebar, self.notice, self.form)())
+                out.append(self.pick(self.advert, self.advert, self.sidebar, self.notice, self.form, self.share, self.share)())
         return "".join(out)
 
     def page(self) -> str:
