@@ -39,8 +39,8 @@ LITERALS = 2
 CONTAINED = 0.8
 CONSISTENT = 0.8
 RUN_WORDS = 13
-#: Characters of benchmark text in a block.
-BLOCK_CHARS = 40_000_000
+#: Characters of benchmark text in a block: a worker holds about 15 bytes for each.
+BLOCK_CHARS = 8_000_000
 #: Diagonals this near each other belong to one cluster.
 DRIFT = 8
 #: Words whose tokens a worker remembers, and words that are looked up at once (but one text at least).
