@@ -21,7 +21,7 @@ from lectern.functions.typography import ellipses, smart_quotes
 from lectern.operators.preflight import rejected_math, unclosed_fences
 from lectern.operators.wrapping import Fill, Wrapper, by_sentence, escape_word, fill_text, is_tag_line, markdown_by_sentence, markdown_by_width, with_hard_breaks
 from lectern.plans import gate
-from lectern.plans.reader import Node, cell_ranges, read
+from lectern.plans.reader import Node, cell_ranges, parsed
 
 Edit = tuple[int, int, str]
 PASSES = ("cleanups", "smartquotes", "ellipses")
@@ -46,11 +46,6 @@ class Options:
 AUTO = Options("semantic", 0, frozenset(PASSES))
 
 
-@lru_cache(maxsize=32)
-def parsed(text: str) -> tuple[Node, ...]:
-    return tuple(read(text))
-
-
 def walk(nodes, above: tuple[Node, ...] = ()) -> Iterator[tuple[Node, tuple[Node, ...]]]:
     for n in nodes:
         yield n, above
@@ -185,7 +180,7 @@ def separate_lists(text: str) -> str:
             continue
         at = n.start
         for k, line in enumerate(text[n.start : n.end].split("\n")):
-            begin = 0 if k == 0 else len(re.match(r"[ >]*", line)[0])
+            begin = 0 if k == 0 else len(line) - len(line.lstrip(" "))
             before = text[n.start : at].rstrip()
             if k and re.match(r"(?:[-*+]|1[.)])[ \t]+\S", line[begin:]) and before:
                 edits.append((at, at, f"{prefix_of(text, at + begin).rstrip()}\n"))
@@ -337,7 +332,8 @@ def wrap_paragraphs(text: str, wrapper: Wrapper) -> str:
                 for k in range(x.start - n.start, x.end - n.start):
                     chars[k] = chars[k].translate(_HIDE)
         body = "".join(chars)
-        body = re.sub(r"\n[ \t>]*", "\n", body)
+        marks = r"\n[ \t>]*" if any(x.kind == "quote" for x in above) else r"\n[ \t]*"  # elsewhere `>` is text
+        body = re.sub(marks, "\n", body)
         head = ""
         if above and above[-1].kind == "quote" and (m := _ALERT.match(body)):
             head, body = f"{first}{m[0].strip().upper()}\n", body[m.end() :].lstrip("\n")
@@ -450,23 +446,48 @@ def wrapper_of(options: Options) -> Wrapper | None:
     return markdown_by_width(options.width) if options.width > 0 else None
 
 
+_ITEM_LINE = r"(?m)^[ >]*(?:[-*+]|\(?[\w@#-]+[.)])(?:[ \t]|$)"
+#: Passes before and after wrapping, each with what a text must hold for it to have something to do: a pass whose
+#: pattern isn't there needs no parse of the text.
+BEFORE = (
+    (expand_tabs, r"\t"),
+    (spell, r"[_\[$]|  \n|:::\{"),
+    (drop_escapes, r"\\\."),
+    (space_tags, r"\{%|\{#|\{\{|<!--"),
+    (separate_lists, r"\n[ >]*(?:[-*+]|1[.)])[ \t]"),
+    (separate_notes, r"\n {0,3}\[\^"),
+    (place_items, _ITEM_LINE),
+    (space_tags, r"\{%|\{#|\{\{|<!--"),  # next to lists that the passes above set apart
+)
+AFTER = (
+    (fence_code, r"(?m)^[ >]*(?: {4}|\t)"),
+    (align_tables, r"\|"),
+    (same_rules, r"(?m)(?:[-*_][ \t]*){3,}$"),
+    (close_gaps, r"\n[ \t]*\n[ \t]*\n"),
+    (space_headings, r"#|\n[ >]*(?:=+|-+)[ \t]*(?:\n|$)"),
+    (quote_blanks, r">"),
+)
+
+
 def format_body(text: str, options: Options, wrapper: Wrapper | None = None) -> tuple[str, int]:
     """All passes over Markdown without its frontmatter; how many hyphens were closed."""
     joined = 0
-    for step in (expand_tabs, spell, drop_escapes, space_tags, separate_lists, separate_notes, place_items):
-        text = step(text)
+    for step, needs in BEFORE:
+        text = step(text) if re.search(needs, text) else text
     if "cleanups" in options.passes:
-        text, joined = join_hyphens(unbold_headings(text))
-    if "smartquotes" in options.passes:
+        text = unbold_headings(text) if "**" in text or "__" in text else text
+        text, joined = join_hyphens(text) if "-\n" in text else (text, 0)
+    if "smartquotes" in options.passes and re.search("[\"']", text):
         text = curl(text)
-    if "ellipses" in options.passes:
+    if "ellipses" in options.passes and "..." in text:
         text = dots(text)
     wrapper = wrapper or wrapper_of(options)
     if wrapper:
         text = wrap_paragraphs(text, wrapper)
-    text = space_items(text, options.list_spacing)
-    for step in (fence_code, align_tables, same_rules, close_gaps, space_headings, quote_blanks):
-        text = step(text)
+    if re.search(_ITEM_LINE, text):
+        text = space_items(text, options.list_spacing)
+    for step, needs in AFTER:
+        text = step(text) if re.search(needs, text) else text
     return text, joined
 
 

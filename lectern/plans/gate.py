@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column
 
 from lectern.functions.arrow import udf_of
-from lectern.plans.reader import Node, read
+from lectern.plans.reader import Node, parsed
 
 #: Changes that a format may make. The first four are applied to both sides; the last two only to the source.
 NORMALIZATIONS = ("unbold_heading", "list_spacing", "smart_quotes", "alert_type", "lazy_list", "hyphen_join")
@@ -63,7 +63,7 @@ def _block(n: Node) -> list:
 
 @lru_cache(maxsize=32)
 def canonical(text: str) -> list:
-    return [_block(n) for n in read(text) if n.kind != "message"]
+    return [_block(n) for n in parsed(text) if n.kind != "message"]
 
 
 def _changed(tree, names: frozenset[str]):

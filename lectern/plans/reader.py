@@ -3,7 +3,7 @@
 Blocks: frontmatter, ATX and setext headings, paragraphs, fenced and indented code, block quotes, bullet and ordered
 lists (also fancy and example markers), pipe tables, thematic breaks, fenced divs, HTML blocks, TeX environments,
 template tags on a line of their own, footnote and link definitions. Neither a list, a heading nor a quote interrupts
-a paragraph (but a list does in a list item); a fence, a div fence and a tag line do. Inlines: code, math, links, images, autolinks, bare URLs,
+a paragraph (but a list does in a list item); a fence, a div fence, a footnote's definition and a tag line do. Inlines: code, math, links, images, autolinks, bare URLs,
 wikilinks, citations, footnotes, spans with attributes, emphasis, strong, strikeout, raw TeX and HTML, hard breaks.
 
 A node has the range of its source, ``start`` and ``end`` in characters, and a row number; rows are in pre-order. What
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -273,7 +273,7 @@ class Blocks:
             elif spaces >= width or spaces >= 4:
                 cut = min(width, spaces)
                 items[-1].append(Line(x.text[cut:], x.start + cut))
-            elif gap or found or FENCE.match(x.text) or DIV.match(x.text) or starts_with_tag(x.text):
+            elif gap or found or FENCE.match(x.text) or DIV.match(x.text) or NOTE.match(x.text) or starts_with_tag(x.text):
                 break
             else:
                 items[-1].append(Line(x.text.lstrip(" "), x.start + spaces))  # a lazy line
@@ -392,7 +392,7 @@ class Blocks:
         m = FENCE.match(line.text)
         if m and not (m[1][0] == "`" and "`" in m[2]):
             return True
-        return bool(DIV.match(line.text)) or bool(self.tag([line], 0, line.text))
+        return bool(DIV.match(line.text) or NOTE.match(line.text)) or bool(self.tag([line], 0, line.text))
 
     def paragraph(self, lines: list[Line], k: int, tight: bool, in_item: bool) -> tuple[Node, int]:
         j = k + 1
@@ -653,6 +653,12 @@ def read(text: str) -> list[Node]:
     return [*out, *reader.messages]
 
 
+@lru_cache(maxsize=32)
+def parsed(text: str) -> tuple[Node, ...]:
+    """``read``, remembered for the passes over one document."""
+    return tuple(read(text))
+
+
 def rows(text: str) -> list[dict]:
     """``read`` flattened in pre-order; headings without an identifier get one, counted up where it is taken."""
     out: list[dict] = []
