@@ -9,7 +9,9 @@ shuffle), so a group brings one task at most the cells of the grid, however many
 concentration steps order cells instead of documents and take the means and covariances from the exact sums.
 
 Defined cases: a null text has no words and fails the base rule. Null languages and sources are groups of
-their own. A group with under ``MIN_GROUP`` passing documents gives no estimate: its documents are kept.
+their own. A group with under ``MIN_GROUP`` passing documents is judged by the estimate of its language, and
+where that has too few by that of the whole corpus; only a corpus with a single passing document has none, and
+that document is kept.
 Variances are floored (``FLOOR``), so a group whose statistics don't vary rejects nothing near its centre.
 """
 
@@ -30,6 +32,8 @@ from lectern.llm.common import cut, mapped, without_ids
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 MIN_WORDS = 50
 MIN_GROUP = 40
+#: Documents that an estimate needs: of a language and source, of a language, of the corpus (one is its own centre).
+LEAST = (MIN_GROUP, MIN_GROUP, 2)
 #: Share of a group that the estimate is made from.
 SHARE = 0.75
 #: Squared distance beyond which a document goes.
@@ -136,25 +140,39 @@ def mcd(count: np.ndarray, sums: np.ndarray, products: np.ndarray, share: float
 
 
 def estimates(stats: DataFrame) -> DataFrame:
-    """lang, source, mean, precision for each group with enough documents that pass the base rule."""
+    """lang, source, mean, precision for each group with documents that pass the base rule: its own estimate, or for a
+    group with under ``MIN_GROUP`` of them its language's, or where that has too few as well the whole corpus's."""
     xs = [F.least(x, F.lit(t)) for x, t in zip(transformed(), TOP)]
     rows = stats.where(~base_failed()).select("lang", "source", *[x.alias(f"x{k}") for k, x in enumerate(xs)])
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
+    grid = [f"q{k}" for k in range(P)]
     cells = rows.groupBy("lang", "source", *[F.floor(F.col(f"x{k}") / CELL[k]).alias(f"q{k}") for k in range(P)]).agg(
         F.count("*").alias("n"), *[F.sum(f"x{k}").alias(f"s{k}") for k in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in pairs]
     )
+    totals = [x for x in cells.columns if x not in ("lang", "source", *grid)]
+    # each cell counts for its group, its language and the corpus
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source")) for k, (lang, source) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), F.lit(None)), (F.lit(None), F.lit(None))])])
+    pooled = cells.withColumn("l", F.explode(levels)).groupBy("l.level", "l.lang", "l.source", *grid).agg(*[F.sum(x).alias(x) for x in totals])
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.n.sum() < MIN_GROUP:
-            return pd.DataFrame({"lang": [], "source": [], "mean": [], "precision": []}, dtype=object)
-        pdf = pdf.sort_values([f"q{k}" for k in range(P)])
+        few = pdf.n.sum() < LEAST[key[0]]
+        if few and key[0]:
+            return pd.DataFrame({"level": [], "lang": [], "source": [], "mean": [], "precision": []}, dtype=object)
+        if few:
+            return pd.DataFrame({"level": [key[0]], "lang": [key[1]], "source": [key[2]], "mean": [None], "precision": [None]})
+        pdf = pdf.sort_values(grid)
         products = np.empty((len(pdf), P, P))
         for i, j in pairs:
             products[:, i, j] = products[:, j, i] = pdf[f"p{i}{j}"]
         mean, cov = mcd(pdf.n.to_numpy(float), pdf[[f"s{k}" for k in range(P)]].to_numpy(float), products)
-        return pd.DataFrame({"lang": [key[0]], "source": [key[1]], "mean": [mean.tolist()], "precision": [np.linalg.inv(cov).ravel().tolist()]})
+        return pd.DataFrame({"level": [key[0]], "lang": [key[1]], "source": [key[2]], "mean": [mean.tolist()], "precision": [np.linalg.inv(cov).ravel().tolist()]})
 
-    return cells.groupBy("lang", "source").applyInPandas(fit, "lang string, source string, mean array<double>, precision array<double>")
+    e = cut(pooled.groupBy("level", "lang", "source").applyInPandas(fit, "level int, lang string, source string, mean array<double>, precision array<double>"))
+    groups = e.where("level = 0").select("lang", "source", F.struct("mean", "precision").alias("own"))
+    langs = e.where("level = 1").select(F.col("lang").alias("e_lang"), F.struct("mean", "precision").alias("of_lang"))
+    corpus = e.where("level = 2").select(F.struct("mean", "precision").alias("of_all"))
+    found = groups.join(langs, groups.lang.eqNullSafe(langs.e_lang), "left").join(F.broadcast(corpus), F.lit(True), "left")
+    return found.select("lang", "source", *[F.coalesce(*[F.col(f"{w}.{x}") for w in ("own", "of_lang", "of_all")]).alias(x) for x in ("mean", "precision")]).where("mean IS NOT NULL")
 
 
 def judged(stats: DataFrame) -> DataFrame:
@@ -167,7 +185,7 @@ def judged(stats: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """The statistics of each row of ``docs`` with base_failed, distance (null: no estimate) and kept."""
+    """The statistics of each row of ``docs`` with base_failed, distance (null: no estimate, as no or one document of the corpus passes the base rule, or none of the group does) and kept."""
     return judged(cut(statistics(docs)))
 
 

@@ -67,6 +67,21 @@ def test_distances_match_brute_force(spark, corpus):
         assert abs(x @ np.reshape(precision, (q.P, q.P)) @ x - r.distance) < 1e-6 * max(1, r.distance)
 
 
+def test_small_groups_are_judged_by_the_language_or_the_corpus(spark):
+    """60 sources of 2 documents, a language of 5, and a corpus of 12: no group has MIN_GROUP documents."""
+    rng = random.Random(8)
+
+    def text(bad):
+        w = ["".join(rng.choice("etaoin") for _ in range(rng.randint(3, 8))) for _ in range(120)]
+        return " ".join(x + "###" if bad else x for x in w)
+
+    rows = [(k, text(k % 20 == 0), "en", f"s{k // 2}", 0) for k in range(120)] + [(200 + k, text(k == 0), None, None, 0) for k in range(5)]
+    for some in (rows, rows[:12]):
+        got = q.quality_rules(spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+        assert all(r.distance is not None for r in got) and len(got) == len(some)
+        assert {r.doc_id for r in got if not r.kept} == {r[0] for r in some if "#" in r[1]}
+
+
 def test_odd_rows(odd, none):
     got = {(r.doc_id, r.n_words): r for r in q.quality_rules(odd).collect()}
     assert got[1, 0].base_failed and not got[1, 0].kept
