@@ -12,11 +12,15 @@ Tokens are the white-space separated words without the marks around them. ``<num
 neighbouring names with no mark between them are one. Windows with under ``LITERALS`` plain words tell nothing and
 aren't looked at.
 
+Documents and items are read in three ways, each with windows of its own in the same table: with these tokens; word by
+word with case folded, so that every window tells (capitals, lower-cased copies, items of names or numbers); and with
+tokens that don't depend on case: a word is plain if the benchmark's block has it in small letters somewhere, else a name
+(copies in one case whose figures or people were exchanged). The first way that finds an item gives its row.
+
 The benchmark is read in blocks of about ``BLOCK_CHARS`` characters (by hash of its text), each a table that a task
 holds; every block runs over all documents, so neither the table's size nor the documents are cut.
 
-Defined cases: null or empty texts match nothing; items with no telling window (under ``WINDOW`` tokens) are never
-found; equal items count as one, which has the smallest item_id; an empty benchmark finds nothing. Rows keep their
+Defined cases: null or empty texts match nothing; items of under ``WINDOW`` words are never found; equal items count as one, which has the smallest item_id; an empty benchmark finds nothing. Rows keep their
 doc_id, null or repeated; other columns don't matter.
 """
 
@@ -39,7 +43,7 @@ LITERALS = 2
 CONTAINED = 0.8
 CONSISTENT = 0.8
 RUN_WORDS = 13
-#: Characters of benchmark text in a block: a worker holds about 15 bytes for each.
+#: Characters of benchmark text in a block: a worker holds about 35 bytes for each.
 BLOCK_CHARS = 8_000_000
 #: Diagonals this near each other belong to one cluster.
 DRIFT = 8
@@ -56,8 +60,9 @@ UNITS = frozenset(
     "month months year years percent dollar dollars euro euros cent cents pound pounds usd eur degree degrees".split()
 )
 NUM, NAME, UNIT, FIRST = 1, 2, 3, 4
-#: A word's code: its number, times 4, plus 2 if it can be a unit, plus 1 if a mark follows it.
-STEP, IS_UNIT, CLOSED = 4, 2, 1
+#: A word's code: its number, times STEP, plus its kind (NUM, NAME or 0) times KIND, plus the other flags that it has.
+STEP, KIND, BREAK, PLAIN, IS_UNIT, CLOSED = 64, 16, 8, 4, 2, 1
+READINGS = 3
 SCHEMA = "doc_id long, item_id long, n_windows int, n_found int, containment double, consistency double, verbatim_words int, reparameterised boolean"
 
 
@@ -66,54 +71,69 @@ def core(word: str) -> str:
 
 
 class Codes(dict):
-    """word → its code; words that the benchmark lacks have number 0. ``learn``: give new words numbers."""
+    """word → its code. numbers: folded word → its number, times 2, plus 1 if the benchmark has it in small letters;
+    words that the benchmark lacks have number 0."""
 
-    def __init__(self, numbers: dict[str, int], learn: bool = False):
-        self.numbers, self.learn = numbers, learn
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers = numbers
 
     def __missing__(self, word: str) -> int:
         c = core(word)
-        closed = CLOSED if not word.endswith(c[-1:]) else 0
         if not c:
             code = -1
-        elif c[0].isdigit():
-            code = NUM * STEP + closed
-        elif c[0].isupper():
-            code = NAME * STEP + closed
+        elif word == BETWEEN:
+            code = BREAK
         else:
-            c = c.lower()
-            if self.learn:
-                self.numbers.setdefault(c, len(self.numbers) + FIRST)
-            code = self.numbers.get(c, 0) * STEP + closed + IS_UNIT * (c in UNITS)
+            folded = c.casefold()
+            number, plain = divmod(self.numbers.get(folded, 0), 2)
+            closed = CLOSED if not word.endswith(c[-1:]) else 0
+            code = number * STEP + kind_of(c) * KIND + plain * PLAIN + IS_UNIT * (folded in UNITS) + closed
         self[word] = code
         return code
 
 
-def template(words: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """tokens, first, last: the template's tokens and the words each stands for (first to last, positions)."""
+def kind_of(c: str) -> int:
+    return NUM if c[0].isdigit() else NAME if c[0].isupper() else 0
+
+
+def numbered(texts: list[str]) -> dict[str, int]:
+    """``Codes.numbers`` of the benchmark's texts."""
+    words = [c for text in texts for w in text.split() if (c := core(w))]
+    plain = {c.casefold() for c in words if not kind_of(c)}
+    return {w: 2 * (k + FIRST) + (w in plain) for k, w in enumerate(dict.fromkeys(c.casefold() for c in words))}
+
+
+def readings(words: list[str], codes: Codes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """tokens, first, last of each way to read: the tokens and the words each stands for (first to last, positions)."""
     if len(codes) > REMEMBERED:
         codes.clear()
     code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
     at = np.flatnonzero(code >= 0)
     code = code[at]
-    token = code // STEP
+    number, kind = code // STEP, code // KIND % (STEP // KIND)
     if not len(code):
-        return token, at, at
+        return [(number, at, at)] * READINGS
+    kindless = np.where(kind == NUM, NUM, np.where(code & (PLAIN | BREAK) > 0, number, NAME))
+    return [merged(np.where(kind > 0, kind, number), code, kind == 0, at), (number, at, at), merged(kindless, code, kind != NUM, at)]
+
+
+def merged(token: np.ndarray, code: np.ndarray, may_be_unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tokens with units after numbers and neighbouring names as one, first, last."""
     before = np.r_[0, token[:-1]]
-    token = np.where((code & IS_UNIT > 0) & (before == NUM), UNIT, token)
+    token = np.where((code & IS_UNIT > 0) & may_be_unit & (before == NUM), UNIT, token)
     goes_on = np.r_[False, (token[1:] == NAME) & (token[:-1] == NAME) & (code[:-1] & CLOSED == 0)]
     start = np.flatnonzero(~goes_on)
     return token[start], at[start], at[np.r_[start[1:] - 1, len(at) - 1]]
 
 
-def window_hashes(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """hash of each telling window, and where it begins."""
+def window_hashes(token: np.ndarray, reading: int) -> tuple[np.ndarray, np.ndarray]:
+    """hash of each telling window, and where it begins; no two readings share hashes."""
     n = len(token) - WINDOW + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     plain, known = np.r_[0, np.cumsum(token >= FIRST)], np.r_[0, np.cumsum(token > 0)]
     at = np.flatnonzero((known[WINDOW:] - known[:-WINDOW] == WINDOW) & (plain[WINDOW:] - plain[:-WINDOW] >= LITERALS))
-    h = np.zeros(len(at), np.uint64)
+    h = np.full(len(at), reading, np.uint64)
     for k in range(WINDOW):
         h = (h ^ token[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -122,40 +142,48 @@ def window_hashes(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Table:
-    """A block of the benchmark: equal items once."""
+    """A block of the benchmark: equal items once. An entry is an item in one way to read it."""
 
     numbers: dict[str, int]
     ids: list[int | None]
     words: list[list[str]]
+    owner: list[int]  # of each entry its item, and how it is read
+    reading: list[int]
     spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     n_windows: list[int]
-    hashes: np.ndarray  # ascending, with the item and the position of each
-    item: np.ndarray
+    hashes: np.ndarray  # ascending, with the entry and the position of each
+    entry: np.ndarray
     position: np.ndarray
-    least: np.ndarray  # windows that an item must have in a text to be contained, or to have a run
+    least: np.ndarray  # windows of an entry that must be in a text to be contained, or to have a run
     seen: np.ndarray  # by a hash's first bits, whether the table has one of those
 
 
 def build(items: list[tuple[int | None, str]]) -> Table:
-    codes = Codes({}, learn=True)
-    ids, words, spans, n_windows, hashes, owner, position = [], [], [], [], [], [], []
+    ids, words, owner, ways, spans, n_windows, hashes, entry, position = [], [], [], [], [], [], [], [], []
     smallest: dict[str, int | None] = {}
     for i, text in items:
         key = " ".join((text or "").split())
         if key not in smallest or (i is not None and (smallest[key] is None or i < smallest[key])):
             smallest[key] = i
-    for text, i in sorted(smallest.items()):
-        w = text.split()
-        span = template(w, codes)
-        h, at = window_hashes(span[0])
-        if len(h):
-            hashes.append(h), owner.append(np.full(len(h), len(ids))), position.append(at)
-            ids.append(i), words.append(w), spans.append(span), n_windows.append(len(h))
+    texts = sorted(smallest.items())
+    numbers = numbered([text for text, _ in texts])
+    codes = Codes(numbers)
+    for text, i in texts:
+        w, told = text.split(), False
+        for reading, span in enumerate(readings(w, codes)):
+            h, at = window_hashes(span[0], reading)
+            if len(h):
+                hashes.append(h), entry.append(np.full(len(h), len(owner))), position.append(at)
+                owner.append(len(ids)), ways.append(reading), spans.append(span), n_windows.append(len(h))
+                told = True
+        if told:
+            ids.append(i), words.append(w)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     order = np.argsort(h, kind="stable")
     seen = np.zeros(1 << 20, bool)
     seen[h >> np.uint64(44)] = True
-    return Table(codes.numbers, ids, words, spans, n_windows, h[order], (np.concatenate(owner) if hashes else np.zeros(0, int))[order], (np.concatenate(position) if hashes else np.zeros(0, int))[order], np.minimum(CONTAINED * np.array(n_windows), RUN_WORDS - WINDOW + 1), seen)
+    entry, position = (np.concatenate(x)[order] if x else np.zeros(0, int) for x in (entry, position))
+    return Table(numbers, ids, words, owner, ways, spans, n_windows, h[order], entry, position, np.minimum(CONTAINED * np.array(n_windows), RUN_WORDS - WINDOW + 1), seen)
 
 
 def filler(words: list[str], last: int) -> str:
@@ -212,38 +240,39 @@ def stretches(n: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
 
 
 def contaminations(text: str | None, table: Table, codes: Codes) -> list[tuple]:
-    """(item, found, consistency, verbatim words) for each item that ``text`` contains."""
+    """(entry, found, consistency, verbatim words) for each item that ``text`` contains: of the first reading that has it."""
     words = (text or "").split()
-    span = template(words, codes)
-    h, at = window_hashes(span[0])
+    spans = readings(words, codes)
+    h, at = map(np.concatenate, zip(*(window_hashes(span[0], k) for k, span in enumerate(spans))))
     hit = np.flatnonzero(table.seen[h >> np.uint64(44)])
     if not len(hit):
         return []
     h, at = h[hit], at[hit]
     h, which = np.unique(h, return_inverse=True)
     low, high = np.searchsorted(table.hashes, h, "left"), np.searchsorted(table.hashes, h, "right")
-    # how many of an item's windows the text has: only items with enough of them are looked at in detail
-    count = np.zeros(len(table.ids), np.int64)
+    # how many of an entry's windows the text has: only entries with enough of them are looked at in detail
+    count = np.zeros(len(table.owner), np.int64)
     for s, e in stretches(high - low):
-        count += np.bincount(table.item[ranges(low[s:e], high[s:e])[0]], minlength=len(count))
+        count += np.bincount(table.entry[ranges(low[s:e], high[s:e])[0]], minlength=len(count))
     enough = count >= table.least
     if not enough.any():
         return []
     parts = []
     for s, e in stretches((high - low)[which]):
         where, n = ranges(low[which[s:e]], high[which[s:e]])
-        kept = enough[table.item[where]]
-        parts.append((table.item[where][kept], table.position[where][kept], np.repeat(at[s:e], n)[kept]))
-    item, q, p = (np.concatenate(x) for x in zip(*parts))
-    out = []
-    order = np.argsort(item, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
-        i = int(item[part[0]])
-        if len(part) >= table.least[i]:
-            got = judge(words, span, table.words[i], table.spans[i], table.n_windows[i], p[part], q[part])
+        kept = enough[table.entry[where]]
+        parts.append((table.entry[where][kept], table.position[where][kept], np.repeat(at[s:e], n)[kept]))
+    entry, q, p = (np.concatenate(x) for x in zip(*parts))
+    out: dict[int, tuple] = {}
+    order = np.argsort(entry, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(entry[order])) + 1):
+        i = int(entry[part[0]])
+        mine = table.owner[i]
+        if mine not in out and len(part) >= table.least[i]:
+            got = judge(words, spans[table.reading[i]], table.words[mine], table.spans[i], table.n_windows[i], p[part], q[part])
             if got:
-                out.append((i, *got))
-    return out
+                out[mine] = (i, *got)
+    return list(out.values())
 
 
 def suspects(texts: list[str | None], table: Table, codes: Codes) -> list[int]:
@@ -256,12 +285,14 @@ def suspects(texts: list[str | None], table: Table, codes: Codes) -> list[int]:
             words.append(BETWEEN)
             ends.append(len(words))
             at += 1
-        token, first, _ = template(words, codes)
-        h, where = window_hashes(token)
-        hit = np.flatnonzero(table.seen[h >> np.uint64(44)])
-        h, where = h[hit], where[hit]
-        found = np.searchsorted(table.hashes, h, "left") < np.searchsorted(table.hashes, h, "right")
-        out += (begun + np.unique(np.searchsorted(ends, first[where[found]], "right"))).tolist()
+        hits = []
+        for reading, (token, first, _) in enumerate(readings(words, codes)):
+            h, where = window_hashes(token, reading)
+            hit = np.flatnonzero(table.seen[h >> np.uint64(44)])
+            h, where = h[hit], where[hit]
+            found = np.searchsorted(table.hashes, h, "left") < np.searchsorted(table.hashes, h, "right")
+            hits.append(first[where[found]])
+        out += (begun + np.unique(np.searchsorted(ends, np.concatenate(hits), "right"))).tolist()
     return out
 
 
@@ -284,7 +315,7 @@ def contaminated_by(docs: DataFrame, table: Table) -> DataFrame:
             for k in suspects(texts, table, codes):
                 for i, found, consistency, run_words in contaminations(texts[k], table, codes):
                     size = len(table.spans[i][0])
-                    rows.append((b.column(0)[k].as_py(), table.ids[i], table.n_windows[i], found, found / table.n_windows[i], consistency, run_words, run_words < min(size, RUN_WORDS)))
+                    rows.append((b.column(0)[k].as_py(), table.ids[table.owner[i]], table.n_windows[i], found, found / table.n_windows[i], consistency, run_words, run_words < min(size, RUN_WORDS)))
             columns = list(zip(*rows)) or [()] * 8
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])

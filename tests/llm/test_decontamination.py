@@ -53,6 +53,28 @@ def test_exchanged_figures_and_names(text, found):
     assert bool(d.contaminations(text, table, d.Codes(table.numbers))) is found
 
 
+LIST = "Anna Berg, Tom Lee, Sue Ray and Max Orr: 5, 12, 31, 40, 52"
+
+
+@pytest.mark.parametrize(
+    "item, text, found",
+    [
+        (QUESTION, "x " + QUESTION.upper() + " y", True),
+        (QUESTION, "x " + QUESTION.lower() + " y", True),
+        (QUESTION.upper(), "x " + QUESTION + " y", True),
+        (QUESTION, QUESTION.replace("Anna Berg", "Tom Lee").replace("5", "7").upper(), True),
+        (QUESTION, QUESTION.replace("Anna Berg", "Tom Lee").replace("5", "7").lower(), True),
+        (QUESTION, QUESTION.replace("Anna Berg buys", "Tom Lee buys").replace("Anna Berg keep", "Sue keep").replace("5", "9").replace("12", "1").upper(), False),
+        (LIST, "so " + LIST + " or", True),
+        (LIST, "so " + LIST.replace("Anna Berg", "Ann Lee").replace("12, 31", "8, 9") + " or", False),
+    ],
+)
+def test_case_alone_decides_nothing(item, text, found):
+    table = d.build([(1, item)])
+    codes = d.Codes(table.numbers)
+    assert bool(d.suspects(["a b", text], table, codes) == [1] and d.contaminations(text, table, codes)) is found
+
+
 def test_equal_items_count_once():
     table = d.build([(9, QUESTION), (4, QUESTION), (None, QUESTION), (5, "too short")])
     assert table.ids == [4]
