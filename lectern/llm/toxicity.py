@@ -8,7 +8,8 @@ confirmed on fold 1 with a model of folds 2 to 4, so accuracy on fold 0 isn't wh
 rows outside fold 0; rows of n-grams that aren't found clearly more or less often in toxic documents
 (``LEAST_Z``) stay zero, or a mean over thousands of n-grams would learn their noise. As mean and softmax are
 both linear, a worker keeps one number for each word: unseen misspellings get theirs from the n-grams they
-share with known words.
+share with known words. Runs without white space of over ``LONGEST`` characters (Chinese, joined words) are cut into
+pieces that overlap by four characters, so no n-gram is lost, and each piece weighs as a word.
 
 Defined cases: an empty or null text has a zero vector and gets the softmax's intercept. Without labelled rows,
 or with one class only, every score is that class's share (0 without any).
@@ -45,13 +46,30 @@ CUT = 0.5
 REMEMBERED = 400_000
 AT_ONCE = 20_000
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|+=~_-…“”‘’«»/\\@^`"
-#: Characters of a word that count.
+#: Characters of a word or of a piece of one, and those that neighbouring pieces share: the longest n-gram's less one.
 LONGEST = 64
+SHARED = 4
+
+
+def words_of(text: str) -> list[str]:
+    """The raw words of a text; a longer one than LONGEST as its pieces, which begin with a blank and have the word's ends
+    marked already."""
+    raw = text.split()
+    if len(text) <= LONGEST or max(map(len, raw), default=0) <= LONGEST:
+        return raw
+    out = []
+    for x in raw:
+        if len(x) <= LONGEST or len(w := x.strip(EDGE).lower()) <= LONGEST:
+            out.append(x)
+            continue
+        for k in range(0, len(w) - SHARED, LONGEST - SHARED):
+            out.append(" " + "<" * (k == 0) + w[k : k + LONGEST] + ">" * (k + LONGEST >= len(w)))
+    return out
 
 
 def subwords(raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """owner, bucket of each character n-gram of the words: the position of its word, and its row."""
-    words = [f"<{w}>" if (w := x.strip(EDGE).lower()[:LONGEST]) else "" for x in raw]
+    words = [x[1:] if x[:1] == " " else f"<{w}>" if (w := x.strip(EDGE).lower()) else "" for x in raw]
     point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
     owners, buckets = [], []
@@ -95,7 +113,7 @@ class Logits(dict):
 
 
 def score(text: str | None, logits: Logits) -> float:
-    raw = (text or "").split()
+    raw = words_of(text or "")
     if any(w not in logits for w in raw):
         logits.learn(set(raw))
     z = np.fromiter(map(logits.__getitem__, raw), float, len(raw))
@@ -108,7 +126,7 @@ def score(text: str | None, logits: Logits) -> float:
 
 def bag(text: str, known: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a document and what share each has of its mean; known: raw word → buckets, shares."""
-    counts = Counter(text.split())
+    counts = Counter(words_of(text))
     if new := [w for w in counts if w not in known]:
         owner, bucket = subwords(new)
         order = np.argsort(owner, kind="stable")
@@ -178,7 +196,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             out: list[float] = []
             for at in range(0, b.num_rows, 100):  # new words of some documents at once
                 texts = b.column(1).slice(at, 100).to_pylist()
-                logits.learn(set(chain.from_iterable(t.split() for t in texts if t)))
+                logits.learn(set(chain.from_iterable(words_of(t) for t in texts if t)))
                 out += [score(t, logits) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 

@@ -43,6 +43,26 @@ def test_unseen_misspellings_share_ngrams(corpus):
     assert toxicity.score("grubbleworst " * 5 + "the table", logits) > toxicity.score("the house table", logits)
 
 
+@pytest.mark.parametrize("n", [64, 65, 66, 68, 69, 124, 125, 128, 129, 1000])
+def test_pieces_of_long_words_lose_no_ngram(monkeypatch, n):
+    rng = random.Random(n)
+    w = "".join(rng.choice("abcdefghij_你好") for _ in range(n - 2))
+    text = f"short *a{w}b, {w[:5]}"
+    pieces = toxicity.words_of(text)
+    found = set(toxicity.subwords(pieces)[1].tolist())
+    monkeypatch.setattr(toxicity, "LONGEST", 10**6)
+    assert toxicity.words_of(text) == text.split() and set(toxicity.subwords(text.split())[1].tolist()) == found
+    assert len(pieces) == 2 + max(1, -(-(n - 4) // 60))
+
+
+def test_long_words_count_whole(corpus):
+    docs, labels = corpus
+    model = toxicity.fit([(r.text, r.toxic) for r in docs.join(labels, "doc_id").select("text", "toxic").collect()])
+    logits = toxicity.Logits(model)
+    clean, toxic = "the_house_walks_under_" * 5, "grubbleworm_snorkhead_vilefritz_" * 40
+    assert toxicity.score(clean, logits) < toxicity.CUT <= toxicity.score(clean + toxic, logits)
+
+
 @pytest.mark.parametrize("module, empty", [(quality, 1.0), (toxicity, 0.0)])
 def test_odd_rows(spark, odd, none, corpus, module, empty):
     labels = corpus[1].selectExpr("*").union(spark.createDataFrame([(None, 1, 1), (1, None, None), (5, 0, 1), (5, 1, 0)], LABELS))
