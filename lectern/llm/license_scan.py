@@ -153,26 +153,33 @@ def starts_of(group: list[tuple[int, str, list[str]]], number: int, anchor: Colu
 
 
 def windows_of(rows: DataFrame, groups: list, anchor: Column) -> DataFrame:
-    """doc_id, digest, class, start, held of all windows that can match, their shingles as hashes. rows: doc_id, digest, words."""
+    """doc_id, digest, class, start, shingle, held of all windows that can match, their shingles as hashes in order. rows: doc_id, digest, words."""
     hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchor, w), i)), lambda i: i.isNotNull())
     starts = F.concat(*[starts_of(g, c, anchor) for c, g in enumerate(groups)])
     windows = rows.select("*", hits.alias("hits")).where(F.size("hits") > 0).select("doc_id", "digest", "words", F.explode(starts).alias("x"))
     windows = windows.select("doc_id", "digest", "x.class", "x.start", "x.shingle", F.slice("words", F.col("x.start") + 1, F.col("x.length")).alias("part"))
     held = F.transform(F.sequence(F.lit(0), F.size("part") - F.col("shingle")), lambda i: F.xxhash64(F.array_join(F.slice("part", i + 1, F.col("shingle")), " ")))
-    return windows.select("doc_id", "digest", "class", "start", F.array_distinct(held).alias("held"))
+    return windows.select("doc_id", "digest", "class", "start", "shingle", held.alias("held"))
 
 
-def template_table(spark, groups: list[list[tuple[int, str, list[str]]]]) -> DataFrame:
-    """class, template, license, wanted: the templates, shingles as hashes."""
-    rows = [(c, k, name, len(words), shingles_of(words)) for c, group in enumerate(groups) for k, name, words in group]
-    table = spark.createDataFrame(rows, "class int, template int, license string, size int, shingles array<string>")
-    return table.select("class", "template", "license", "size", F.transform("shingles", lambda s: F.xxhash64(s)).alias("wanted"))
+def variants_of(templates) -> dict[int, list[int]]:
+    """For each template the others whose wording alone is a match of it: a text that holds one of these more fully
+    holds that one instead."""
+    every = [set(shingles_of(python_words(text))) for _, text in templates]
+    return {k: [j for j, other in enumerate(every) if j != k and len(mine & other) >= CONTAINED * len(mine)] for k, mine in enumerate(every)}
+
+
+def template_table(spark, groups: list[list[tuple[int, str, list[str]]]], variants: dict[int, list[int]]) -> DataFrame:
+    """class, template, license, variants, wanted: the templates, shingles as hashes."""
+    rows = [(c, k, name, variants[k], shingles_of(words)) for c, group in enumerate(groups) for k, name, words in group]
+    table = spark.createDataFrame(rows, "class int, template int, license string, variants array<int>, shingles array<string>")
+    return table.select("class", "template", "license", "variants", F.transform("shingles", lambda s: F.xxhash64(s)).alias("wanted"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, template, license, containment, start, windows of each document and template that it holds: the best
-    window's share of the template's shingles, the first such window's word, and how many windows hold it. A template
-    whose best window overlaps a fuller match of another (a license's other version) isn't reported."""
+    window's share of the template's shingles, the first such window's word, and how many windows hold it. Windows whose
+    matched words overlap a fuller match of another version of the same wording don't count."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     groups = classes(templates)
@@ -184,15 +191,21 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     rows = docs.where(rough).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), words_of(text).alias("words"))
     windows = windows_of(rows, groups, anchor)
     keyed = windows.select("*", F.posexplode(bands(F.col("held"))).alias("band", "key"))
-    table = template_table(docs.sparkSession, groups)
+    table = template_table(docs.sparkSession, groups, variants_of(templates))
     keys = table.select("*", F.posexplode(bands(F.col("wanted"))).alias("band", "key"))
     met = keyed.join(F.broadcast(keys), ["class", "band", "key"])
     share = F.size(F.array_intersect("wanted", "held")) / F.size("wanted")
-    held = met.select("doc_id", "digest", "template", "license", "size", "start", share.alias("containment")).where(F.col("containment") >= CONTAINED)
-    best = F.max(F.struct("containment", (-F.col("start")).alias("before")))
-    found = held.groupBy("doc_id", "digest", "template", "license", "size").agg(best.alias("best"), F.count_distinct("start").alias("windows"))
-    one = F.struct("template", "license", F.col("best.containment").alias("containment"), (-F.col("best.before")).cast("int").alias("start"), "size", "windows")
-    each = found.groupBy("doc_id", "digest").agg(F.collect_list(one).alias("all"))  # a row for each template at most
-    fuller = lambda x, y: (y.containment > x.containment) & (y.start < x.start + x.size) & (x.start < y.start + y.size)
-    kept = F.filter("all", lambda x: ~F.exists("all", lambda y: fuller(x, y)))
-    return each.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.template", "x.license", "x.containment", "x.start", "x.windows")
+    at = F.filter(F.transform("held", lambda h, i: F.when(F.array_contains("wanted", h), i)), lambda i: i.isNotNull())
+    held = met.withColumn("containment", share).where(F.col("containment") >= CONTAINED).withColumn("at", at)
+    match = F.struct("template", "license", "variants", "containment", "start", (F.col("start") + F.array_min("at")).alias("begin"), (F.col("start") + F.array_max("at") + F.col("shingle")).alias("end"))
+    held = held.select("doc_id", "digest", match.alias("x")).distinct()
+    # matches meet in pieces of the text as long as the longest window, so however many a text has, few are together
+    piece = max(max(len(w) for _, _, w in group) + stride_of(len(group[0][2])) for group in groups)
+    pieces = F.array_distinct(F.array(F.floor(F.col("x.begin") / piece), F.floor((F.col("x.end") - 1) / piece)))
+    near = held.withColumn("piece", F.explode(pieces)).groupBy("doc_id", "digest", "piece").agg(F.collect_list("x").alias("all"))
+    fuller = lambda x, y: F.array_contains(x.variants, y.template) & (y.containment > x.containment) & (y.begin < x.end) & (x.begin < y.end)
+    told = F.transform("all", lambda x: F.struct(x.alias("x"), F.exists("all", lambda y: fuller(x, y)).alias("hidden")))
+    each = near.select("doc_id", "digest", F.explode(told).alias("t")).groupBy("doc_id", "digest", "t.x").agg(F.max("t.hidden").alias("hidden")).where(~F.col("hidden"))
+    best = F.max(F.struct("x.containment", (-F.col("x.start")).alias("before")))
+    found = each.groupBy("doc_id", "digest", "x.template", "x.license").agg(best.alias("best"), F.count_distinct("x.start").alias("windows"))
+    return found.select("doc_id", "template", "license", F.col("best.containment").alias("containment"), (-F.col("best.before")).cast("int").alias("start"), "windows")

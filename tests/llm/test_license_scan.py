@@ -62,6 +62,18 @@ def test_scan_matches_brute_force(spark):
     assert sum(map(len, got.values())) >= 60
 
 
+def test_only_the_same_passage_is_suppressed(spark):
+    text = {name: t for name, t in s.TEMPLATES}
+    bsd = "All rights reserved. " + text["BSD"].rsplit(" ", 1)[0] + " kept"
+    versions = text["GPL-3.0"] + " one two three four five six " + text["GPL-2.0"].replace("This", "Our", 1)
+    rows = [(1, "x y z " + bsd), (2, versions), (3, "x " + text["GPL-3.0"]), (4, " ".join([text["GPL-3.0"] + " and"] * 300 + [text["GPL-2.0"]]))]
+    got = {}
+    for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.containment
+    assert {k: set(x) for k, x in got.items()} == {1: {"all-rights-reserved", "BSD"}, 2: {"GPL-3.0", "GPL-2.0"}, 3: {"GPL-3.0"}, 4: {"GPL-3.0", "GPL-2.0"}}
+    assert got[1]["BSD"] < 1 and got[2]["GPL-2.0"] < 1 and got[4]["GPL-2.0"] == 1
+
+
 def test_odd_rows(spark, odd, none):
     assert s.scan(odd).count() == 0 and s.scan(none).count() == 0
     again = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "x All rights reserved. y"), (2, "rights")], "doc_id long, text string")
