@@ -7,8 +7,8 @@ lengths, depth, digit ratios, entropy, parameters and statistics of the host's s
 words (``SEED_WORDS``); from these the trees learn what such hosts look like.
 
 Rules are a short list in the query's code, so they are literals of one expression. Training is exact boosting with
-logistic loss over at most ``TRAIN_ROWS`` labelled URLs (the first by hash of the URL, so the same at any
-partitioning). Each feature is a number from 0 to ``BINS`` - 1; every level of a tree is one aggregation that sums
+logistic loss over at most ``TRAIN_ROWS`` different labelled URLs (the first by hash of the URL, so the same at any
+partitioning), each weighed by its copies. Each feature is a number from 0 to ``BINS`` - 1; every level of a tree is one aggregation that sums
 gradients by node, feature and bin, of which the driver gets at most nodes x features x bins rows. The finished trees
 are CASE expressions, so scoring is one projection inside the scan's stage.
 
@@ -162,19 +162,21 @@ def best_split(rows: list, names: list[str]) -> tuple[str, int] | float:
 
 
 def fit(labelled: DataFrame, limit: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> Model:
-    """Boost on at most ``limit`` rows of ``labelled`` (url, blocked); null URLs and labels are left out."""
-    rows = labelled.select("url", F.col("blocked").cast("int").alias("y")).where("url IS NOT NULL AND y IN (0, 1)").orderBy(F.xxhash64("url"), "url", "y").limit(limit)
+    """Boost on at most ``limit`` different URLs of ``labelled`` (url, blocked), weighed by their rows; null URLs and labels
+    are left out."""
+    rows = labelled.select("url", F.col("blocked").cast("int").alias("y")).where("url IS NOT NULL AND y IN (0, 1)")
+    rows = rows.groupBy("url").agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).orderBy(F.xxhash64("url"), "url").limit(limit)
     rows = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = cut(rows.select("y", suffix_of(F.col("host")).alias("suffix_name"), *[c.alias(k) for k, c in features(F.col("url"), F.col("host"), F.col("path")).items()]))
-    by_suffix = [(r.suffix_name, int(r.blocked), int(r.n)) for r in rows.groupBy("suffix_name").agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).orderBy(F.desc("n"), "suffix_name").limit(SUFFIXES).collect()]
-    blocked, n = (x or 0 for x in rows.agg(F.sum("y"), F.count("*")).first())
+    rows = cut(rows.select("n", "blocked", suffix_of(F.col("host")).alias("suffix_name"), *[c.alias(k) for k, c in features(F.col("url"), F.col("host"), F.col("path")).items()]))
+    by_suffix = [(r.suffix_name, int(r.blocked), int(r.n)) for r in rows.groupBy("suffix_name").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).orderBy(F.desc("n"), "suffix_name").limit(SUFFIXES).collect()]
+    blocked, n = (x or 0 for x in rows.agg(F.sum("blocked"), F.sum("n")).first())
     if not 0 < blocked < n:
         return Model(-60.0 if blocked == 0 else 60.0, [], {}, 0)
     model = Model(math.log(blocked / (n - blocked)), [], {s: share_bin(b, m) for s, b, m in by_suffix}, share_bin(blocked, n))
     known = F.create_map(*[x for s, b in sorted(model.suffix_bin.items()) for x in (F.lit(s), F.lit(b))])
-    names = [*[c for c in rows.columns if c not in ("y", "suffix_name")], "suffix"]
+    names = [*[c for c in rows.columns if c not in ("n", "blocked", "suffix_name")], "suffix"]
     cells = rows.withColumn("suffix", F.coalesce(F.element_at(known, "suffix_name"), F.lit(model.default_bin)))
-    cells = cut(cells.groupBy(*names).agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).coalesce(1))  # equal rows once
+    cells = cut(cells.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).coalesce(1))  # equal rows once
     columns = {k: F.col(k) for k in names}
     for _ in range(trees):
         p = model.score(columns)

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -50,6 +51,13 @@ def test_model_is_the_same_at_any_partitioning(pages):
     assert {r.page_id: r.score for r in u.filtered(pages.repartition(7)).collect()} == pytest.approx(one)
 
 
+def test_copies_of_urls_leave_room_for_others(spark):
+    urls = [(f"http://{'spam-x' if k % 2 else 'fine'}{k}.example.org/en/{k}", k % 2) for k in range(20)]
+    labelled = spark.createDataFrame([x for x in urls for _ in range(30 + 60 * x[1])], "url string, blocked int")
+    model = u.fit(labelled, limit=20, trees=1, depth=1)
+    assert model.prior == pytest.approx(math.log(3)) and len(model.trees) == 1
+
+
 def test_odd_rows(spark):
     none = spark.createDataFrame([], PAGE)
     assert u.filtered(none).count() == 0
