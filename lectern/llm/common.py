@@ -21,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder if it names one; a folder of our own only where nothing is set."""
+    """The cluster's shared folder; where none is named, a temporary one in local mode and an error on a cluster, whose
+    machines wouldn't see each other's files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -75,9 +79,10 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``limit`` labelled rows outside fold 0, the first by hash of their id.
+    """(text, label) of at most ``limit`` labelled documents outside fold 0, the first by hash of their id.
 
-    Labels of an id that disagree count as the smaller one; rows without id, label or text are left out.
+    Labels of an id that disagree count as the smaller one, and so do texts of a repeated id (the smallest as a string), so
+    the driver gets ``limit`` rows at most; rows without id, label or text are left out.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -87,5 +92,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return [(r.text, r.y) for r in sorted(one.collect(), key=lambda r: r.doc_id)]

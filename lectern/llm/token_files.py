@@ -13,11 +13,16 @@ and the rest in a bit vector with a one for each offset; of every ``SAMPLE``-th
 so the i-th offset is found by counting bits over less than ``SAMPLE`` ones: about 2 + log2(ids / documents) bits for
 a document and no table of 64-bit offsets.
 
-A task streams its shard: ids are written as they are made, and only 16 bytes for each document stay in memory. Files
-are written under another name and moved, so a task that runs again, or twice, leaves the same shard.
+Texts are encoded first, where they are read, so only ids are shuffled. A task streams its shard: ids are written as they
+come, and 16 bytes for each document of the shard stay in memory until its boundaries are packed. Files are written
+under another name and moved, so a task that runs again, or twice, leaves the same shard. Reading goes through select:
+``ROWS`` boundaries at a time, never all of a file's.
+
+Ids are those of the library with ``add_special_tokens=False``: the string of an added token in a text is that token.
 
 Defined cases: a null or empty text is the end id alone. Rows without doc_id come first; rows of one doc_id are
-ordered by a hash of their text. An empty table gives no files and no rows.
+ordered by a hash of their ids, and rows that are equal stay as many as they are. A very long text is one document, its
+ids held by one task. An empty table gives no files and no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +34,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mapped, shared_folder
+from lectern.llm.common import cut, mapped, shared_folder
 from lectern.llm.tokens import Encoder, json_tokenizer, slices
 
 MAGIC = b"LECTOKEN"
@@ -47,7 +53,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 @dataclass
 class EliasFano:
-    """A sequence of ascending numbers from 0 to ``top``. ``get`` is select by the samples, ``all`` decodes in bulk."""
+    """A sequence of ascending numbers from 0 to ``top``: ``get`` is select, ``slice`` selects a stretch."""
 
     n: int
     top: int
@@ -58,14 +64,21 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.int64)
+        """Packed in stretches of ``ROWS`` numbers, so little memory is needed besides the numbers themselves."""
         n, top = len(values), int(values[-1]) if len(values) else 0
         bits = max(0, (top // n).bit_length() - 1) if n else 0
-        ones = (values >> bits) + np.arange(n)
-        high = np.zeros((int(ones[-1]) if n else 0) + 1, np.uint8)
-        high[ones] = 1
-        part = (values[:, None] >> np.arange(bits)) & 1 if bits else np.zeros((n, 0), np.int64)
-        return cls(n, top, bits, np.packbits(part.astype(np.uint8).ravel(), bitorder="little"), np.packbits(high, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
+        low = np.zeros((n * bits + 7) // 8, np.uint8)
+        high = np.zeros(((top >> bits) + n + 7) // 8, np.uint8)
+        samples = []
+        for at in range(0, n, ROWS):  # a multiple of 8, so each stretch begins a byte of low
+            part = np.asarray(values[at : at + ROWS], np.int64)
+            if bits:
+                packed = np.packbits(((part[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little")
+                low[at * bits // 8 :][: len(packed)] = packed
+            ones = (part >> bits) + np.arange(at, at + len(part))
+            np.bitwise_or.at(high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
+            samples.append(ones[::SAMPLE].astype(np.uint32))
+        return cls(n, top, bits, low, high, np.concatenate(samples) if samples else np.zeros(0, np.uint32))
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.top, self.low_bits, len(self.low), len(self.high), len(self.samples)], "<i8")
@@ -80,33 +93,33 @@ class EliasFano:
         """The i-th number, without decoding the others."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at = int(self.samples[i // SAMPLE])
-        left, byte = i % SAMPLE, at // 8
-        first = int(self.high[byte]) >> at % 8 << at % 8  # the sampled one is the lowest that counts
-        counts = np.bitwise_count(np.r_[np.uint8(first), self.high[byte + 1 : byte + 1 + 64]]).astype(np.int64)
-        before, block = 0, byte
-        while counts.sum() <= left:  # 65 bytes on
-            left -= int(counts.sum())
-            block += len(counts)
-            before = 1
-            counts = np.bitwise_count(self.high[block : block + 65]).astype(np.int64)
-        k = int(np.searchsorted(np.cumsum(counts), left, "right"))
-        left -= int(counts[:k].sum())
-        value = first if k == 0 and not before else int(self.high[block + k])
-        for _ in range(left):
-            value &= value - 1
-        one = 8 * (block + k) + (value & -value).bit_length() - 1
-        start = i * self.low_bits
-        piece = int.from_bytes(self.low[start // 8 : (start + self.low_bits + 7) // 8].tobytes(), "little") >> start % 8
-        return (one - i) << self.low_bits | piece & (1 << self.low_bits) - 1
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)) << self.low_bits
+        return int(self.slice(i, i + 1)[0])
+
+    def slice(self, start: int, end: int) -> np.ndarray:
+        """The numbers start to end - 1: the sampled one before the first leads to its byte, and bytes are counted from
+        there until all are found. Only the bytes of these numbers are decoded."""
+        start, end = max(0, start), min(end, self.n)
+        if start >= end:
+            return np.zeros(0, np.int64)
+        known = start // SAMPLE
+        at = int(self.samples[known])
+        skip, byte = start - known * SAMPLE, at // 8
+        # a later sample, if there is one, bounds the bytes that hold these numbers
+        after = -(-(end - 1) // SAMPLE)
+        stop = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        part = self.high[byte:stop].copy()
+        part[0] &= 0xFF << at % 8 & 0xFF  # ones before the sampled one don't count
+        counts = np.cumsum(np.bitwise_count(part), dtype=np.int64)
+        first, last = int(np.searchsorted(counts, skip, "right")), int(np.searchsorted(counts, skip + end - start, "left"))
+        before = int(counts[first - 1]) if first else 0
+        ones = np.flatnonzero(np.unpackbits(part[first : last + 1], bitorder="little"))[skip - before :][: end - start] + 8 * (byte + first)
+        out = (ones - np.arange(start, end)) << self.low_bits
         if self.low_bits:
-            part = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+            begin = start * self.low_bits
+            piece = self.low[begin // 8 : (end * self.low_bits + 7) // 8]
+            bits = np.unpackbits(piece, bitorder="little")[begin % 8 :][: (end - start) * self.low_bits].reshape(-1, self.low_bits)
             for k in range(self.low_bits):
-                out |= part[:, k].astype(np.int64) << k
+                out |= bits[:, k].astype(np.int64) << k
         return out
 
 
@@ -129,49 +142,71 @@ def open_folder(folder: str):
 MANIFEST = "shard int, name string, n_docs long, n_ids long"
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """Write the shards of ``docs`` (doc_id, text) to ``folder``; a row for each file (``MANIFEST``), lazily."""
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, ids of each row of ``docs`` (doc_id, text): the ids in ``id_type``, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = json_tokenizer(tokenizer_path)
-        kind = id_type(max(tokenizer.get_vocab_size(), end_id + 1))
-        encoder, system, path = Encoder(tokenizer), *open_folder(folder)
-        shard = TaskContext.get().partitionId()
-        name, temporary = f"shard-{shard:06d}.ids", f"{path}/.{uuid.uuid4().hex}"
-        counts, doc_ids, nulls, out, n_ids = [], [], 0, None, 0
+        kind, encoder = width_of(tokenizer, end_id), Encoder(tokenizer)
         for b in batches:
             for at, n in slices(b.column(1)):
-                if out is None:
-                    system.create_dir(path, recursive=True)
-                    out = system.open_output_stream(temporary)
-                    out.write(MAGIC + np.array([VERSION, int(kind[-1])], "<u4").tobytes())
                 ids, size = encoder.encode(b.column(1).slice(at, n))
-                ends = np.cumsum(size + 1) - 1
+                ends = np.cumsum(size + 1)
                 with_end = np.empty(len(ids) + n, kind)
                 inside = np.ones(len(with_end), bool)
-                inside[ends] = False
-                with_end[inside], with_end[ends] = ids, end_id
-                out.write(with_end.tobytes())
-                n_ids += len(with_end)
-                counts.append(size + 1)
-                part = b.column(0).slice(at, n)
-                nulls += part.null_count
-                doc_ids.append(part.drop_null().to_numpy())
+                inside[ends - 1] = False
+                with_end[inside], with_end[ends - 1] = ids, end_id
+                edges = np.r_[0, ends].astype(np.int64) * with_end.itemsize
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(with_end)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), column.cast(pa.binary())], ["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, "doc_id long, ids binary")
+
+
+def width_of(tokenizer, end_id: int) -> str:
+    return id_type(max(tokenizer.get_vocab_size(), end_id + 1))
+
+
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """Write the shards of ``docs`` (doc_id, text) to ``folder``; a row for each file (``MANIFEST``), lazily.
+
+    Texts are encoded where they are read; only ids, which are cut to a checkpoint first, are dealt out by doc_id."""
+    kind = width_of(json_tokenizer(tokenizer_path), end_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = open_folder(folder)
+        shard, width = TaskContext.get().partitionId(), int(kind[-1])
+        name, temporary = f"shard-{shard:06d}.ids", f"{path}/.{uuid.uuid4().hex}"
+        counts, doc_ids, nulls, out, n_ids = [], [], 0, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if out is None:
+                system.create_dir(path, recursive=True)
+                out = system.open_output_stream(temporary)
+                out.write(MAGIC + np.array([VERSION, width], "<u4").tobytes())
+            size = pc.binary_length(b.column(1)).to_numpy().astype(np.int64) // width
+            for piece in b.column(1):
+                out.write(piece.as_buffer())
+            n_ids += int(size.sum())
+            counts.append(size)
+            nulls += b.column(0).null_count
+            doc_ids.append(b.column(0).drop_null().to_numpy())
         if out is None:
             return
         offsets, known = EliasFano.of(np.r_[0, np.cumsum(np.concatenate(counts))]).to_bytes(), np.concatenate(doc_ids)
         low = int(known[0]) if len(known) else 0
         names = EliasFano.of(known - low).to_bytes()
-        begins = 16 + n_ids * int(kind[-1])
+        begins = 16 + n_ids * width
         out.write(offsets + names)
         out.write(np.array([begins, len(offsets), len(names), low, nulls, n_ids], "<i8").tobytes() + MAGIC)
         out.close()
         system.move(temporary, f"{path}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([sum(map(len, counts))], pa.int64()), pa.array([n_ids], pa.int64())], ["shard", "name", "n_docs", "n_ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    order = ("doc_id", F.xxhash64("text"))  # the hash: rows without an id, or with a common one, fill several shards
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").transform(mapped, run, MANIFEST)
+    rows = cut(encoded(docs, tokenizer_path, end_id))
+    order = ("doc_id", F.xxhash64("ids"))  # the hash: rows without an id, or with a common one, fill several shards
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "ids").transform(mapped, run, MANIFEST)
 
 
 class Shard:
@@ -201,8 +236,10 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.ids(self.offsets.get(i), self.offsets.get(i + 1))
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.all() + self.low).tolist()
+    def doc_ids(self, start: int, end: int) -> list[int | None]:
+        """Of the documents start to end - 1; those without an id come first."""
+        none = max(0, min(end, self.nulls) - start)
+        return [None] * none + (self.names.slice(start - self.nulls, end - self.nulls) + self.low).tolist()
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
@@ -219,13 +256,12 @@ def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with system.open_input_file(f"{path}/{name}") as file:
                     shard = Shard(file)
-                    ends, doc_ids = shard.offsets.all(), shard.doc_ids()
                     for at in range(0, len(shard), ROWS):
-                        e = ends[at : at + ROWS + 1]
+                        e = shard.offsets.slice(at, at + ROWS + 1)
                         ids = shard.ids(int(e[0]), int(e[-1])).astype("<u4")
                         view = memoryview(ids).cast("B")
                         crc = [zlib.crc32(view[4 * s : 4 * t]) for s, t in zip((e[:-1] - e[0]).tolist(), (e[1:] - e[0]).tolist())]
-                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + ROWS], pa.int64()), pa.array(e[:-1] + base), pa.array(np.diff(e)), pa.array(crc, pa.int64())], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(at, at + len(e) - 1), pa.int64()), pa.array(e[:-1] + base), pa.array(np.diff(e)), pa.array(crc, pa.int64())], names)
 
     rows = spark.createDataFrame(files, "shard int, name string, base long").repartition(max(1, len(files)))
     return rows.select("name", "base").transform(mapped, run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,8 +1,9 @@
 """Chunked encoding with the tokenizers library, shared by the token-id operators.
 
 A pre-token of the byte-level patterns never reaches from a character that isn't white space into white
-space, so a text can be cut there: each chunk (white space, then the rest up to the next white space) gets the
-ids it has in the whole text. Words recur, so a worker remembers the ids of the chunks it has seen.
+space, and an added token has no white space, so a text can be cut there: each chunk (white space, then the rest up to
+the next white space) gets the ids it has in the whole text. Words recur, so a worker remembers the ids of the chunks
+it has seen.
 """
 
 from __future__ import annotations
@@ -146,13 +147,11 @@ def slices(texts: pa.Array, at_once: int = AT_ONCE) -> Iterator[tuple[int, int]]
 
 
 def json_tokenizer(path: str):
-    """The tokenizer of a JSON file; strings of its special tokens in a text are ordinary text."""
+    """The tokenizer of a JSON file as the library loads it: its added tokens are units wherever a text has their strings."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

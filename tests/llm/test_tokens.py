@@ -67,7 +67,8 @@ def test_bpe_odd_rows(odd, none):
 @pytest.mark.parametrize("values", [[0], [5], [0, 0, 0], [0] * 2000 + [10**7], list(range(3000)), [k * k for k in range(3000)], [0] + [10**12] * 1500])
 def test_select_finds_every_offset(values):
     e = EliasFano.from_bytes(EliasFano.of(np.array(values)).to_bytes())
-    assert e.all().tolist() == values
+    assert e.slice(0, len(values)).tolist() == values and e.slice(7, 7).tolist() == []
+    assert all(e.slice(k, k + 700).tolist() == values[k : k + 700] for k in range(0, len(values), 501))
     assert [e.get(k) for k in range(len(values))] == values
     with pytest.raises(IndexError):
         e.get(len(values))
@@ -83,7 +84,6 @@ def test_files_hold_the_ids_in_order(spark, texts, tmp_path):
     rows = [(k * 3 - 50, t) for k, t in enumerate(texts)]
     want, at = {}, 0
     plain = Tokenizer.from_file(JSON)
-    plain.encode_special_tokens = True
     for doc_id, t in rows:
         ids = plain.encode(t, add_special_tokens=False).ids + [2]
         want[doc_id] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -99,10 +99,19 @@ def test_files_hold_the_ids_in_order(spark, texts, tmp_path):
 
     with fs.LocalFileSystem().open_input_file(str(files[0])) as f:
         shard = token_files.Shard(f)
-        first = shard.doc_ids()[0]
+        first = shard.doc_ids(0, 1)[0]
         assert first == -50 and shard.document(0).tolist()[-1] == 2 and len(shard.document(0)) == want[-50][1]
 
 
+def test_added_tokens_are_units(spark):
+    plain = Tokenizer.from_file(JSON)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b\n", "x<|endoftext|>y.", "\n<|endoftext|>\n\n<|endoftext|> ", "<|endoftext|", "ab <|endoftext|><|endoftext|> cd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in token_files.encoded(docs, JSON).collect()}
+    assert got == {k: plain.encode(t, add_special_tokens=False).ids + [2] for k, t in enumerate(texts)}
+    assert got[0] == [50256, 2]
+
+
 def test_files_odd_rows(odd, none):
     got = token_files.write_and_read(odd, JSON).collect()
     assert len(got) == 10
