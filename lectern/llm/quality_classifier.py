@@ -1,11 +1,14 @@
 """Quality classifier: naive Bayes support vectors (operator 6).
 
 Binary indicators of n-grams (words, punctuation runs, and one- to three-grams of word shapes) are scaled by
-the log-count ratios of the two classes; a linear hinge-loss model is fitted to them by dual coordinate
-descent. Labels come from at most ``TRAIN_ROWS`` labelled rows outside fold 0, read as whole texts.
+the log-count ratios of the two classes; a linear hinge-loss model with an intercept is fitted to them by dual
+coordinate descent. Indicators are hashed whole into ``BUCKETS`` columns, so a text's indicators depend on the text alone,
+whatever a worker saw before. Labels come from at most ``TRAIN_ROWS`` labelled documents outside fold 0, read as whole
+texts.
 
 Defined cases: an empty or null text has no n-grams and gets the score of the intercept. Without labelled
-rows, or with one class only, every score is that class's share (1.0 without any).
+rows, or with one class only, every score is that class's share (1.0 without any). Repeated rows get equal scores; a very
+long text is read whole; an empty table gives no rows; columns beside doc_id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,105 +17,98 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import fold, mapped, training_rows
 
-#: Most labelled rows that the classifier is fitted on, and the most n-grams it keeps (by document count).
+#: Most labelled documents that the classifier is fitted on.
 TRAIN_ROWS = 6000
-MAX_NGRAMS = 200_000
+#: Columns that indicators are hashed into, and the labelled documents that one must be in to count.
+BUCKETS = 1 << 20
 MIN_DOCS = 3
 CUT = 0.3
-#: Words whose n-grams a worker remembers.
+#: Words whose hashes a worker remembers.
 REMEMBERED = 150_000
 
 PARTS = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
+#: A mark that stands three times or more counts as three.
+RUN = re.compile(r"(.)\1{2,}", re.S)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Names(dict):
-    """code of a shape n-gram → its indicator."""
-
-    def __init__(self, shapes: list[str]):
-        self.shapes = shapes
-
-    def __missing__(self, code: int) -> str:
-        parts, c = [], code
-        while c:
-            parts.append(self.shapes[c % SHAPES - 1])
-            c //= SHAPES
-        self[code] = got = "s " + " ".join(reversed(parts))
-        return got
-
-
-#: Shape numbers are below this; rarer shapes that come later share the number of the plainest ones.
-SHAPES = 60_000
+def hashed(kind: str, value: str) -> int:
+    return xxhash.xxh64_intdigest(f"{kind} {value}".encode("utf-8", "surrogatepass"))
 
 
 class Words(dict):
-    """raw word → its number in this process; shape_of[number] is its shape's, found[number] its indicators."""
+    """raw word → its number in this process; shape, plain and marks hold by number the hash of its shape, the column of
+    the word and that of the marks after it (the word's again where there are none)."""
 
     def __init__(self) -> None:
         self.start()
-        self.shapes: list[str] = []
-        self.number: dict[str, int] = {}
-        self.names = Names(self.shapes)
 
     def start(self) -> None:
         self.clear()
-        self.shape_of, self.found = np.zeros(1024, np.int64), []
+        self.shape, self.plain, self.marks = np.zeros(1024, np.uint64), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.place = np.zeros(BUCKETS, np.int32)
 
     def __missing__(self, word: str) -> int:
         before, core, after = ("", word, "") if word.isalpha() else PARTS.match(word).groups()
-        after = after if len(after) < 5 else after[:4] + "+"
         case = "-" if not core else "0" if core.isdigit() else "A" if core.isupper() and len(core) > 1 else "Aa" if core[:1].isupper() else "a" if core.islower() else "x"
-        shape = f"{before[:4]}{case}{after}"
-        if shape not in self.number and len(self.shapes) >= SHAPES - 2:
-            shape = case
-        n = self.number.get(shape)
-        if n is None:
-            self.shapes.append(shape)
-            n = self.number[shape] = len(self.shapes)
-        k = len(self.found)
-        if k >= len(self.shape_of):
-            self.shape_of = np.r_[self.shape_of, np.zeros(k, np.int64)]
-        self.shape_of[k] = n
-        self.found.append(("w " + core.lower()[:40], "p " + after) if after else ("w " + core.lower()[:40],))
+        k = len(self)
+        if k >= len(self.shape):
+            self.shape, self.plain, self.marks = (np.r_[x, np.zeros_like(x)] for x in (self.shape, self.plain, self.marks))
+        after = RUN.sub(r"\1\1\1", after)
+        self.shape[k] = hashed("shape", f"{RUN.sub(r'\1\1\1', before)}{case}{after}")
+        self.plain[k] = hashed("word", core.lower()) % BUCKETS
+        self.marks[k] = hashed("marks", after) % BUCKETS if after else self.plain[k]
         self[word] = k
         return k
 
+    def distinct(self, columns: np.ndarray) -> np.ndarray:
+        """Each column once, in linear time."""
+        order = np.arange(len(columns), dtype=np.int32)
+        self.place[columns] = order
+        return columns[self.place[columns] == order]
+
+
+def column_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Columns of hashes of n shapes."""
+    h = (h ^ np.uint64(n)) * MIX
+    return ((h ^ h >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
+
 
-def indicators(text: str | None, words: Words) -> set[str]:
-    """The n-gram indicators of a whole text."""
+def indicators(text: str | None, words: Words) -> np.ndarray:
+    """The columns of the n-gram indicators of a whole text, each once."""
     if len(words) > REMEMBERED:
         words.start()
     raw = (text or "").split()
     ids = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
-    out = set(chain.from_iterable(map(words.found.__getitem__, set(ids.tolist()))))
-    s = words.shape_of[ids]
-    for codes in (s, s[:-1] * SHAPES + s[1:], (s[:-2] * SHAPES + s[1:-1]) * SHAPES + s[2:]):
-        out.update(map(words.names.__getitem__, set(codes.tolist())))
+    s = words.shape[ids]
+    two = s[:-1] * MIX + s[1:]
+    found = [words.plain[ids].astype(np.int64), words.marks[ids].astype(np.int64), column_of(s, 1), column_of(two, 2), column_of(two[:-1] * MIX + s[2:], 3)]
     if len(ids) > 2 and ((ids[2:] == ids[1:-1]) & (ids[1:-1] == ids[:-2])).any():
-        out.add("same same")
+        found.append(np.array([hashed("text", "same same") % BUCKETS]))
     lines = [x for x in (text or "").split("\n") if x]
-    if len(set(lines)) < len(lines):
-        out.add(f"line again {min(3, len(lines) - len(set(lines)))}")
-    return out
+    if again := len(lines) - len(set(lines)):
+        found.append(np.array([hashed("text", f"line again {min(3, again)}") % BUCKETS]))
+    return words.distinct(np.concatenate(found))
 
 
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: np.ndarray  # of each column
     bias: float
     slope: float
     shift: float
 
-    def score(self, found: set[str]) -> float:
-        z = self.slope * (math.fsum(map(self.weights.__getitem__, self.weights.keys() & found)) + self.bias) + self.shift
+    def score(self, found: np.ndarray) -> float:
+        z = self.slope * (float(np.sort(self.weights[found]).sum(dtype=np.float64)) + self.bias) + self.shift
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -155,35 +151,34 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(rows: list[tuple[str, int]], strength: float = 1.0) -> Model:
     y = np.array([q for _, q in rows], int)
     if not len(y) or y.min() == y.max():
-        return Model({}, 0.0, 1.0, (60.0 if not len(y) or y[0] else -60.0))
-    words, number = Words(), {}
-    found = []  # numbers of each text's n-grams: sets of strings would fill the driver
-    for t, _ in rows:
-        f = sorted(indicators(t, words))
-        found.append(np.fromiter((number.setdefault(g, len(number)) for g in f), np.int32, len(f)))
-    by = [np.bincount(np.concatenate([f for f, q in zip(found, y) if q == c]), minlength=len(number)) for c in (0, 1)]
-    docs, names = by[0] + by[1], list(number)
-    kept = sorted(np.flatnonzero(docs >= MIN_DOCS).tolist(), key=lambda k: (-docs[k], names[k]))[:MAX_NGRAMS]
-    column = np.full(len(number), -1)
-    column[kept] = np.arange(len(kept))
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, (60.0 if not len(y) or y[0] else -60.0))
+    words = Words()
+    found = [np.sort(indicators(t, words)).astype(np.int32) for t, _ in rows]
+    by = np.zeros((2, BUCKETS))
+    for f, q in zip(found, y):
+        by[q, f] += 1
+    kept = np.flatnonzero(by.sum(0) >= MIN_DOCS)
+    place = np.full(BUCKETS, -1)
+    place[kept] = np.arange(len(kept))
     # log-count ratio: share of the class's documents that have the n-gram, smoothed
     good, bad = int(y.sum()) + 2, int((1 - y).sum()) + 2
-    ratio = np.log((by[1][kept] + 1) / good * bad / (by[0][kept] + 1))
+    ratio = np.log((by[1, kept] + 1) / good * bad / (by[0, kept] + 1))
     sparse = []
     for f in found:
-        cols = column[f]
+        cols = place[f]
         cols = cols[cols >= 0]
-        vals = ratio[cols]
-        norm = max(1e-9, float(np.sqrt(vals @ vals)))
-        sparse.append((np.r_[cols, len(kept)], np.r_[vals, 0.1 * norm]))  # the last column: the intercept
+        sparse.append((cols, ratio[cols]))
+    constant = 0.1 * float(np.median([np.sqrt(v @ v) for _, v in sparse]) or 1.0)  # of every row, in the last column: the intercept
+    sparse = [(np.r_[c, len(kept)], np.r_[v, constant]) for c, v in sparse]
     cost = strength / np.median([float(v @ v) for _, v in sparse]) * np.where(y > 0, 1.0, max(1.0, y.sum() / max(1, (1 - y).sum()) / 2))
     half = np.arange(len(y)) % 5 == 0  # margins of rows that the model hasn't seen, for the curve
     w = dual_descent([s for s, k in zip(sparse, half) if not k], np.where(y > 0, 1, -1)[~half], len(kept) + 1, cost[~half])
-    z = np.array([w[c[:-1]] @ v[:-1] for (c, v), k in zip(sparse, half) if k])
+    z = np.array([w[c] @ v for (c, v), k in zip(sparse, half) if k])
     both = len(set(y[half].tolist())) == 2
     slope, shift = platt(z, y[half]) if both else (1.0, 0.0)
-    weights = {names[g]: float(w[k] * ratio[k]) for k, g in enumerate(kept) if w[k]}
-    return Model(weights, 0.0, slope, shift)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[kept] = w[:-1] * ratio
+    return Model(weights, float(w[-1] * constant), slope, shift)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

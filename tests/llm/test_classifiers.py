@@ -1,11 +1,14 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from conftest_llm_texts import labelled_texts
 from lectern.llm import quality_classifier as quality
 from lectern.llm import toxicity
+from lectern.llm.common import training_rows
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -75,6 +78,57 @@ def test_odd_rows(spark, odd, none, corpus, module, empty):
     assert {round(r.score, 6) for r in alone} == {empty}
 
 
+def test_indicators_depend_on_the_text_alone():
+    text = "Some (quoted) words!!! and *odd* ones, 12% " * 3 + "x" * 200 + "##########!?"
+    fresh = sorted(quality.indicators(text, quality.Words()).tolist())
+    words, rng = quality.Words(), random.Random(1)
+    for _ in range(110):
+        quality.indicators(" ".join("".join(rng.choice("#*!?-+=") for _ in range(9)) + "a" for _ in range(1000)), words)
+    assert sorted(quality.indicators(text, words).tolist()) == fresh
+
+
+@pytest.mark.parametrize("a, b", [("x" * 40 + "y", "x" * 40 + "z"), ("a" + "!?" * 30, "a" + "!?" * 30 + "."), ("-+" * 9 + "a", "-+" * 9 + "=a")])
+def test_words_and_shapes_count_whole(a, b):
+    one, two = (set(quality.indicators(x, quality.Words()).tolist()) for x in (a, b))
+    assert one != two
+
+
+def test_scores_match_a_plain_version(corpus):
+    docs, labels = corpus
+    rows = [(r.text, r.quality) for r in docs.join(labels, "doc_id").orderBy("doc_id").select("text", "quality").collect()]
+    model = quality.fit(rows)
+    words = quality.Words()
+    for text, _ in rows[:50]:
+        z = model.bias + sum(float(model.weights[c]) for c in set(quality.indicators(text, quality.Words()).tolist()))
+        assert model.score(quality.indicators(text, words)) == pytest.approx(1 / (1 + math.exp(-(model.slope * z + model.shift))), rel=1e-6)
+    assert model.bias != 0
+    assert model.score(quality.indicators("", words)) == pytest.approx(1 / (1 + math.exp(-(model.slope * model.bias + model.shift))))
+
+
+def test_dual_descent_reaches_the_optimum():
+    """Against subgradient descent on the primal."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    y = np.where(x @ [1, -2, 0.5, 0] + rng.normal(0, 0.5, 60) > 0, 1, -1)
+    c = np.full(60, 0.3)
+    loss = lambda w: 0.5 * w @ w + (c * np.maximum(0, 1 - y * (x @ w))).sum()
+    w = quality.dual_descent([(np.arange(4), v) for v in x], y, 4, c, epochs=300)
+    best = np.zeros(4)
+    v = best.copy()
+    for k in range(20_000):
+        live = y * (x @ v) < 1
+        v = v - 1 / (k + 10) * (v - ((c * y)[live, None] * x[live]).sum(0))
+        best = v if loss(v) < loss(best) else best
+    assert loss(w) <= loss(best) * 1.01
+
+
+def test_a_repeated_id_gives_one_training_row(spark):
+    docs = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0)], LABELS)
+    got = training_rows(docs, labels, "quality", 10)
+    assert got == [(t, y) for i, t, y in ((1, "a", 1), (2, "c", 0)) if zlib.crc32(str(i).encode()) % 5]
+
+
 def test_filter_keeps_columns(spark, odd, none):
     model = quality.fit([])
     assert quality.keep_predicted(odd, model).collect() == odd.collect()
