@@ -46,6 +46,28 @@ def test_unseen_misspellings_share_ngrams(corpus):
     assert toxicity.score("grubbleworst " * 5 + "the table", logits) > toxicity.score("the house table", logits)
 
 
+def test_the_worst_stretch_decides_wherever_it_stands(corpus):
+    """Against a plain loop over all stretches, and an insult at any place of a long text."""
+    docs, labels = corpus
+    model = toxicity.fit([(r.text, r.toxic) for r in docs.join(labels, "doc_id").select("text", "toxic").collect()])
+    logits = toxicity.Logits(model)
+    rng = random.Random(6)
+    for n in (1, 5, 299, 300, 301, 374, 375, 376, 1000):
+        words = [rng.choice(["the", "house", "grubbleworm", "river", "snorkhead"]) for _ in range(n)]
+        z = [float(model.rows[b].mean()) for w in words for _, b in [toxicity.subwords([w])]]
+        found, end = [], toxicity.STRETCH
+        while True:
+            part = z[max(0, min(end, n) - toxicity.STRETCH) : min(end, n)]
+            found.append(sum(part) / (len(part) + toxicity.PAD))
+            if end >= n:
+                break
+            end += toxicity.STEP
+        assert toxicity.score(" ".join(words), logits) == pytest.approx(1 / (1 + math.exp(-(model.bias + max(found)))), rel=1e-6), n
+    insult = "grubbleworm snorkhead vilefritz " * 60
+    scores = [toxicity.score("the house " * k + insult + "the river " * (2000 - k), logits) for k in range(0, 2000, 37)]
+    assert min(scores) > 0.5 and max(scores) - min(scores) < 0.2
+
+
 @pytest.mark.parametrize("n", [64, 65, 66, 68, 69, 124, 125, 128, 129, 1000])
 def test_pieces_of_long_words_lose_no_ngram(monkeypatch, n):
     rng = random.Random(n)
