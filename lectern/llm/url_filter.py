@@ -2,18 +2,19 @@
 
 Rules name a host and the beginning of a path; a rule fits its host and all subdomains if the URL's path starts with
 its own, and the longest that fits decides. URLs that no rule fits are judged by trees boosted on lexical features:
-lengths, depth, digit ratios, entropy, parameters and statistics of the host's suffix. Labels: a labelled set of
-(url, blocked), or without one the verdict of the rule that fits a URL, else whether its host has one of a few seed
-words (``SEED_WORDS``); from these the trees learn what such hosts look like.
+lengths, depth, digit ratios, entropy, parameters and statistics of the host's suffix. The trees are trained on a labelled
+set (url, blocked) that is kept apart from the table they judge: the caller's, or without one that of ``sample_urls``.
 
-Rules are a short list in the query's code, so they are literals of one expression. Training is exact boosting with
-logistic loss over at most ``TRAIN_ROWS`` different labelled URLs (the first by hash of the URL, so the same at any
-partitioning), each weighed by its copies. Each feature is a number from 0 to ``BINS`` - 1; every level of a tree is one aggregation that sums
-gradients by node, feature and bin, of which the driver gets at most nodes x features x bins rows. The finished trees
-are CASE expressions, so scoring is one projection inside the scan's stage.
+Rules are a short list in the query's code, so they are literals of one expression. Features of at most ``TRAIN_ROWS``
+different labelled URLs (the first by hash of the URL, so the same at any partitioning), each weighed by its copies, are
+numbers from 0 to ``BINS`` - 1; equal rows are counted once, and these cells, as many as URLs at most, come to the driver
+in one job, where trees with logistic loss are boosted on their exact histograms. The finished trees are CASE
+expressions, so scoring is one projection inside the scan's stage.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is scored like any
-other. Without labelled URLs, or with one class only, all scores are the prior's: allowed where there are none.
+other. Repeated rows are judged alike, a very long URL whole, in time about proportional to its length; an empty table
+gives no rows, and columns beside page_id and url don't matter, whatever their names. Without labelled URLs, or with one
+class only, all scores are the prior's: allowed where there are none.
 """
 
 from __future__ import annotations
@@ -26,23 +27,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.sample_urls import labelled_urls
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Words of a host (between points and hyphens) that label a URL as blocked for training.
-SEED_WORDS = ("ads", "adult", "bets", "casino", "gambling", "loans", "malware", "phishing", "pills", "porn", "spam", "track", "viagra", "warez", "xxx")
 TRAIN_ROWS = 4000
-TREES = 8
+TREES = 24
 DEPTH = 3
-RATE = 0.4
+RATE = 0.3
 #: Bins of each feature, least weight of a leaf, and the penalty on a leaf's square.
 BINS = 16
 LEAST_HESSIAN = 1.0
 PENALTY = 1.0
 CUT = 0.5
-#: Suffixes whose shares are a feature: those of most labelled URLs.
-SUFFIXES = 200
 
 
 def host_of(url: Column) -> Column:
@@ -73,11 +70,13 @@ def suffix_of(host: Column) -> Column:
 
 
 def entropy(s: Column) -> Column:
-    """Of a string's characters, in bits."""
-    chars = F.split(s, "")
-    n = F.greatest(F.length(s), F.lit(1))
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+    """Of a string's characters, in bits: the lengths of the runs of its characters in order."""
+    chars = F.array_sort(F.filter(F.split(s, ""), lambda c: c != ""))
+    n = F.greatest(F.length(s), F.lit(1)).cast("double")
+    part = lambda run: F.when(run > 0, -run / n * F.log2(run / n)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    step = lambda a, c: F.struct(c.alias("c"), F.when(a.c == c, a.run + 1).otherwise(F.lit(1.0)).alias("run"), F.when(a.c == c, a.sum).otherwise(a.sum + part(a.run)).alias("sum"))
+    return F.aggregate(chars, start, step, lambda a: a.sum + part(a.run))
 
 
 def binned(x: Column, width: float) -> Column:
@@ -142,23 +141,45 @@ def share_bin(blocked: int, n: int) -> int:
     return min(BINS - 1, int(BINS * (blocked + 1) / (n + 2)))
 
 
-def best_split(rows: list, names: list[str]) -> tuple[str, int] | float:
-    """The split with most gain, or the leaf's value if none gains. rows: (feature's number, bin, gradient, hessian)."""
-    by: dict[int, dict[int, tuple[float, float]]] = defaultdict(dict)
-    for f, b, g, h in rows:
-        by[f][b] = (g, h)
-    first = by[min(by)]
-    total_g, total_h = math.fsum(x[0] for x in first.values()), math.fsum(x[1] for x in first.values())
+def best_split(rows: list[tuple[tuple[int, ...], float, float]], names: list[str]) -> tuple[str, int] | float:
+    """The split with most gain, or the leaf's value if none gains. rows: (bins, gradient, hessian)."""
+    total_g, total_h = math.fsum(r[1] for r in rows), math.fsum(r[2] for r in rows)
     worth = lambda g, h: g * g / (h + PENALTY)
     best, most = None, 1e-6
-    for f in sorted(by):
+    for f, name in enumerate(names):
+        by: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        for bins, g, h in rows:
+            at = by[bins[f]]
+            at[0] += g
+            at[1] += h
         g = h = 0.0
-        for b in sorted(by[f])[:-1]:
-            g, h = g + by[f][b][0], h + by[f][b][1]
+        for b in sorted(by)[:-1]:
+            g, h = g + by[b][0], h + by[b][1]
             gain = worth(g, h) + worth(total_g - g, total_h - h) - worth(total_g, total_h)
             if min(h, total_h - h) >= LEAST_HESSIAN and gain > most + 1e-9:
-                best, most = (names[f], b), gain
-    return best or -RATE * total_g / (total_h + PENALTY)
+                best, most = (name, b), gain
+    return best or leaf(rows)
+
+
+def leaf(rows: list) -> float:
+    return -RATE * math.fsum(r[1] for r in rows) / (math.fsum(r[2] for r in rows) + PENALTY)
+
+
+def grow(rows: list, names: list[str], depth: int, node: int = 0) -> dict[int, tuple[str, int] | float]:
+    """A tree over rows of (bins, gradient, hessian)."""
+    at = best_split(rows, names) if depth else leaf(rows)
+    if isinstance(at, float):
+        return {node: at}
+    f = names.index(at[0])
+    low, high = [r for r in rows if r[0][f] <= at[1]], [r for r in rows if r[0][f] > at[1]]
+    return {node: at, **grow(low, names, depth - 1, 2 * node + 1), **grow(high, names, depth - 1, 2 * node + 2)}
+
+
+def value_of(tree: dict, bins: dict[str, int], node: int = 0) -> float:
+    while not isinstance(tree[node], float):
+        name, b = tree[node]
+        node = 2 * node + (1 if bins[name] <= b else 2)
+    return tree[node]
 
 
 def fit(labelled: DataFrame, limit: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> Model:
@@ -167,64 +188,37 @@ def fit(labelled: DataFrame, limit: int = TRAIN_ROWS, trees: int = TREES, depth:
     rows = labelled.select("url", F.col("blocked").cast("int").alias("y")).where("url IS NOT NULL AND y IN (0, 1)")
     rows = rows.groupBy("url").agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).orderBy(F.xxhash64("url"), "url").limit(limit)
     rows = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = cut(rows.select("n", "blocked", suffix_of(F.col("host")).alias("suffix_name"), *[c.alias(k) for k, c in features(F.col("url"), F.col("host"), F.col("path")).items()]))
-    by_suffix = [(r.suffix_name, int(r.blocked), int(r.n)) for r in rows.groupBy("suffix_name").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).orderBy(F.desc("n"), "suffix_name").limit(SUFFIXES).collect()]
-    blocked, n = (x or 0 for x in rows.agg(F.sum("blocked"), F.sum("n")).first())
+    rows = rows.select("n", "blocked", suffix_of(F.col("host")).alias("suffix_name"), *[c.alias(k) for k, c in features(F.col("url"), F.col("host"), F.col("path")).items()])
+    names = [c for c in rows.columns if c not in ("n", "blocked", "suffix_name")]
+    cells = rows.groupBy("suffix_name", *names).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).collect()  # limit at most
+    cells.sort(key=lambda r: (r.suffix_name, *[r[k] for k in names]))
+    n, blocked = sum(r.n for r in cells), sum(r.blocked for r in cells)
     if not 0 < blocked < n:
         return Model(-60.0 if blocked == 0 else 60.0, [], {}, 0)
-    model = Model(math.log(blocked / (n - blocked)), [], {s: share_bin(b, m) for s, b, m in by_suffix}, share_bin(blocked, n))
-    known = F.create_map(*[x for s, b in sorted(model.suffix_bin.items()) for x in (F.lit(s), F.lit(b))])
-    names = [*[c for c in rows.columns if c not in ("n", "blocked", "suffix_name")], "suffix"]
-    cells = rows.withColumn("suffix", F.coalesce(F.element_at(known, "suffix_name"), F.lit(model.default_bin)))
-    cells = cut(cells.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).coalesce(1))  # equal rows once
-    columns = {k: F.col(k) for k in names}
+    by_suffix: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for r in cells:
+        by_suffix[r.suffix_name][0] += r.blocked
+        by_suffix[r.suffix_name][1] += r.n
+    model = Model(math.log(blocked / (n - blocked)), [], {s: share_bin(*x) for s, x in by_suffix.items()}, share_bin(blocked, n))
+    names.append("suffix")
+    bins = [{**{k: r[k] for k in names[:-1]}, "suffix": model.suffix_bin[r.suffix_name]} for r in cells]
+    keys, z = [tuple(b[k] for k in names) for b in bins], [model.prior] * len(cells)
     for _ in range(trees):
-        p = model.score(columns)
-        graded = cells.select(*names, (F.col("n") * p - F.col("blocked")).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
-        tree: dict[int, tuple[str, int] | float] = {}
-        open_nodes = [0]
-        for level in range(depth + 1):
-            node = node_of(tree, columns)
-            pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(k).alias("b")) for f, k in enumerate(names)]))
-            sums = graded.select(node.alias("node"), "g", "h", pairs.alias("x")).where(F.col("node").isin(open_nodes)).groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            found = defaultdict(list)
-            for r in sums.collect():
-                found[r.node].append((r.f, r.b, r.g, r.h))
-            opened = []
-            for k in open_nodes:
-                if level == depth:
-                    one = [x for x in found[k] if x[0] == 0]
-                    tree[k] = -RATE * math.fsum(x[2] for x in one) / (math.fsum(x[3] for x in one) + PENALTY)
-                else:
-                    tree[k] = best_split(found[k], names)
-                    if not isinstance(tree[k], float):
-                        opened += [2 * k + 1, 2 * k + 2]
-            open_nodes = opened
-            if not open_nodes:
-                break
+        p = [1 / (1 + math.exp(-x)) for x in z]
+        tree = grow([(key, r.n * q - r.blocked, r.n * q * (1 - q)) for key, r, q in zip(keys, cells, p)], names, depth)
+        z = [x + value_of(tree, b) for x, b in zip(z, bins)]
         model.trees.append(tree)
     return model
 
 
-def node_of(tree: dict, columns: dict[str, Column], node: int = 0) -> Column:
-    """Which open node or leaf of an unfinished tree a row is in."""
-    at = tree.get(node)
-    if at is None or isinstance(at, float):
-        return F.lit(node)
-    return F.when(columns[at[0]] <= at[1], node_of(tree, columns, 2 * node + 1)).otherwise(node_of(tree, columns, 2 * node + 2))
-
-
 def filtered(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, score, verdict for each row of ``pages`` (page_id, url).
 
-    labelled: (url, blocked); None: the URLs of ``pages``, labelled by rules and seed words."""
+    labelled: (url, blocked); None: a made-up set."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    if labelled is None:
-        seeded = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, SEED_WORDS)))
-        labelled = rows.select("url", F.coalesce(F.col("ruled") == "block", seeded).cast("int").alias("blocked"))
-    model = fit(labelled)
+    model = fit(labelled_urls(pages.sparkSession, TRAIN_ROWS) if labelled is None else labelled)
     scored = rows.withColumns(features(F.col("url"), F.col("host"), F.col("path"))).withColumn("suffix", model.suffix(F.col("host")))
     names = [*features(F.lit(""), F.lit(""), F.lit("")), "suffix"]
     score = model.score({k: F.col(k) for k in names})

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from lectern.llm import url_filter as u
+from lectern.llm.sample_urls import labelled_urls
 
 PAGE = "page_id long, url string"
 
@@ -58,6 +59,41 @@ def test_copies_of_urls_leave_room_for_others(spark):
     assert model.prior == pytest.approx(math.log(3)) and len(model.trees) == 1
 
 
+def test_held_out_urls_are_told_apart(spark):
+    rows = labelled_urls(spark, 6000).collect()
+    train, held = rows[:4000], [r for r in rows[4000:] if r not in set(rows[:4000])]
+    pages = spark.createDataFrame([(k, r.url) for k, r in enumerate(held)], PAGE)
+    got = u.filtered(pages, spark.createDataFrame(train), rules=()).collect()
+    right = [(r.verdict == "block") == bool(held[r.page_id].blocked) for r in got]
+    assert len(right) > 1500 and sum(right) >= 0.95 * len(right)
+
+
+def test_scores_match_a_plain_version(spark, pages):
+    labelled = labelled_urls(spark, 1000)
+    model = u.fit(labelled, trees=5)
+    names = [*u.features(u.F.lit(""), u.F.lit(""), u.F.lit(""))]
+    rows = pages.select("page_id", "url", u.host_of(u.F.col("url")).alias("host"), u.path_of(u.F.col("url")).alias("path"))
+    rows = {r.page_id: r for r in rows.select("page_id", "host", *[c.alias(k) for k, c in u.features(u.F.col("url"), u.F.col("host"), u.F.col("path")).items()]).collect()}
+    score = model.score({k: u.F.col(k) for k in names} | {"suffix": model.suffix(u.F.col("h"))})
+    flat = spark.createDataFrame([(k, r.host, *[r[n] for n in names]) for k, r in rows.items()], ["page_id", "h", *names])
+    for r in flat.select("page_id", score.alias("score")).collect():
+        one = rows[r.page_id]
+        bins = {n: one[n] for n in names} | {"suffix": model.suffix_bin.get(one.host.rpartition(".")[2], model.default_bin)}
+        assert r.score == pytest.approx(1 / (1 + math.exp(-model.prior - sum(u.value_of(t, bins) for t in model.trees))))
+
+
+@pytest.mark.parametrize("text", ["", "a", "aaaa", "abcd", "example.net", "ab" * 5000])
+def test_entropy_matches_brute_force(spark, text):
+    want = -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
+    assert spark.range(1).select(u.entropy(u.F.lit(text))).first()[0] == pytest.approx(want)
+
+
+def test_all_suffixes_count(spark):
+    rows = [(f"http://host.s{k}/", k % 2) for k in range(500)]
+    model = u.fit(spark.createDataFrame(rows, "url string, blocked int"), trees=1)
+    assert len(model.suffix_bin) == 500
+
+
 def test_odd_rows(spark):
     none = spark.createDataFrame([], PAGE)
     assert u.filtered(none).count() == 0
