@@ -8,15 +8,20 @@ The labeller is trained here (``train``), on pages that ``sample_page`` makes up
 footers, sidebars, notices, adverts, forms and comments in many layouts, words invented, with sloppy and cut-off
 markup. Training is seeded, takes some seconds on the driver, and its weights go to the workers.
 
+Memory grows with a page's length alone, not with its nesting: an open element knows its parent and what its path says
+as one number of ``PATH_DIM`` bits, and a long page's inputs are made ``AT_ONCE`` blocks at a time.
+
 Defined cases: a null or empty page, or one without main text, gives an empty text. Scripts, styles, comments, heads,
 templates and hidden parts are markup, never blocks. Character references are decoded; ``<br>`` is white space of its
-block. Tags that are cut off at the end are dropped.
+block. Tags that are cut off at the end are dropped. Repeated rows and null ids or urls stay as they are; an empty table
+gives no rows; a very long page is read whole; columns beside page_id, url and html don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -30,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import mapped
+from lectern.llm.tokens import slices
 
 PATH_DIM, WORD_DIM, FIGURES = 128, 32, 8
 INPUT = PATH_DIM + WORD_DIM + FIGURES
@@ -38,6 +44,8 @@ PAGES, EPOCHS, RATE = 900, 6, 0.02
 #: Blocks that are labelled at once (one page at least), and words and paths whose hashes a worker remembers.
 AT_ONCE = 8192
 REMEMBERED = 300_000
+#: Bytes of pages that are cut into blocks at once, one page at least.
+PAGE_BYTES = 1 << 20
 
 RAW = "script|style|template|noscript|textarea|title|iframe|svg|select"
 TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z")
@@ -53,43 +61,72 @@ ENDS = ".!?…\"”»"
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+@dataclass(slots=True)
+class Element:
+    """An open element. Its path is itself and its parents, from the body on."""
+
+    name: str
+    hidden: bool  # it or a parent
+    in_head: bool
+    depth: int  # elements of the path
+    says: int  # bits of what the path holds: each element's name, each word of its label
+    last: str  # the name of the path's last element
+
+
 @dataclass(slots=True)
 class Leaf:
     text: str
-    path: tuple[str, ...]  # an element's name and what its class, id and role say, from the body on
+    says: int  # bits of the path, with those of its last names in order
+    depth: int
     linked: int  # characters in links
-    hidden: bool = False
 
 
-def label_of(name: str, attributes: str) -> tuple[str, bool]:
-    """An element's label for paths, and whether it is hidden."""
-    if not attributes or attributes.isspace():
-        return name, False
-    words, hidden = [], False
-    for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            hidden = True
-        elif key in ("class", "id", "role"):
-            words += [x.lower() for x in PART.findall(value)]
-    return " ".join([name, *words[:8]]), hidden
+class Bits(dict):
+    """what a path holds → its bit."""
+
+    def __missing__(self, part: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[part] = got = 1 << zlib.crc32(part.encode("utf-8", "surrogatepass")) % PATH_DIM
+        return got
+
+
+def label_of(attributes: str, bits: Bits) -> tuple[int, bool]:
+    """What an element's class, id and role say, and whether it is hidden."""
+    says, hidden = 0, False
+    if attributes and not attributes.isspace():
+        words: list[str] = []
+        for key, value in ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), value.strip("\"'")
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                hidden = True
+            elif key in ("class", "id", "role"):
+                words += PART.findall(value)
+        for x in words:
+            says |= bits[f"w {x.lower()}"]
+    return says, hidden
+
+
+OUTSIDE = Element("", False, False, 0, 0, "")
 
 
-def leaves(html: str | None) -> list[Leaf]:
+def leaves(html: str | None, bits: Bits | None = None) -> list[Leaf]:
     """The blocks of a page that have text, in page order."""
-    html = html or ""
+    html, bits = html or "", Bits() if bits is None else bits
     out: list[Leaf] = []
-    stack: list[tuple[str, str, bool]] = []
-    labels: dict[str, tuple[str, bool]] = {}
+    stack: list[Element] = [OUTSIDE]
+    opened: dict[str, int] = defaultdict(int)  # how many elements of a name are open
+    before: list[str] = [""]  # of each element the name of the path's last but one
+    labels: dict[str, tuple[int, bool]] = {}
     text: list[str] = []
     links = linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
-        if joined:
-            path = tuple(x[1] for x in stack if x[0] not in ("html", "body"))
-            out.append(Leaf(joined, path, linked, any(x[2] for x in stack)))
+        if joined and not (e := stack[-1]).hidden:
+            ends = bits[f"e {e.last}"] | bits[f"e2 {before[-1]} {e.last}".replace("  ", " ")] if e.depth else bits["e2 "]
+            out.append(Leaf(joined, e.says | ends, e.depth, linked))
         text.clear()
         linked = 0
 
@@ -101,9 +138,21 @@ def leaves(html: str | None) -> list[Leaf]:
             if links:
                 linked += len(piece)
 
-    def close(k: int) -> None:
-        flush()
-        del stack[k:]
+    def drop(k: int) -> None:
+        """Close the elements from the k-th on."""
+        for e in stack[k:]:
+            opened[e.name] -= 1
+        del stack[k:], before[k:]
+
+    def nearest(names: set[str], bounds: set[str]) -> int | None:
+        """The place of the innermost open element of ``names`` inside the innermost of ``bounds``."""
+        if any(opened[x] for x in names):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name in names:
+                    return k
+                if stack[k].name in bounds:
+                    return None
+        return None
 
     for m in TOKEN.finditer(html):
         add(html[at : m.start()])
@@ -122,43 +171,32 @@ def leaves(html: str | None) -> list[Leaf]:
             if name == "img" or name == "td":
                 text.append(" ")
         elif m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-            else:
-                flush()
+            flush()
+            k = nearest({name}, set())
+            if k is not None:
+                drop(k)
         else:
             flush()
             if name == "hr":
                 continue
-            if stack and stack[-1][0] == "p":
-                del stack[-1]
-            if name in CLOSES:
-                ends, bounds = CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in bounds:
-                        break
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        break
-            if name == "body" or name not in ("html", "head") and any(x[0] == "head" for x in stack):  # what the head left open
-                stack.clear()
+            if stack[-1].name == "p":
+                drop(len(stack) - 1)
+            if name in CLOSES and (k := nearest(*CLOSES[name])) is not None:
+                drop(k)
+            if name == "body" or name not in ("html", "head") and stack[-1].in_head:  # what the head left open
+                drop(1)
             if m[4] not in labels:
-                labels[m[4]] = label_of("", m[4])
-            label, hidden = labels[m[4]]
-            stack.append((name, name + label, hidden or name == "head"))
+                if len(labels) > REMEMBERED:
+                    labels.clear()
+                labels[m[4]] = label_of(m[4], bits)
+            says, hidden = labels[m[4]]
+            up, counts = stack[-1], name not in ("html", "body")
+            before.append(up.last if counts else before[-1])
+            stack.append(Element(name, up.hidden or hidden or name == "head", up.in_head or name == "head", up.depth + counts, up.says | (says | bits[f"t {name}"] if counts else 0), name if counts else up.last))
+            opened[name] += 1
     add(html[at:])
     flush()
-    return [x for x in out if not x.hidden]
-
-
-@cache
-def path_rows(path: tuple[str, ...]) -> np.ndarray:
-    """Positions of a path's parts: each element's name, each word of its label, its last names in order."""
-    names = [p.split(" ") for p in path]
-    parts = {f"w {w}" for p in names for w in p[1:]} | {f"t {p[0]}" for p in names} | {f"e {p[0]}" for p in names[-1:]} | {f"e2 {' '.join(p[0] for p in names[-2:])}"}
-    return np.array(sorted({zlib.crc32(x.encode()) % PATH_DIM for x in parts}))
+    return out
 
 
 class WordRows(dict):
@@ -171,12 +209,12 @@ class WordRows(dict):
         return got
 
 
-def inputs(page: list[Leaf], words: WordRows) -> np.ndarray:
-    """(blocks, INPUT)."""
-    n = len(page)
+def inputs(page: list[Leaf], words: WordRows, first: int = 0, whole: int | None = None) -> np.ndarray:
+    """(blocks, INPUT) of a page, or of the blocks from ``first`` on of one that has ``whole``."""
+    n, whole = len(page), whole or len(page)
     x = np.zeros((n, INPUT), np.float32)
-    paths = [path_rows(leaf.path) for leaf in page]
-    x[np.repeat(np.arange(n), list(map(len, paths))), np.concatenate(paths) if n else []] = 1
+    says = np.frombuffer(b"".join(leaf.says.to_bytes(PATH_DIM // 8, "little") for leaf in page), np.uint8).reshape(n, PATH_DIM // 8)
+    x[:, :PATH_DIM] = np.unpackbits(says, axis=1, bitorder="little")
     raw = [leaf.text.split() for leaf in page]
     size = np.fromiter(map(len, raw), np.int64, n)
     rows = np.fromiter(map(words.__getitem__, chain.from_iterable(raw)), np.int64, int(size.sum()))
@@ -185,7 +223,7 @@ def inputs(page: list[Leaf], words: WordRows) -> np.ndarray:
     for k, leaf in enumerate(page):
         t, chars = leaf.text, len(leaf.text)
         marks = t.count(".") + t.count(",") + t.count(";") + t.count("!") + t.count("?")
-        x[k, -FIGURES:] = (min(1.0, log1p(chars) / 8), leaf.linked / chars, min(1.0, marks / chars * 10), t[-1] in ENDS, len(leaf.path) / 8, k / n, "©" in t, 1)
+        x[k, -FIGURES:] = (min(1.0, log1p(chars) / 8), leaf.linked / chars, min(1.0, marks / chars * 10), t[-1] in ENDS, min(leaf.depth, 64) / 8, (first + k) / whole, "©" in t, 1)
     return x
 
 
@@ -207,12 +245,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def forward(w: Weights, d: int, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (T, B, H) of one direction over x (T, B, INPUT), already turned; mask (T, B)."""
+def forward(w: Weights, d: int, gates: np.ndarray, mask: np.ndarray, saved: list | None = None) -> np.ndarray:
+    """Hidden states (T, B, H) of one direction, its inputs already turned and weighed (``gates``: T, B, 4H); mask (T, B).
+    saved: takes what ``backward`` needs, while training."""
     t_max, n = mask.shape
-    gates = x @ w.wx[d] + w.b[d]
     h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-    hs, saved = np.empty((t_max, n, HIDDEN), np.float32), []
+    hs = np.empty((t_max, n, HIDDEN), np.float32)
     for t in range(t_max):
         a = gates[t] + h @ w.wh[d]
         s = sigmoid(a[:, : 3 * HIDDEN])
@@ -220,10 +258,11 @@ def forward(w: Weights, d: int, x: np.ndarray, mask: np.ndarray) -> tuple[np.nda
         new_c = f * c + i * g
         tanh_c = np.tanh(new_c)
         m = mask[t][:, None]
-        saved.append((h, c, i, f, o, g, tanh_c, m))
+        if saved is not None:
+            saved.append((h, c, i, f, o, g, tanh_c, m))
         h, c = m * o * tanh_c + (1 - m) * h, m * new_c + (1 - m) * c
         hs[t] = h
-    return hs, saved
+    return hs
 
 
 def backward(w: Weights, d: int, x: np.ndarray, saved: list, dhs: np.ndarray, grads: Weights) -> None:
@@ -244,9 +283,9 @@ def backward(w: Weights, d: int, x: np.ndarray, saved: list, dhs: np.ndarray, gr
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x and x with each page turned round (T, B, INPUT), mask (T, B)."""
-    t_max = max(map(len, pages))
-    x, back, mask = np.zeros((t_max, len(pages), INPUT), np.float32), np.zeros((t_max, len(pages), INPUT), np.float32), np.zeros((t_max, len(pages)), np.float32)
+    """x and x with each page turned round (T, B, columns), mask (T, B)."""
+    t_max, width = max(map(len, pages)), pages[0].shape[1]
+    x, back, mask = np.zeros((t_max, len(pages), width), np.float32), np.zeros((t_max, len(pages), width), np.float32), np.zeros((t_max, len(pages)), np.float32)
     for k, p in enumerate(pages):
         x[: len(p), k], back[: len(p), k], mask[: len(p), k] = p, p[::-1], 1
     return x, back, mask
@@ -259,7 +298,14 @@ def turned(hs: np.ndarray, sizes: list[int]) -> np.ndarray:
     return out
 
 
-def logits(w: Weights, pages: list[np.ndarray]) -> list[np.ndarray]:
+def weighed(w: Weights, page: list[Leaf], words: WordRows) -> np.ndarray:
+    """(blocks, 8H): a page's inputs weighed for the gates of both directions, ``AT_ONCE`` blocks at a time."""
+    wx, b = np.concatenate([w.wx[0], w.wx[1]], 1), np.r_[w.b[0], w.b[1]]
+    parts = [inputs(page[k : k + AT_ONCE], words, k, len(page)) @ wx + b for k in range(0, len(page), AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros((0, 8 * HIDDEN), np.float32)
+
+
+def logits(w: Weights, pages: list[list[Leaf]], words: WordRows) -> list[np.ndarray]:
     """Of each block of each page, that it is main text. Pages of like length go together."""
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
     order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
@@ -270,8 +316,8 @@ def logits(w: Weights, pages: list[np.ndarray]) -> list[np.ndarray]:
             end += 1
         part = order[at:end]
         sizes = [len(pages[k]) for k in part]
-        x, back, mask = padded([pages[k] for k in part])
-        both = np.concatenate([forward(w, 0, x, mask)[0], turned(forward(w, 1, back, mask)[0], sizes)], 2)
+        x, back, mask = padded([weighed(w, pages[k], words) for k in part])
+        both = np.concatenate([forward(w, 0, x[:, :, : 4 * HIDDEN], mask), turned(forward(w, 1, back[:, :, 4 * HIDDEN :], mask), sizes)], 2)
         z = both @ w.out + w.bias
         for j, k in enumerate(part):
             out[k] = z[: sizes[j], j]
@@ -293,8 +339,8 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], seed: int, epochs: in
             part = groups[g]
             sizes = [len(pages[k]) for k in part]
             x, back, mask = padded([pages[k] for k in part])
-            hf, sf = forward(w, 0, x, mask)
-            hb, sb = forward(w, 1, back, mask)
+            sf, sb = [], []
+            hf, hb = forward(w, 0, x @ w.wx[0] + w.b[0], mask, sf), forward(w, 1, back @ w.wx[1] + w.b[1], mask, sb)
             both = np.concatenate([hf, turned(hb, sizes)], 2)
             z = both @ w.out + w.bias
             y = np.zeros_like(z)
@@ -334,10 +380,10 @@ def trained(seed: int = 3, n_pages: int = PAGES) -> Weights:
     return fit(pages, labels, seed)
 
 
-def main_texts(pages: list[str | None], w: Weights, words: WordRows) -> list[str]:
+def main_texts(pages: list[str | None], w: Weights, words: WordRows, bits: Bits) -> list[str]:
     """The main text of each page."""
-    cut = [leaves(p) for p in pages]
-    found = logits(w, [inputs(p, words) for p in cut])
+    cut = [leaves(p, bits) for p in pages]
+    found = logits(w, cut, words)
     return ["\n".join(x.text for x, z in zip(p, f) if z > 0) for p, f in zip(cut, found)]
 
 
@@ -346,11 +392,11 @@ def extract(pages: DataFrame, w: Weights | None = None) -> DataFrame:
     w = w or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordRows()
+        words, bits = WordRows(), Bits()
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                texts = main_texts(part.column(2).to_pylist(), w, words)
+            for at, n in slices(b.column(2), PAGE_BYTES):
+                part = b.slice(at, n)
+                texts = main_texts(part.column(2).to_pylist(), w, words, bits)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
