@@ -14,10 +14,15 @@ with probability 1 - (1 - J^ROWS)^BANDS, over 0.9999.
 Texts and windows that can't match are left out first, without loss: ``anchors`` picks words such that fewer than
 CONTAINED of each template's shingles are free of them, so a window that matches has a shingle with an anchor.
 
-Templates are literals of the plan (a list in code, ``MAX_TEMPLATES`` at most), so the band join broadcasts them;
-candidates only meet the templates of their own bands.
+Templates are literals of the plan, a list in code; the band join broadcasts up to ``BROADCAST_TEMPLATES`` of them and
+leaves more to Spark. Candidates only meet the templates of their own bands.
 
-Defined cases: null, empty and shorter texts match nothing. Rows that are equal in doc_id and text give one result.
+Versions of a wording match each other's passages. Every template that a text holds is returned; ``in_fuller`` says that
+each of its windows overlaps a fuller match of another version of the same wording.
+
+Defined cases: null, empty and shorter texts match nothing. Rows that are equal in doc_id and text give one result, as do
+two rows without doc_id that have the same text. A very long text is scanned whole; an empty table gives no rows;
+columns beside doc_id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ CONTAINED = 0.8
 BANDS = 32
 ROWS = 2
 LEAST_JACCARD = 0.55
-MAX_TEMPLATES = 1000
+BROADCAST_TEMPLATES = 1000
 
 #: Wordings of well-known license notices.
 TEMPLATES = (
@@ -177,11 +182,9 @@ def template_table(spark, groups: list[list[tuple[int, str, list[str]]]], varian
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """doc_id, template, license, containment, start, windows of each document and template that it holds: the best
-    window's share of the template's shingles, the first such window's word, and how many windows hold it. Windows whose
-    matched words overlap a fuller match of another version of the same wording don't count."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    """doc_id, template, license, containment, start, windows, in_fuller of each document and template that it holds: the
+    best window's share of the template's shingles, the first such window's word, how many windows hold it, and whether
+    all of them overlap a fuller match of another version of the wording (windows that don't come first)."""
     groups = classes(templates)
     words = sorted(anchors([shingles_of(w) for group in groups for _, _, w in group]))
     anchor = F.array(*map(F.lit, words))
@@ -193,7 +196,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     keyed = windows.select("*", F.posexplode(bands(F.col("held"))).alias("band", "key"))
     table = template_table(docs.sparkSession, groups, variants_of(templates))
     keys = table.select("*", F.posexplode(bands(F.col("wanted"))).alias("band", "key"))
-    met = keyed.join(F.broadcast(keys), ["class", "band", "key"])
+    met = keyed.join(F.broadcast(keys) if len(templates) <= BROADCAST_TEMPLATES else keys, ["class", "band", "key"])
     share = F.size(F.array_intersect("wanted", "held")) / F.size("wanted")
     at = F.filter(F.transform("held", lambda h, i: F.when(F.array_contains("wanted", h), i)), lambda i: i.isNotNull())
     held = met.withColumn("containment", share).where(F.col("containment") >= CONTAINED).withColumn("at", at)
@@ -205,7 +208,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     near = held.withColumn("piece", F.explode(pieces)).groupBy("doc_id", "digest", "piece").agg(F.collect_list("x").alias("all"))
     fuller = lambda x, y: F.array_contains(x.variants, y.template) & (y.containment > x.containment) & (y.begin < x.end) & (x.begin < y.end)
     told = F.transform("all", lambda x: F.struct(x.alias("x"), F.exists("all", lambda y: fuller(x, y)).alias("hidden")))
-    each = near.select("doc_id", "digest", F.explode(told).alias("t")).groupBy("doc_id", "digest", "t.x").agg(F.max("t.hidden").alias("hidden")).where(~F.col("hidden"))
-    best = F.max(F.struct("x.containment", (-F.col("x.start")).alias("before")))
+    each = near.select("doc_id", "digest", F.explode(told).alias("t")).groupBy("doc_id", "digest", "t.x").agg(F.max("t.hidden").alias("hidden"))
+    best = F.max(F.struct((~F.col("hidden")).alias("shown"), "x.containment", (-F.col("x.start")).alias("before")))
     found = each.groupBy("doc_id", "digest", "x.template", "x.license").agg(best.alias("best"), F.count_distinct("x.start").alias("windows"))
-    return found.select("doc_id", "template", "license", F.col("best.containment").alias("containment"), (-F.col("best.before")).cast("int").alias("start"), "windows")
+    return found.select("doc_id", "template", "license", F.col("best.containment").alias("containment"), (-F.col("best.before")).cast("int").alias("start"), "windows", (~F.col("best.shown")).alias("in_fuller"))
