@@ -49,12 +49,32 @@ def test_encode_and_decode_texts(spark, texts):
         assert r.decoded_text == texts[r.doc_id]
 
 
-def test_offsets_cover_the_text():
-    for text in TRICKY:
-        found = byte_bpe.offsets(text, RANKS)
-        assert [i for i, _, _ in found] == encoding().encode_ordinary(text)
-        assert all(0 <= s < e <= len(text) for _, s, e in found)
-        assert not text or (found[0][1], found[-1][2]) == (0, len(text))
+def plain_ranges(text: str, ids: list[int], plain) -> list[tuple[int, int]]:
+    """One id after the other: the characters that hold its bytes."""
+    owner = [k for k, c in enumerate(text) for _ in c.encode()]
+    out, at = [], 0
+    for i in ids:
+        n = len(plain.decode_single_token_bytes(i))
+        out.append((owner[at], owner[at + n - 1] + 1))
+        at += n
+    return out
+
+
+def test_offsets_match_brute_force(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    plain, want = encoding(), {}
+    for k, t in enumerate(texts):
+        ids = plain.encode_ordinary(t)
+        want[k] = plain_ranges(t, ids, plain)
+    got = {r.doc_id: list(zip(r.starts, r.ends)) for r in byte_bpe.encode_batches(docs, RANKS).collect()}
+    assert got == want
+    for r in byte_bpe.round_trip(docs, RANKS).collect():
+        assert r.offsets_crc32 == zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes())
+        inside, at, text = 0, 0, texts[r.doc_id].encode()
+        for i in plain.encode_ordinary(texts[r.doc_id]):
+            inside += text[at] & 0xC0 == 0x80
+            at += len(plain.decode_single_token_bytes(i))
+        assert r.n_split == inside
 
 
 def test_bpe_odd_rows(odd, none):
