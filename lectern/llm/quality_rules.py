@@ -8,11 +8,17 @@ counted in the cells of a fixed grid (count, sums and sums of products per cell,
 shuffle), so a group brings one task at most the cells of the grid, however many documents it has; the
 concentration steps order cells instead of documents and take the means and covariances from the exact sums.
 
+A group's estimate is drawn towards its language's, and that towards the corpus's, as if each had ``PRIOR`` documents
+more of the wider kind: groups of any size are judged by one formula, and a small one mostly as its language is.
+
+``CUTOFF`` is the point that a Gaussian document passes with probability ``TAIL``. Variances are floored (``FLOOR``), so
+a group whose statistics don't vary rejects nothing near its centre; the floors are low enough for each statistic to pass
+the cutoff alone.
+
 Defined cases: a null text has no words and fails the base rule. Null languages and sources are groups of
-their own. A group with under ``MIN_GROUP`` passing documents is judged by the estimate of its language, and
-where that has too few by that of the whole corpus; only a corpus with a single passing document has none, and
-that document is kept.
-Variances are floored (``FLOOR``), so a group whose statistics don't vary rejects nothing near its centre.
+their own. Repeated rows count and are judged as often as they occur; a very long text is measured whole; an empty table
+gives no rows; a group without a passing document has no estimate and null distances. ``keep_good`` keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +37,14 @@ from lectern.llm.common import cut, mapped, without_ids
 
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 MIN_WORDS = 50
-MIN_GROUP = 40
-#: Documents that an estimate needs: of a language and source, of a language, of the corpus (one is its own centre).
-LEAST = (MIN_GROUP, MIN_GROUP, 2)
+#: Documents that the wider estimate counts for in that of a group or language.
+PRIOR = 40.0
 #: Share of a group that the estimate is made from.
 SHARE = 0.75
-#: Squared distance beyond which a document goes.
-CUTOFF = 40.0
+#: Share of documents beyond the cutoff, were they Gaussian: heavy tails are common among clean documents.
+TAIL = 1e-4
 #: Least standard deviation of each transformed statistic, and the width of the grid's cells.
-FLOOR = (0.45, 0.45, 0.45, 0.08)
+FLOOR = (0.45, 0.45, 0.45, 0.06)
 CELL = (0.25, 0.25, 0.25, 0.05)
 #: The grid ends here: larger values share the last cell.
 TOP = (30.0, 7.0, 5.0, 1.0)
@@ -98,6 +103,10 @@ def chi2_cdf(x: float, df: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(df // 2))
 
 
+#: Squared distance beyond which a document goes.
+CUTOFF = chi2_quantile(1 - TAIL, P)
+
+
 def mcd(count: np.ndarray, sums: np.ndarray, products: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
     """Centre and covariance of the subset of cells that holds ``share`` of the rows and has the smallest
     determinant found. count: rows per cell; sums: (cells, P); products: (cells, P, P), sums of outer products."""
@@ -140,8 +149,7 @@ def mcd(count: np.ndarray, sums: np.ndarray, products: np.ndarray, share: float
 
 
 def estimates(stats: DataFrame) -> DataFrame:
-    """lang, source, mean, precision for each group with documents that pass the base rule: its own estimate, or for a
-    group with under ``MIN_GROUP`` of them its language's, or where that has too few as well the whole corpus's."""
+    """lang, source, mean, precision for each group with documents that pass the base rule."""
     xs = [F.least(x, F.lit(t)) for x, t in zip(transformed(), TOP)]
     rows = stats.where(~base_failed()).select("lang", "source", *[x.alias(f"x{k}") for k, x in enumerate(xs)])
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
@@ -155,24 +163,33 @@ def estimates(stats: DataFrame) -> DataFrame:
     pooled = cells.withColumn("l", F.explode(levels)).groupBy("l.level", "l.lang", "l.source", *grid).agg(*[F.sum(x).alias(x) for x in totals])
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        few = pdf.n.sum() < LEAST[key[0]]
-        if few and key[0]:
-            return pd.DataFrame({"level": [], "lang": [], "source": [], "mean": [], "precision": []}, dtype=object)
-        if few:
-            return pd.DataFrame({"level": [key[0]], "lang": [key[1]], "source": [key[2]], "mean": [None], "precision": [None]})
         pdf = pdf.sort_values(grid)
         products = np.empty((len(pdf), P, P))
         for i, j in pairs:
             products[:, i, j] = products[:, j, i] = pdf[f"p{i}{j}"]
         mean, cov = mcd(pdf.n.to_numpy(float), pdf[[f"s{k}" for k in range(P)]].to_numpy(float), products)
-        return pd.DataFrame({"level": [key[0]], "lang": [key[1]], "source": [key[2]], "mean": [mean.tolist()], "precision": [np.linalg.inv(cov).ravel().tolist()]})
+        return pd.DataFrame({"level": [key[0]], "lang": [key[1]], "source": [key[2]], "n": [float(pdf.n.sum())], "mean": [mean.tolist()], "cov": [cov.ravel().tolist()]})
+
+    def combine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for r in pdf.itertuples():
+                mean, cov = np.array(r.all_mean), np.array(r.all_cov)
+                for n, m, c in ((r.lang_n, r.lang_mean, r.lang_cov), (r.own_n, r.own_mean, r.own_cov)):
+                    mean, cov = drawn(n, np.array(m), np.array(c), mean, cov)
+                out.append((r.lang, r.source, mean.tolist(), np.linalg.inv(cov.reshape(P, P)).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["lang", "source", "mean", "precision"])
+
+    e = cut(pooled.groupBy("level", "lang", "source").applyInPandas(fit, "level int, lang string, source string, n double, mean array<double>, cov array<double>"))
+    of = lambda level, name: e.where(f"level = {level}").select("lang", "source", *[F.col(x).alias(f"{name}_{x}") for x in ("n", "mean", "cov")])
+    groups, langs, corpus = of(0, "own"), of(1, "lang").drop("source").withColumnRenamed("lang", "e_lang"), of(2, "all").drop("lang", "source")
+    found = groups.join(langs, groups.lang.eqNullSafe(langs.e_lang)).join(F.broadcast(corpus), F.lit(True))  # the corpus: one row
+    return found.drop("e_lang").mapInPandas(combine, "lang string, source string, mean array<double>, precision array<double>")
+
 
-    e = cut(pooled.groupBy("level", "lang", "source").applyInPandas(fit, "level int, lang string, source string, mean array<double>, precision array<double>"))
-    groups = e.where("level = 0").select("lang", "source", F.struct("mean", "precision").alias("own"))
-    langs = e.where("level = 1").select(F.col("lang").alias("e_lang"), F.struct("mean", "precision").alias("of_lang"))
-    corpus = e.where("level = 2").select(F.struct("mean", "precision").alias("of_all"))
-    found = groups.join(langs, groups.lang.eqNullSafe(langs.e_lang), "left").join(F.broadcast(corpus), F.lit(True), "left")
-    return found.select("lang", "source", *[F.coalesce(*[F.col(f"{w}.{x}") for w in ("own", "of_lang", "of_all")]).alias(x) for x in ("mean", "precision")]).where("mean IS NOT NULL")
+def drawn(n: float, mean: np.ndarray, cov: np.ndarray, wide_mean: np.ndarray, wide_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate of n documents with ``PRIOR`` more that the wider estimate describes."""
+    return (n * mean + PRIOR * wide_mean) / (n + PRIOR), (n * cov + PRIOR * wide_cov) / (n + PRIOR)
 
 
 def judged(stats: DataFrame) -> DataFrame:
@@ -185,7 +202,7 @@ def judged(stats: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """The statistics of each row of ``docs`` with base_failed, distance (null: no estimate, as no or one document of the corpus passes the base rule, or none of the group does) and kept."""
+    """The statistics of each row of ``docs`` with base_failed, distance (null: no document of the group passes the base rule) and kept."""
     return judged(cut(statistics(docs)))
 
 
