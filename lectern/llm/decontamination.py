@@ -1,56 +1,69 @@
 """Benchmark decontamination by template canonicalisation (operator 5).
 
 Numbers, names and units become typed placeholders, so a question whose figures or people were exchanged has the
-template of the original. Windows of ``WINDOW`` template tokens of the benchmark are kept in a hash table; the
-windows of every document are looked up in it, hits are gathered along their diagonals (document position minus
-item position), and the best diagonal cluster of an item decides: ``CONTAINED`` of the item's windows found there,
-with the fillers of its slots consistent (each filler of the item stands for one filler in the document), or a run
-of ``RUN_WORDS`` tokens with the same fillers throughout.
+template of the original. Windows of ``WINDOW`` template tokens of the documents are hash-joined with those of the
+benchmark; what a document and an item share is judged along their diagonals (document position minus item position, in
+overlapping bands of 2 * ``DRIFT``), and the best band decides: ``CONTAINED`` of the item's windows found there, with the
+fillers of its slots consistent (each filler of the item stands for one filler in the document), or a run of
+``RUN_WORDS`` tokens with the same fillers throughout.
 
 Tokens are the white-space separated words without the marks around them. ``<num>``: begins with a digit;
 ``<unit>``: a word of ``UNITS`` after a number; ``<name>``: begins with a capital, also where a sentence begins, and
 neighbouring names with no mark between them are one. Windows with under ``LITERALS`` plain words tell nothing and
 aren't looked at.
 
-Documents and items are read in three ways, each with windows of its own in the same table: with these tokens; word by
-word with case folded, so that every window tells (capitals, lower-cased copies, items of names or numbers); and with
-tokens that don't depend on case: a word is plain if the benchmark's block has it in small letters somewhere, else a name
-(copies in one case whose figures or people were exchanged). The first way that finds an item gives its row.
-
-The benchmark is read in blocks of about ``BLOCK_CHARS`` characters (by hash of its text), each a table that a task
-holds; every block runs over all documents, so neither the table's size nor the documents are cut.
-
-Defined cases: null or empty texts match nothing; items of under ``WINDOW`` words are never found; equal items count as one, which has the smallest item_id; an empty benchmark finds nothing. Rows keep their
-doc_id, null or repeated; other columns don't matter.
+Documents and items are read in three ways, each with windows of its own: with these tokens; word by word with case
+folded, so that every window tells (capitals, lower-cased copies, items of names or numbers); and with tokens that don't
+depend on case: a word is plain if the benchmark has it in small letters somewhere, else a name (copies in one case whose
+figures or people were exchanged). The first way that finds an item gives its row. An item of fewer than ``WINDOW`` words
+has one window, all of its words with case folded.
+
+Plan: items are normalised, grouped and numbered once. One scan of the documents makes their windows; a Bloom filter of
+the benchmark's (``MAX_BITS`` at most, so its size is bounded; a full one only lets more pass) leaves out most that no item
+has. What is left is joined by hash and counted by document and item; pairs with enough shared windows are joined once
+more with positions and fillers, and judged group by group. Joins broadcast the benchmark only up to ``BROADCAST_WINDOWS``
+windows and ``BROADCAST_CHARS`` characters, else Spark shuffles.
+
+Defined cases: null, empty and wordless texts match nothing and wordless items are left out; items that are equal but for
+white space count as one, which has the smallest item_id; an empty benchmark finds nothing, an empty table has no rows.
+Rows keep their doc_id, null or repeated, and each repeated row has rows of its own; a very long text is read whole; columns
+beside doc_id and text, item_id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mapped
+from lectern.llm.common import BROADCAST_IDS, cut, mapped
 
 WINDOW = 5
 LITERALS = 2
 CONTAINED = 0.8
 CONSISTENT = 0.8
 RUN_WORDS = 13
-#: Characters of benchmark text in a block: a worker holds about 35 bytes for each.
-BLOCK_CHARS = 8_000_000
-#: Diagonals this near each other belong to one cluster.
+#: Diagonals this near each other belong together.
 DRIFT = 8
-#: Words whose tokens a worker remembers, and words that are looked up at once (but one text at least).
+#: Bits of a Bloom filter for each hash, in all at least and at most, in a piece of it that comes to the driver; its probes.
+KEY_BITS, LEAST_BITS, MAX_BITS, PIECE_BITS = 24, 1 << 15, 1 << 27, 1 << 15
+PROBES = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Most windows and characters of a benchmark that a join broadcasts.
+BROADCAST_WINDOWS = 1_000_000
+BROADCAST_CHARS = 32_000_000
+#: Words whose codes a worker remembers, and words that are looked up at once (but one text at least).
 REMEMBERED = 200_000
 AT_ONCE = 200_000
-#: A word that no item has, between two texts; it isn't a name either, so no window passes it.
+#: A word between two texts; no window passes it.
 BETWEEN = "\x00"
 
 MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "…“”‘’«»–—¿¡·•"
@@ -59,10 +72,11 @@ UNITS = frozenset(
     "gram grams kilogram kilograms liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks "
     "month months year years percent dollar dollars euro euros cent cents pound pounds usd eur degree degrees".split()
 )
+#: Tokens: 0 stands between texts, these for what may be exchanged; from FIRST on a token is a word's hash.
 NUM, NAME, UNIT, FIRST = 1, 2, 3, 4
-#: A word's code: its number, times STEP, plus its kind (NUM, NAME or 0) times KIND, plus the other flags that it has.
-STEP, KIND, BREAK, PLAIN, IS_UNIT, CLOSED = 64, 16, 8, 4, 2, 1
-READINGS = 3
+#: Flags of a word: what kind it is (NUM, NAME or 0), and the others times these.
+KINDS, IS_UNIT, CLOSED, PLAIN, BREAK, NONE = 3, 4, 8, 16, 32, 64
+TEMPLATE, WORDS, CASELESS = range(3)
 SCHEMA = "doc_id long, item_id long, n_windows int, n_found int, containment double, consistency double, verbatim_words int, reparameterised boolean"
 
 
@@ -70,276 +84,386 @@ def core(word: str) -> str:
     return word.strip(MARKS)
 
 
-class Codes(dict):
-    """word → its code. numbers: folded word → its number, times 2, plus 1 if the benchmark has it in small letters;
-    words that the benchmark lacks have number 0."""
+def kind_of(c: str) -> int:
+    return NUM if c[0].isdigit() else NAME if c[0].isupper() else 0
+
+
+def hash_of(c: str) -> int:
+    """Of a word's core with case folded; none is below FIRST."""
+    return max(FIRST, xxhash.xxh64_intdigest(c.casefold().encode("utf-8", "surrogatepass")))
+
+
+@dataclass
+class Filter:
+    """A Bloom filter of 64-bit hashes."""
+
+    shift: int
+    bits: np.ndarray  # uint8, packed
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        found = np.ones(len(h), bool)
+        for at in positions(h, self.shift):
+            found &= self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+        return found
+
+
+def positions(h: np.ndarray, shift: int) -> list[np.ndarray]:
+    return [((h * k) >> np.uint64(shift)).astype(np.int64) for k in PROBES]
+
+
+def bloom(hashes: DataFrame, n: int) -> Filter:
+    """Of the column hash, n rows: set bits are made distinct and packed in Spark, MAX_BITS come to the driver at most."""
+    size = min(MAX_BITS, max(LEAST_BITS, 1 << (KEY_BITS * n).bit_length()))
+    shift = 64 - (size.bit_length() - 1)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(positions(b.column(0).to_numpy().view(np.uint64), shift)))
+            yield pa.RecordBatch.from_arrays([pa.array(at // PIECE_BITS, pa.int32()), pa.array(at % PIECE_BITS, pa.int32())], ["piece", "bit"])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(PIECE_BITS, np.uint8)
+        bits[pdf.bit.to_numpy()] = 1
+        return pd.DataFrame({"piece": [pdf.piece.iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    set_bits = hashes.select("hash").transform(mapped, spread, "piece int, bit int").distinct()
+    out = np.zeros(size // 8, np.uint8)
+    for r in set_bits.groupBy("piece").applyInPandas(pack, "piece int, bits binary").collect():
+        out[r.piece * (PIECE_BITS // 8) :][: PIECE_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return Filter(shift, out)
 
-    def __init__(self, numbers: dict[str, int]):
-        self.numbers = numbers
+
+class Lexicon(dict):
+    """word → its number in this process; hashes and flags hold by number what it is."""
+
+    def __init__(self, plain: Filter):
+        self.plain = plain
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self.hashes, self.flags = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
 
     def __missing__(self, word: str) -> int:
+        k = len(self)
+        if k >= len(self.hashes):
+            self.hashes, self.flags = np.r_[self.hashes, np.zeros_like(self.hashes)], np.r_[self.flags, np.zeros_like(self.flags)]
         c = core(word)
-        if not c:
-            code = -1
-        elif word == BETWEEN:
-            code = BREAK
+        if not c or word == BETWEEN:
+            self.flags[k] = NONE if not c else BREAK
         else:
-            folded = c.casefold()
-            number, plain = divmod(self.numbers.get(folded, 0), 2)
-            closed = CLOSED if not word.endswith(c[-1:]) else 0
-            code = number * STEP + kind_of(c) * KIND + plain * PLAIN + IS_UNIT * (folded in UNITS) + closed
-        self[word] = code
-        return code
+            self.hashes[k] = h = hash_of(c)
+            plain = bool(self.plain.has(np.array([h], np.uint64))[0])
+            self.flags[k] = kind_of(c) + IS_UNIT * (c.casefold() in UNITS) + CLOSED * (not word.endswith(c[-1:])) + PLAIN * plain
+        self[word] = k
+        return k
 
 
-def kind_of(c: str) -> int:
-    return NUM if c[0].isdigit() else NAME if c[0].isupper() else 0
-
-
-def numbered(texts: list[str]) -> dict[str, int]:
-    """``Codes.numbers`` of the benchmark's texts."""
-    words = [c for text in texts for w in text.split() if (c := core(w))]
-    plain = {c.casefold() for c in words if not kind_of(c)}
-    return {w: 2 * (k + FIRST) + (w in plain) for k, w in enumerate(dict.fromkeys(c.casefold() for c in words))}
-
-
-def readings(words: list[str], codes: Codes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """tokens, first, last of each way to read: the tokens and the words each stands for (first to last, positions)."""
-    if len(codes) > REMEMBERED:
-        codes.clear()
-    code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-    at = np.flatnonzero(code >= 0)
-    code = code[at]
-    number, kind = code // STEP, code // KIND % (STEP // KIND)
-    if not len(code):
-        return [(number, at, at)] * READINGS
-    kindless = np.where(kind == NUM, NUM, np.where(code & (PLAIN | BREAK) > 0, number, NAME))
-    return [merged(np.where(kind > 0, kind, number), code, kind == 0, at), (number, at, at), merged(kindless, code, kind != NUM, at)]
-
-
-def merged(token: np.ndarray, code: np.ndarray, may_be_unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """tokens with units after numbers and neighbouring names as one, first, last."""
-    before = np.r_[0, token[:-1]]
-    token = np.where((code & IS_UNIT > 0) & may_be_unit & (before == NUM), UNIT, token)
-    goes_on = np.r_[False, (token[1:] == NAME) & (token[:-1] == NAME) & (code[:-1] & CLOSED == 0)]
+@dataclass
+class Reading:
+    token: np.ndarray  # uint64
+    first: np.ndarray  # the word that a token begins with, and the hash of that which it ends with: its filler, if it is a slot
+    filler: np.ndarray
+
+
+def readings(words: list[str], lexicon: Lexicon) -> list[Reading]:
+    """The three ways to read a list of words."""
+    if len(lexicon) > REMEMBERED:
+        lexicon.start()
+    number = np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words))
+    flags = lexicon.flags[number]
+    at = np.flatnonzero(flags & NONE == 0)
+    h, flags = lexicon.hashes[number][at], flags[at]
+    kind = flags & KINDS
+    caseless = np.where(kind == NUM, NUM, np.where(flags & (PLAIN | BREAK) > 0, h, NAME)).astype(np.uint64)
+    template = np.where(kind > 0, kind.astype(np.uint64), h)
+    return [merged(template, h, flags, kind == 0, at), Reading(h, at, h), merged(caseless, h, flags, kind != NUM, at)]
+
+
+def merged(token: np.ndarray, h: np.ndarray, flags: np.ndarray, may_be_unit: np.ndarray, at: np.ndarray) -> Reading:
+    """Units after numbers, and neighbouring names as one."""
+    if not len(token):
+        return Reading(token, at, h)
+    before = np.r_[np.uint64(0), token[:-1]]
+    token = np.where((flags & IS_UNIT > 0) & may_be_unit & (before == NUM), np.uint64(UNIT), token)
+    goes_on = np.r_[False, (token[1:] == NAME) & (token[:-1] == NAME) & (flags[:-1] & CLOSED == 0)]
     start = np.flatnonzero(~goes_on)
-    return token[start], at[start], at[np.r_[start[1:] - 1, len(at) - 1]]
+    return Reading(token[start], at[start], h[np.r_[start[1:] - 1, len(at) - 1]])
 
 
-def window_hashes(token: np.ndarray, reading: int) -> tuple[np.ndarray, np.ndarray]:
-    """hash of each telling window, and where it begins; no two readings share hashes."""
-    n = len(token) - WINDOW + 1
-    if n < 1:
+def window_hashes(token: np.ndarray, reading: int, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """hash of each telling window of ``size`` tokens, and where it begins; no two readings or sizes share hashes."""
+    if len(token) < size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     plain, known = np.r_[0, np.cumsum(token >= FIRST)], np.r_[0, np.cumsum(token > 0)]
-    at = np.flatnonzero((known[WINDOW:] - known[:-WINDOW] == WINDOW) & (plain[WINDOW:] - plain[:-WINDOW] >= LITERALS))
-    h = np.full(len(at), reading, np.uint64)
-    for k in range(WINDOW):
-        h = (h ^ token[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.flatnonzero((known[size:] - known[:-size] == size) & (plain[size:] - plain[:-size] >= min(size, LITERALS)))
+    h = np.full(len(at), 8 * reading + size, np.uint64)
+    for k in range(size):
+        h = (h ^ token[at + k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h, at
 
 
-@dataclass
-class Table:
-    """A block of the benchmark: equal items once. An entry is an item in one way to read it."""
-
-    numbers: dict[str, int]
-    ids: list[int | None]
-    words: list[list[str]]
-    owner: list[int]  # of each entry its item, and how it is read
-    reading: list[int]
-    spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    n_windows: list[int]
-    hashes: np.ndarray  # ascending, with the entry and the position of each
-    entry: np.ndarray
-    position: np.ndarray
-    least: np.ndarray  # windows of an entry that must be in a text to be contained, or to have a run
-    seen: np.ndarray  # by a hash's first bits, whether the table has one of those
-
-
-def build(items: list[tuple[int | None, str]]) -> Table:
-    ids, words, owner, ways, spans, n_windows, hashes, entry, position = [], [], [], [], [], [], [], [], []
-    smallest: dict[str, int | None] = {}
-    for i, text in items:
-        key = " ".join((text or "").split())
-        if key not in smallest or (i is not None and (smallest[key] is None or i < smallest[key])):
-            smallest[key] = i
-    texts = sorted(smallest.items())
-    numbers = numbered([text for text, _ in texts])
-    codes = Codes(numbers)
-    for text, i in texts:
-        w, told = text.split(), False
-        for reading, span in enumerate(readings(w, codes)):
-            h, at = window_hashes(span[0], reading)
+def item_windows(read: list[Reading]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """reading, size, hashes, positions of an item's windows, for each way to read it that has any."""
+    for reading, r in enumerate(read):
+        size = min(WINDOW, len(r.token)) if reading == WORDS else WINDOW
+        if size:
+            h, at = window_hashes(r.token, reading, size)
             if len(h):
-                hashes.append(h), entry.append(np.full(len(h), len(owner))), position.append(at)
-                owner.append(len(ids)), ways.append(reading), spans.append(span), n_windows.append(len(h))
-                told = True
-        if told:
-            ids.append(i), words.append(w)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    order = np.argsort(h, kind="stable")
-    seen = np.zeros(1 << 20, bool)
-    seen[h >> np.uint64(44)] = True
-    entry, position = (np.concatenate(x)[order] if x else np.zeros(0, int) for x in (entry, position))
-    return Table(numbers, ids, words, owner, ways, spans, n_windows, h[order], entry, position, np.minimum(CONTAINED * np.array(n_windows), RUN_WORDS - WINDOW + 1), seen)
-
-
-def filler(words: list[str], last: int) -> str:
-    """Of a name of several words the last: the first may be the capital that a sentence begins with."""
-    return core(words[last]).lower()
-
-
-def judge(words: list[str], span: tuple, item_words: list[str], item_span: tuple, n_windows: int, p: np.ndarray, q: np.ndarray) -> tuple | None:
-    """Of the windows at ``p`` of a document that equal those at ``q`` of an item: (found, consistency, verbatim
-    words) of the best diagonal cluster, or None if no cluster is contamination."""
-    order = np.lexsort((q, p - q))
-    p, q = p[order], q[order]
-    edges = np.r_[0, np.flatnonzero(np.diff(p - q) > DRIFT) + 1, len(p)]
-    best = None
-    for s, e in zip(edges, edges[1:]):
-        found = len(set(q[s:e].tolist()))
-        if found < min(CONTAINED * n_windows, RUN_WORDS - WINDOW + 1):
-            continue
-        pairs = sorted({(int(a) + k, int(b) + k) for a, b in zip(p[s:e], q[s:e]) for k in range(WINDOW)})
-        slots: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        same: set[tuple[int, int]] = set()
-        for a, b in pairs:
-            kind = int(item_span[0][b])
-            if kind >= FIRST:
-                same.add((a, b))
-                continue
-            mine, theirs = filler(words, span[2][a]), filler(item_words, item_span[2][b])
-            slots[kind, theirs][mine] += 1
-            if mine == theirs:
-                same.add((a, b))
-        again = [x for x in slots.values() if sum(x.values()) > 1]  # fillers that occur once can't contradict themselves
-        consistency = sum(max(x.values()) for x in again) / sum(sum(x.values()) for x in again) if again else 1.0
-        run, length = 0, {}
-        for a, b in pairs:  # ascending, so that what lies before on the diagonal is known
-            if (a, b) in same:
-                length[a, b] = length.get((a - 1, b - 1), 0) + 1
-                run = max(run, length[a, b])
-        if found >= CONTAINED * n_windows and consistency >= CONSISTENT or run >= RUN_WORDS:
-            best = max(best or (0, 0.0, 0), (found, consistency, run))
-    return best
+                yield reading, size, h, at
+
 
+def least(n_windows: int) -> float:
+    """Windows of an item that must be in a text for it to be contained, or to have a run."""
+    return min(CONTAINED * n_windows, RUN_WORDS - WINDOW + 1)
 
-def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers from each low to its high, one after the other, and how many each has."""
-    n = high - low
-    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()), n
-
-
-def stretches(n: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
-    """Where to cut a sequence so that each piece's sum is about ``most`` at most."""
-    part = (np.cumsum(n) - n) // most
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
-    return ((s, e) for s, e in zip(edges, edges[1:]) if e > s)
-
-
-def contaminations(text: str | None, table: Table, codes: Codes) -> list[tuple]:
-    """(entry, found, consistency, verbatim words) for each item that ``text`` contains: of the first reading that has it."""
-    words = (text or "").split()
-    spans = readings(words, codes)
-    h, at = map(np.concatenate, zip(*(window_hashes(span[0], k) for k, span in enumerate(spans))))
-    hit = np.flatnonzero(table.seen[h >> np.uint64(44)])
-    if not len(hit):
-        return []
-    h, at = h[hit], at[hit]
-    h, which = np.unique(h, return_inverse=True)
-    low, high = np.searchsorted(table.hashes, h, "left"), np.searchsorted(table.hashes, h, "right")
-    # how many of an entry's windows the text has: only entries with enough of them are looked at in detail
-    count = np.zeros(len(table.owner), np.int64)
-    for s, e in stretches(high - low):
-        count += np.bincount(table.entry[ranges(low[s:e], high[s:e])[0]], minlength=len(count))
-    enough = count >= table.least
-    if not enough.any():
-        return []
-    parts = []
-    for s, e in stretches((high - low)[which]):
-        where, n = ranges(low[which[s:e]], high[which[s:e]])
-        kept = enough[table.entry[where]]
-        parts.append((table.entry[where][kept], table.position[where][kept], np.repeat(at[s:e], n)[kept]))
-    entry, q, p = (np.concatenate(x) for x in zip(*parts))
-    out: dict[int, tuple] = {}
-    order = np.argsort(entry, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(entry[order])) + 1):
-        i = int(entry[part[0]])
-        mine = table.owner[i]
-        if mine not in out and len(part) >= table.least[i]:
-            got = judge(words, spans[table.reading[i]], table.words[mine], table.spans[i], table.n_windows[i], p[part], q[part])
-            if got:
-                out[mine] = (i, *got)
-    return list(out.values())
-
-
-def suspects(texts: list[str | None], table: Table, codes: Codes) -> list[int]:
-    """Positions of the texts that have a window of the table, many texts looked up at once."""
-    out, at = [], 0
-    while at < len(texts):
-        words, ends, begun = [], [], at
-        while at < len(texts) and (at == begun or len(words) < AT_ONCE):
-            words += (texts[at] or "").split()
+
+def lists(values: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values, kind))
+
+
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the keys, the first before the others, and where each group of equal ones begins in it, with the end."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(max(0, len(order) - 1), bool)
+    for k in keys:
+        new |= np.diff(k[order]) != 0
+    return order, np.r_[0, np.flatnonzero(new) + 1, len(order)] if len(order) else np.zeros(1, np.int64)
+
+
+def numbered(benchmark: DataFrame) -> DataFrame:
+    """item, item_id, text of the different items of ``benchmark`` (item_id, text): white space as one space, none without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join((t or "").split()) for t in b.column(1).to_pylist()], pa.string())], ["item_id", "text"])
+
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, "item_id long, text string")
+    return cut(rows.where("text <> ''").groupBy("text").agg(F.min("item_id").alias("item_id")).select(F.monotonically_increasing_id().alias("item"), "item_id", "text"))
+
+
+def small_words(items: DataFrame) -> DataFrame:
+    """hash of each word that an item has in small letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {c.casefold() for t in b.column(0).to_pylist() for w in t.split() if (c := core(w)) and not kind_of(c)}
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(map(hash_of, found)), np.uint64).view(np.int64))], ["hash"])
+
+    return items.select("text").transform(mapped, run, "hash long").distinct()
+
+
+def benchmark_windows(items: DataFrame, plain: Filter) -> DataFrame:
+    """item, reading, size, hash, qs: the different windows of each item, and where in it they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(plain)
+        for b in batches:
+            parts = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for reading, size, h, at in item_windows(readings(text.split(), lexicon)):
+                    order, edges = grouped(h)
+                    n = len(edges) - 1
+                    parts.append((np.full(n, item), np.full(n, reading), np.full(n, size), h[order][edges[:-1]].view(np.int64), at[order], np.diff(edges)))
+            if parts:
+                item, reading, size, h, at, n = map(np.concatenate, zip(*parts))
+                columns = [pa.array(item, pa.int64()), pa.array(reading, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), lists(at, np.r_[0, np.cumsum(n)], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["item", "reading", "size", "hash", "qs"])
+
+    return items.select("item", "text").transform(mapped, run, "item long, reading int, size int, hash long, qs array<int>")
+
+
+def hits(docs: DataFrame, seen: Filter, plain: Filter, sizes: list[int], needed: dict[int, float]) -> DataFrame:
+    """uid, doc_id, digest, hash, at, fills: for each row of ``docs`` its different windows that the benchmark may have, where
+    they are, and the fillers of their slots (WINDOW for each place, 0: no slot; none if windows have no slots). uid: of the
+    row. needed: of each reading, the least different windows that any item must share; texts with fewer have no rows."""
+    schema = "uid long, doc_id long, digest binary, hash long, at array<int>, fills array<long>"
+
+    def found(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, ...]:
+        """text, hash, position, fillers or none, of each window of the texts that the filter has."""
+        words, ends = [], []
+        for t in texts:
+            words += (t or "").split()
             words.append(BETWEEN)
             ends.append(len(words))
-            at += 1
-        hits = []
-        for reading, (token, first, _) in enumerate(readings(words, codes)):
-            h, where = window_hashes(token, reading)
-            hit = np.flatnonzero(table.seen[h >> np.uint64(44)])
-            h, where = h[hit], where[hit]
-            found = np.searchsorted(table.hashes, h, "left") < np.searchsorted(table.hashes, h, "right")
-            hits.append(first[where[found]])
-        out += (begun + np.unique(np.searchsorted(ends, np.concatenate(hits), "right"))).tolist()
-    return out
-
-
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Table]:
-    """The benchmark (item_id, text) as tables of about ``chars`` characters each."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
-    n = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // chars
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield build([(r.item_id, r.text) for r in part.collect()])
-
-
-def contaminated_by(docs: DataFrame, table: Table) -> DataFrame:
-    """``SCHEMA`` for each row of ``docs`` (doc_id, text) and item of ``table`` that it contains."""
+        out = []
+        for reading, r in enumerate(readings(words, lexicon)):
+            if reading not in needed:
+                continue
+            for size in sizes if reading == WORDS else [WINDOW]:
+                h, at = window_hashes(r.token, reading, size)
+                k = np.flatnonzero(seen.has(h))
+                h, at = h[k], at[k]
+                text = np.searchsorted(ends, r.first[at], "right")
+                # a text needs as many different windows as the item that needs fewest
+                order, edges = grouped(text, h)
+                different = np.bincount(text[order][edges[:-1]], minlength=len(texts)) if len(h) else np.zeros(len(texts))
+                enough = different[text] >= (needed[reading] if size == WINDOW else 1) if len(h) else np.zeros(0, bool)
+                h, at, text = h[enough], at[enough], text[enough]
+                if reading == WORDS:
+                    fills = np.zeros((len(h), WINDOW), np.uint64)
+                else:
+                    where = at[:, None] + np.arange(WINDOW)
+                    fills = np.where(r.token[where] < FIRST, r.filler[where], np.uint64(0))
+                out.append((text, h, at, fills))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(table.numbers)
+        row, lexicon = TaskContext.get().partitionId() << 33, Lexicon(plain)
         for b in batches:
-            rows, texts = [], b.column(1).to_pylist()
-            for k in suspects(texts, table, codes):
-                for i, found, consistency, run_words in contaminations(texts[k], table, codes):
-                    size = len(table.spans[i][0])
-                    rows.append((b.column(0)[k].as_py(), table.ids[table.owner[i]], table.n_windows[i], found, found / table.n_windows[i], consistency, run_words, run_words < min(size, RUN_WORDS)))
-            columns = list(zip(*rows)) or [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
+            texts = b.column(1).to_pylist()
+            size = np.cumsum([len(t or "") // 6 + 1 for t in texts])
+            part = (size - size[:1]) // AT_ONCE
+            for e in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1) if texts else []:
+                mine = [texts[k] for k in e]
+                text, h, at, fills = found(mine, lexicon)
+                order, edges = grouped(text, h)
+                if len(h):
+                    first = order[edges[:-1]]
+                    digest = {k: hashlib.md5(mine[k].encode("utf-8", "surrogatepass")).digest() for k in np.unique(text).tolist()}
+                    slots = np.diff(edges) * WINDOW * (np.logical_or.reduceat(fills[order].any(1), edges[:-1]))
+                    kept = np.repeat(slots > 0, np.diff(edges))
+                    columns = [pa.array(row + text[first], pa.int64()), b.column(0).take(pa.array(e[0] + text[first])), pa.array([digest[k] for k in text[first].tolist()], pa.binary())]
+                    columns += [pa.array(h[first].view(np.int64)), lists(at[order], edges, pa.int32()), lists(fills[order][kept].ravel().view(np.int64), np.r_[0, np.cumsum(slots)], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+                row += len(e)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, SCHEMA)
 
+@dataclass
+class Shared:
+    """A window that a document and an item share: where in the document, its fillers there (None: no slots), where in the item."""
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
-    """``SCHEMA`` for each row of ``docs`` and benchmark item that it contains; documents that contain none have no row."""
-    return reduce(DataFrame.union, [contaminated_by(docs, t) for t in blocks(benchmark, chars)])
+    at: np.ndarray  # ascending
+    fills: np.ndarray | None  # (places, WINDOW)
+    qs: np.ndarray
+
+
+def judge(shared: list[Shared], item: Reading, size: int, n_windows: int) -> tuple[int, float, int] | None:
+    """(found, consistency, verbatim words) of the best band of diagonals, or None if none is contamination."""
+    cells: dict[int, int] = defaultdict(int)  # how many pairs lie on DRIFT neighbouring diagonals
+    for s in shared:
+        for q in s.qs.tolist():
+            for c, n in zip(*map(np.ndarray.tolist, np.unique((s.at - q) // DRIFT, return_counts=True))):
+                cells[c] += n
+    best = None
+    for c in sorted(cells):
+        if cells[c] + cells.get(c + 1, 0) < least(n_windows):
+            continue
+        p, q, fills = band(shared, c * DRIFT, (c + 2) * DRIFT)
+        found = len(np.unique(q))
+        if found < least(n_windows):
+            continue
+        # tokens of the pairs, each once: in document and item, with the document's filler
+        k = np.arange(size)
+        a, b, mine = (p[:, None] + k).ravel(), (q[:, None] + k).ravel(), fills[:, :size].ravel()
+        order, edges = grouped(a - b, b)
+        a, b, mine = (x[order][edges[:-1]] for x in (a, b, mine))
+        kind, theirs = item.token[b], item.filler[b]
+        slot = kind < FIRST
+        slots: dict[tuple[int, int], dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        for x, y, z in zip(kind[slot].tolist(), theirs[slot].tolist(), mine[slot].tolist()):
+            slots[x, y][z] += 1
+        again = [x for x in slots.values() if sum(x.values()) > 1]  # fillers that occur once can't contradict themselves
+        consistency = sum(max(x.values()) for x in again) / sum(sum(x.values()) for x in again) if again else 1.0
+        same = ~slot | (mine == theirs)
+        goes_on = np.r_[False, same[1:] & same[:-1] & (np.diff(a - b) == 0) & (np.diff(b) == 1)]
+        starts = np.flatnonzero(~goes_on)
+        run = int(np.add.reduceat(same.astype(np.int64), starts).max())
+        if found >= CONTAINED * n_windows and consistency >= CONSISTENT or run >= RUN_WORDS:
+            best = max(best or (0, 0.0, 0), (found, consistency, run))
+    return best
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that contain no item, all columns as they were."""
-    at = docs.columns.index("text")
-    for table in blocks(benchmark, chars):
+def band(shared: list[Shared], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p, q, fillers of the pairs of places with low <= p - q < high."""
+    ps, qs, fills = [], [], []
+    for s in shared:
+        for q in s.qs.tolist():
+            i, j = np.searchsorted(s.at, (q + low, q + high))
+            if j > i:
+                ps.append(s.at[i:j]), qs.append(np.full(j - i, q))
+                fills.append(s.fills[i:j] if s.fills is not None else np.zeros((j - i, WINDOW), np.uint64))
+    return np.concatenate(ps), np.concatenate(qs), np.concatenate(fills)
 
-        def run(batches: Iterator[pa.RecordBatch], table: Table = table) -> Iterator[pa.RecordBatch]:
-            codes = Codes(table.numbers)
-            for b in batches:
-                texts = b.column(at).to_pylist()
-                clean = np.ones(len(texts), bool)
-                clean[[k for k in suspects(texts, table, codes) if contaminations(texts[k], table, codes)]] = False
-                yield b.filter(pa.array(clean))
 
-        docs = docs.transform(mapped, run, docs.schema)
-    return docs
+def judged(pairs: DataFrame, plain: Filter) -> DataFrame:
+    """The pairs (uid, doc_id, digest, item, item_id, text, reading, size, n_windows, shared) that are contamination."""
+    keys = "uid long, doc_id long, digest binary, item long, item_id long, reading int"
+    schema = f"{keys}, n_windows int, n_found int, containment double, consistency double, verbatim_words int, reparameterised boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(plain)
+        known: dict[int, list[Reading]] = {}
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                if len(known) > 10_000:
+                    known.clear()
+                if r["item"] not in known:
+                    known[r["item"]] = readings(r["text"].split(), lexicon)
+                read = known[r["item"]][r["reading"]]
+                shared = []
+                for s in r["shared"]:
+                    at, fills = np.array(s["at"], np.int64), np.array(s["fills"], np.int64).view(np.uint64).reshape(-1, WINDOW)
+                    order = np.argsort(at, kind="stable")
+                    shared.append(Shared(at[order], fills[order] if len(fills) else None, np.array(s["qs"], np.int64)))
+                if got := judge(shared, read, r["size"], r["n_windows"]):
+                    found, consistency, run_words = got
+                    whole = run_words >= min(len(read.token), RUN_WORDS)
+                    rows.append([*(r[k.split()[0]] for k in keys.split(", ")), r["n_windows"], found, found / r["n_windows"], consistency, run_words, not whole])
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], [x.split()[0] for x in schema.split(", ")])
+
+    return pairs.transform(mapped, run, schema)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """``judged`` for each row of ``docs`` and item that it contains, the first reading's; None if there are no items."""
+    items = numbered(benchmark)
+    small = cut(small_words(items))
+    plain = bloom(small, small.count())
+    windows = cut(benchmark_windows(items, plain))
+    n = windows.count()
+    if not n:
+        return None
+    seen = bloom(windows, n)
+    entries = windows.groupBy("item", "reading", "size").agg(F.sum(F.size("qs")).cast("int").alias("n_windows"), F.max(F.size("qs")).alias("again"))
+    fewest = F.least(F.lit(CONTAINED) * F.col("n_windows"), F.lit(float(RUN_WORDS - WINDOW + 1)))
+    rows = entries.where(F.col("size") == WINDOW).groupBy("reading").agg(F.min(fewest / F.col("again")).alias("n")).collect()
+    sizes = sorted(r[0] for r in windows.where(F.col("reading") == WORDS).select("size").distinct().collect())
+    needed = {WORDS: 1.0} | {r.reading: r.n for r in rows}
+    found = cut(hits(docs, seen, plain, sizes, needed))
+    small_enough = lambda df, ok: F.broadcast(df) if ok else df
+    few = n <= BROADCAST_WINDOWS
+    counts = found.select("uid", "hash").join(small_enough(windows.select("hash", "item", "reading", F.size("qs").alias("n")), few), "hash").groupBy("uid", "item", "reading").agg(F.sum("n").alias("n"))
+    near = cut(counts.join(entries, ["item", "reading"]).where(F.col("n") >= fewest).select("uid", "item", "reading", "size", "n_windows"))
+    met = found.join(small_enough(windows.select("hash", "item", "reading", "qs"), few), "hash").join(near, ["uid", "item", "reading"])
+    pairs = met.groupBy("uid", "item", "reading", "size", "n_windows").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.collect_list(F.struct("at", "fills", "qs")).alias("shared"))
+    short = (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= BROADCAST_CHARS
+    told = judged(pairs.join(small_enough(items, short), "item"), plain)
+    values = [x.split()[0] for x in SCHEMA.split(", ")]
+    first = told.groupBy("uid", "item").agg(F.min_by(F.struct("digest", *values), "reading").alias("x"))
+    return first.select("x.digest", *[f"x.{v}" for v in values])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``SCHEMA`` for each row of ``docs`` and benchmark item that it contains; documents that contain none have no row."""
+    found = matches(docs, benchmark)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found.drop("digest")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that contain no item, all columns as they were: those whose text isn't that of a row that does."""
+    found = matches(docs, benchmark)
+    if found is None:
+        return docs
+    name = "digest"
+    while name in docs.columns:
+        name += "_"
+    gone = cut(found.select(F.col("digest").alias(name)).distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    keyed = docs.withColumn(name, F.unhex(F.md5(F.col("text").cast("string").cast("binary"))))
+    return keyed.join(F.broadcast(gone) if few else gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,24 +1,12 @@
 import random
-import re
-from collections import Counter
 
 import numpy as np
 import pytest
 
-from lectern.llm import quality_rules as q
-
+from conftest_llm import plain_distances
+from conftest_llm import plain_statistics as plain
 
-def plain(text):
-    text = text or ""
-    w = re.findall(r"[^\x20\x09-\x0D]+", text)
-    windows = Counter(zip(w, w[1:], w[2:]))
-    repeated = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
-    seen, again = set(), 0
-    for line in text.split("\n"):
-        if re.search(r"[^\x20\x09-\x0D]", line):
-            again += line in seen
-            seen.add(line)
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), again, len(repeated)
+from lectern.llm import quality_rules as q
 
 
 def test_statistics_match_a_plain_count():
@@ -55,36 +43,9 @@ def test_outliers_go_and_clean_documents_stay(corpus):
     assert q.keep_good(corpus).count() == 390
 
 
-def rowwise_mcd(x):
-    """The textbook estimate from the rows themselves: many random starts, concentration steps, the least determinant."""
-    rng, floor = np.random.default_rng(2), np.diag(np.square(q.FLOOR))
-    h, best = int(np.ceil(q.SHARE * len(x))), None
-    for _ in range(60):
-        part = x[rng.choice(len(x), min(len(x), 2 * q.P), replace=False)]
-        for _ in range(40):
-            mean, cov = part.mean(0), np.cov(part.T, bias=True) + floor
-            d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(1)
-            part = x[np.argsort(d, kind="stable")[:h]]
-        mean, cov = part.mean(0), np.cov(part.T, bias=True) + floor
-        if best is None or np.linalg.det(cov) < np.linalg.det(best[1]):
-            best = mean, cov
-    from math import exp
-
-    point, cdf = q.chi2_quantile(q.SHARE, q.P), lambda v: 1 - exp(-v / 2) * (1 + v / 2 + v * v / 8)  # of P + 2 = 6 degrees
-    return best[0], q.SHARE / cdf(point) * (best[1] - floor) + floor
-
-
 def test_verdicts_match_estimates_from_rows(spark, corpus):
     """Independent of the grid's cells: all statistics by a plain count, estimates row by row."""
-    rows = corpus.collect()
-    n = np.array([plain(r.text)[0] for r in rows])
-    x = np.array([[c / w, np.log1p(100 * s / w), np.log1p(100 * d / w), p / w] for w, c, s, d, p in (plain(r.text) for r in rows)])
-    whole, of = rowwise_mcd(x[n >= 50]), {}
-    drawn = lambda k, e, wide: tuple((k * a + q.PRIOR * b) / (k + q.PRIOR) for a, b in zip(e, wide))
-    for source in ("hot", "s"):
-        mine = np.array([r.source == source for r in rows])
-        of[source] = drawn(mine.sum(), rowwise_mcd(x[mine]), drawn(len(x), whole, whole))
-    want = {r.doc_id: float((v - of[r.source][0]) @ np.linalg.inv(of[r.source][1]) @ (v - of[r.source][0])) for r, v in zip(rows, x)}
+    want = plain_distances(corpus.collect())
     got = {r.doc_id: r for r in q.quality_rules(corpus).collect()}
     assert all(got[k].kept == (d <= q.CUTOFF) for k, d in want.items())
     near = [(got[k].distance, d) for k, d in want.items() if d > 1]
