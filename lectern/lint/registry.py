@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -10,7 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.plans.model import Model, asof
+from lectern.functions.arrow import udf_of
+from lectern.plans.model import Model
 
 LEVELS = ("off", "info", "warning", "error")
 FINDING = (
@@ -74,7 +77,8 @@ class Registry:
     def register(self, name: str, level: str, description: str, builder: Builder) -> None:
         """A rule of one's own: its builder may only emit its own name."""
         self.add(Rule(name, level, description, name))
-        self.builders[name] = lambda model, context: builder(model, context).withColumn("rule", F.assert_true(F.col("rule") == name).isNull().cast("string")).withColumn("rule", F.lit(name))
+        own = F.when(F.col("rule") == name, F.col("rule")).otherwise(F.raise_error(F.concat(F.lit(f"{name} emits "), F.col("rule"))).cast("string"))
+        self.builders[name] = lambda model, context: builder(model, context).withColumn("rule", own)
 
     def listing(self) -> list[Rule]:
         return [self.rules[k] for k in sorted(self.rules)]
@@ -117,7 +121,9 @@ class Registry:
         found = reduce(DataFrame.unionByName, [self.builders[g](model, context) for g in groups])
         severity = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(levels.items()) for x in pair]), F.col("rule"))
         found = found.where(F.col("rule").isin(*levels)).withColumn("severity", severity)
+        # once by document: the window, and later joins with the documents, need no other exchange
         first = Window.partitionBy("doc_id", "rule", "start", "end").orderBy("message")
+        found = found.repartition("doc_id")
         return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
@@ -167,12 +173,25 @@ def emit_matches(rows: DataFrame, matches: Column, message: Column | str = "", b
     return each.select("doc_id", F.inline(F.array(found)))
 
 
+def line_starts(text: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", text))]
+
+
+def placed(starts: list[int], points: list[int]) -> list[dict]:
+    """Line and column of each point, from 1."""
+    lines = [bisect_right(starts, p) for p in points]
+    return [{"line": k, "column": p - starts[k - 1] + 1} for k, p in zip(lines, points)]
+
+
 def diagnostics(findings: DataFrame, model: Model) -> DataFrame:
-    """Findings with 1-based lines and columns, by as-of joins to the lines."""
-    ends = asof(findings.withColumn("at", F.col("end")), model.lines.select("doc_id", "start", F.struct(F.col("line_no"), F.col("start").alias("line_start")).alias("_last")), ["_last"]).drop("at")
-    both = asof(ends.withColumn("at", F.col("start")), model.lines.select("doc_id", "start", F.struct(F.col("line_no"), F.col("start").alias("line_start")).alias("_first")), ["_first"]).drop("at")
-    place = {"line": F.col("_first.line_no"), "column": F.col("start") - F.col("_first.line_start") + 1, "end_line": F.col("_last.line_no"), "end_column": F.col("end") - F.col("_last.line_start") + 1}
-    return both.select(*[c for c in both.columns if c not in ("_first", "_last")], *[v.cast("int").alias(k) for k, v in place.items()])
+    """Findings with 1-based lines and columns. Only documents that have findings send something, where their lines begin;
+    findings are dealt out by document already (``Registry.run``), so nothing else is shuffled or sorted."""
+    starts = model.documents.select("doc_id", udf_of(line_starts, "array<int>")("text").alias("_starts"))
+    both = findings.join(starts, "doc_id")
+    at = udf_of(placed, "array<struct<line:int,column:int>>")(F.col("_starts"), F.array("start", "end"))
+    both = both.withColumn("_at", at)
+    place = {"line": "_at[0].line", "column": "_at[0].column", "end_line": "_at[1].line", "end_column": "_at[1].column"}
+    return both.select(*findings.columns, *[F.expr(v).alias(k) for k, v in place.items()])
 
 
 def names(rules: Iterable[Rule]) -> list[str]:

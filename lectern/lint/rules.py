@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,30 @@ from lectern.lint.registry import FINDING, REGISTRY, Context, emit, emit_matches
 from lectern.operators.similar import package_closure, similar_names
 from lectern.plans.model import Model, not_within
 
-#: Folders that TeX searches; more is an error.
-MAX_ROOTS = 100
+
+def decoded(url: Column) -> Column:
+    """A URL's text with its %-escapes read; as it stands where one is malformed."""
+    return F.coalesce(F.try_url_decode(url), url)
+
+
+def resolved(path: Column) -> Column:
+    """A path without `.`, `..` and empty parts; `..` that lead out of the whole stay."""
+    step = lambda seen, x: (
+        F.when(x.isin("", "."), seen)
+        .when((x == "..") & (F.size(seen) > 0) & (F.coalesce(F.element_at(seen, -1), F.lit("")) != ".."), F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0))))
+        .otherwise(F.concat(seen, F.array(x)))
+    )
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
+
+
+def beside(model: Model, rows: DataFrame, path: str = "path") -> DataFrame:
+    """``rows`` (doc_id, path, ...) with paths as from the folder of their document; as from the whole where documents have no path."""
+    if "path" not in model.documents.columns:
+        return rows.withColumn(path, resolved(F.col(path)))
+    folders = model.documents.select("doc_id", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1).alias("_folder"))
+    whole = F.when(F.col(path).startswith("/"), F.col(path)).otherwise(F.concat("_folder", path))
+    return rows.join(folders, "doc_id").withColumn(path, resolved(whole)).drop("_folder")
 
 
 def lit_in(c: Column, names) -> Column:
@@ -161,15 +184,15 @@ def identifiers(model: Model, context: Context) -> DataFrame:
 
 @REGISTRY.group("fragments", ("link/invalid-fragment", "warning", "A fragment names an identifier"))
 def fragments(model: Model, context: Context) -> DataFrame:
-    wanted = model.links.where("kind = 'link' AND url LIKE '#_%'").select("doc_id", "start", "end", F.url_decode(F.substring("url", 2, 10_000)).alias("ident"))
+    wanted = model.links.where("kind = 'link' AND url LIKE '#_%'").select("doc_id", "start", "end", decoded(F.expr("substring(url, 2)")).alias("ident"))
     known = model.identifiers.select("doc_id", "ident").distinct()
     missing = wanted.join(known, ["doc_id", "ident"], "left_anti")
     if "path" in model.documents.columns:  # fragments of other documents of the run
         paths = model.documents.select("doc_id", "path")
         links = model.links.where("kind = 'link'").where(F.col("url").rlike(r"^(?![A-Za-z][A-Za-z0-9+.-]*:|/)[^#?]+#."))
-        folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
-        file = F.regexp_replace(F.url_decode(F.regexp_replace("url", "#.*$", "")), r"^(?:\./)+", "")
-        there = links.join(paths, "doc_id").select("doc_id", "start", "end", F.url_decode(F.regexp_extract("url", "#(.*)$", 1)).alias("ident"), F.concat(folder, file).alias("path"))
+        named = links.select("doc_id", "start", "end", decoded(F.regexp_extract("url", "#(.*)$", 1)).alias("ident"), decoded(F.regexp_replace("url", "#.*$", "")).alias("path"))
+        there = beside(model, named)
+        paths = paths.withColumn("path", resolved(F.col("path")))
         there = there.join(paths.select(F.col("doc_id").alias("target"), "path"), "path")
         lost = there.join(known.select(F.col("doc_id").alias("target"), "ident"), ["target", "ident"], "left_anti")
         missing = missing.unionByName(lost.select(*missing.columns))
@@ -183,24 +206,27 @@ def fragments(model: Model, context: Context) -> DataFrame:
     ("tex/missing-resource", "warning", "Files that TeX reads exist"),
 )
 def files(model: Model, context: Context) -> DataFrame:
-    """Context: files (path), all there are, and optionally roots (root) that TeX searches. Silent without."""
+    """Context: files (path), all there are, and optionally roots (root) that TeX searches. Silent without. Links and what the
+    frontmatter names are read from the document's own folder, where documents have a path."""
     if "files" not in context.tables:
         return nothing(model)
-    there = context.tables["files"].select("path").distinct()
+    there = context.tables["files"].select(resolved(F.col("path")).alias("path")).distinct()
     local = model.links.where("kind IN ('link', 'image') AND url <> ''").where(~F.col("url").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)"))
-    local = local.select("doc_id", "start", "end", F.regexp_replace(F.url_decode(F.regexp_replace("url", r"[?#].*$", "")), r"^\./", "").alias("path")).where("path <> ''")
+    local = beside(model, local.select("doc_id", "start", "end", decoded(F.regexp_replace("url", r"[?#].*$", "")).alias("path")).where("path <> ''"))
     named = model.frontmatter.select("doc_id", "start", "end", F.explode(F.split("text", "\n")).alias("line"))
     named = named.select("doc_id", "start", "end", F.regexp_extract("line", r"^\s*(?:bibliography|csl|template|include-(?:in-header|before-body|after-body))\s*:\s*[\"']?([^\"'#]+?)[\"']?\s*$", 1).alias("path")).where("path <> ''")
-    read = model.of("raw_inline", "raw_block").where("info = 'tex'").select("doc_id", "start", "end", F.regexp_extract("text", r"\\(input|include|includegraphics)(?:\s*\[[^\]]*\])?\s*\{([^{}]+)\}", 1).alias("how"), F.regexp_extract("text", r"\\(?:input|include|includegraphics)(?:\s*\[[^\]]*\])?\s*\{([^{}]+)\}", 1).alias("path")).where("path <> ''")
-    endings = F.when(F.col("how") == "includegraphics", F.array(*map(F.lit, ("", ".pdf", ".png", ".jpg", ".jpeg", ".eps")))).otherwise(F.array(F.lit(""), F.lit(".tex")))
-    roots = context.tables["roots"].select("root") if "roots" in context.tables else None
-    tries = read.select("doc_id", "start", "end", "path", F.explode(endings).alias("ending")).select("doc_id", "start", "end", F.col("path").alias("wanted"), F.concat("path", "ending").alias("path"))
-    if roots is not None:  # a few folders: each candidate name under each of them
-        prefixes = [r.root.rstrip("/") for r in roots.limit(MAX_ROOTS + 1).collect()]
-        if len(prefixes) > MAX_ROOTS:
-            raise ValueError(f"more than {MAX_ROOTS} roots")
-        tries = tries.select("*", F.explode(F.array(F.lit(""), *[F.lit(p + "/") for p in prefixes])).alias("prefix")).withColumn("path", F.concat("prefix", "path")).drop("prefix")
-    found = tries.join(there, "path", "left_semi").select("doc_id", "start").distinct()
+    named = beside(model, named)
+    read = model.of("raw_inline", "raw_block").where("info = 'tex'").select("doc_id", F.col("start").alias("base"), F.explode(tex.resources_column("text")).alias("r"))
+    read = read.select("doc_id", (F.col("base") + F.col("r.start")).alias("start"), (F.col("base") + F.col("r.end")).alias("end"), F.col("r.path").alias("path"), F.col("r.endings").alias("endings"))
+    # TeX tries endings and folders: names meet files by the files' last parts, and what is before those is a folder that is searched
+    tries = read.select("doc_id", "start", "path", F.explode("endings").alias("ending")).select("doc_id", "start", resolved(F.concat("path", "ending")).alias("tail"))
+    parts = F.split("path", "/")
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k - 1), "/").alias("root"), F.array_join(F.slice(parts, k, F.size(parts)), "/").alias("tail"))))
+    tails = there.select(cut.alias("c")).select("c.root", "c.tail")
+    roots = context.tables["files"].sparkSession.range(1).select(F.lit("").alias("root"))
+    if "roots" in context.tables:
+        roots = roots.unionByName(context.tables["roots"].select(resolved(F.col("root")).alias("root"))).distinct()
+    found = tries.join(tails.join(roots, "root", "left_semi").select("tail").distinct(), "tail", "left_semi").select("doc_id", "start").distinct()
     lost = read.join(found, ["doc_id", "start"], "left_anti")
     said = lambda what: F.concat(F.lit(what), F.col("path"), F.lit("`"))
     return union(
@@ -212,13 +238,19 @@ def files(model: Model, context: Context) -> DataFrame:
 
 @REGISTRY.group("file_path", ("link/file-path", "error", "Files are linked, not quoted"))
 def file_path(model: Model, context: Context) -> DataFrame:
-    """Inline code, outside of links, that names a file: a rooted path, a path with an ending, or a name with one
-    of the endings of context table endings (ending); without that table a few common ones."""
-    common = ("md", "txt", "pdf", "png", "jpg", "svg", "html", "css", "js", "json", "csv", "xml", "py", "c", "h", "tex", "bib", "zip", "gz")
-    names = F.regexp_extract(F.col("text"), r"^[\w.-]+\.([A-Za-z][A-Za-z0-9]{0,7})$", 1)
+    """Inline code, outside of links, that names a file: a rooted path, a path with an ending, or a name whose ending is a
+    known type of file (Python's table of types, and context table endings (ending), each with or without a point)."""
+    names = F.lower(F.regexp_extract(F.col("text"), r"^[\w.-]+\.([A-Za-z][A-Za-z0-9]{0,7})$", 1))
+    known = lit_in(names, (x[1:] for x in mimetypes.types_map))
+    if "endings" in context.tables:
+        more = model.of("code").where("NOT in_link").join(context.tables["endings"].select(F.lower(F.ltrim("ending", F.lit("."))).alias("ending")).distinct(), names == F.col("ending"), "left_semi")
+    else:
+        more = None
     rooted = F.col("text").rlike(r"^(?:~|\.{1,3}|…)?/[\w.~-][^\s]*$")
     with_ending = F.col("text").rlike(r"^[^\s`]*/[^\s`]*\.[A-Za-z][A-Za-z0-9]{0,7}$") & ~F.col("text").rlike(r"^[a-z]+://")
-    return emit(model.of("code").where("NOT in_link"), (rooted | with_ending | F.lower(names).isin(*common), finding("link/file-path", F.concat(F.lit("`"), F.col("text"), F.lit("` names a file; link to it")))))
+    said = finding("link/file-path", F.concat(F.lit("`"), F.col("text"), F.lit("` names a file; link to it")))
+    found = emit(model.of("code").where("NOT in_link"), (rooted | with_ending | known, said))
+    return found if more is None else found.unionByName(emit(more, (~(rooted | with_ending | known), said)))
 
 
 @REGISTRY.group(
@@ -444,9 +476,10 @@ def macro_rules(model: Model, context: Context) -> DataFrame:
     column = udf_of(uses, "array<struct<rule:string,start:int,end:int,name:string,replacement:string>>")
     rows = model.math.select("doc_id", "tex_start", F.explode(column("text")).alias("u")).select("doc_id", "tex_start", "u.*")
     start, end = F.col("tex_start") + F.col("start"), F.col("tex_start") + F.col("end")
-    better = F.when((F.col("replacement") != "") & (F.col("rule") != "tex/macro-arity"), F.array(suggestion(F.lit("Use the macro"), F.col("replacement")))).otherwise(F.array().cast("array<struct<title:string,replacement:string>>"))
+    title = F.when(F.col("rule") == "tex/macro-arity", F.lit("Set the arguments in braces")).otherwise(F.lit("Use the macro"))
+    better = F.when(F.col("replacement") != "", F.array(suggestion(title, F.col("replacement")))).otherwise(F.array().cast("array<struct<title:string,replacement:string>>"))
     fix = F.when((F.col("rule") == "math/house-delimiter-macro") & (F.col("replacement") != ""), suggestion(F.lit("Use the macro"), F.col("replacement"))).otherwise(no_fix())
-    said = F.when(F.col("rule") == "tex/macro-arity", F.concat(F.lit("`\\"), F.col("name"), F.lit("` has "), F.col("replacement"), F.lit(" arguments"))).otherwise(F.concat(F.lit("a macro stands for this: "), F.col("name")))
+    said = F.when(F.col("rule") == "tex/macro-arity", F.concat(F.lit("`\\"), F.col("name"), F.lit("` takes its arguments in braces"))).otherwise(F.concat(F.lit("a macro stands for this: "), F.col("name")))
     made = rows.select("doc_id", "rule", finding("", said, start, end, better, fix, {"macros": F.col("name")}).alias("f"))
     return made.select("doc_id", "rule", *[F.col(f"f.{c}") for c in ("severity", "message", "start", "end", "suggestions", "fix", "data")])
 
@@ -540,15 +573,23 @@ def wikilinks(model: Model, context: Context) -> DataFrame:
     ("reference/missing-workspace-definition", "warning", "References are defined in the workspace"),
 )
 def workspace(model: Model, context: Context) -> DataFrame:
-    """Over all documents of the run, and context table definitions (key) of others. Silent with option local."""
+    """Over the documents of a workspace (column workspace of the documents; without it each document is one of its own), and
+    context table definitions (key) of documents elsewhere."""
     own = model.identifiers.where(F.col("ident").rlike(CROSS_REFERENCE)).select("doc_id", F.col("ident").alias("key"), "start", "end")
-    counts = own.groupBy("key").agg(F.count("*").alias("n"))
-    twice = own.join(counts.where("n > 1"), "key")
+    cited = model.citations.where(F.col("key").rlike(CROSS_REFERENCE))
+    if "workspace" in model.documents.columns:
+        spaces = model.documents.select("doc_id", F.col("workspace").cast("string").alias("space"))
+        own, cited = own.join(spaces, "doc_id"), cited.join(spaces, "doc_id")
+    else:
+        own, cited = (x.withColumn("space", F.col("doc_id").cast("string")) for x in (own, cited))
+    counts = own.groupBy("space", "key").agg(F.count("*").alias("n"))
+    twice = own.join(counts.where("n > 1"), ["space", "key"])
+    lost = cited.join(own.select("space", "key").distinct(), ["space", "key"], "left_anti")
     keys = own.select("key")
     if "definitions" in context.tables:
-        keys = keys.unionByName(context.tables["definitions"].select("key"))
+        elsewhere = context.tables["definitions"].select("key").distinct()
+        keys, lost = keys.unionByName(elsewhere), lost.join(elsewhere, "key", "left_anti")
     keys = keys.distinct()
-    lost = model.citations.where(F.col("key").rlike(CROSS_REFERENCE)).join(keys, "key", "left_anti")
     near = similar_names(lost.select(F.col("key").alias("name")), keys.select(F.col("key").alias("name")))
     near = near.groupBy(F.col("name").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda x: suggestion(F.concat(F.lit("Refer to "), x["candidate"]), F.concat(F.lit("@"), x["candidate"]))).alias("near"))
     hints = F.coalesce("near", F.array().cast("array<struct<title:string,replacement:string>>"))

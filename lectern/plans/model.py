@@ -85,11 +85,11 @@ class Model:
 
     @cached_property
     def headings(self) -> DataFrame:
-        return self.of("heading").select("doc_id", "node_id", "start", "end", "level", "ident", "classes", "text", "div_depth")
+        return self.of("heading").select("doc_id", "node_id", "start", "end", "level", "ident", "classes", "text", "div_depth", "line")
 
     @cached_property
     def links(self) -> DataFrame:
-        return self.of("link", "image", "autolink", "bare_url").select("doc_id", "node_id", "kind", "start", "end", "text", "url", "title", "info")
+        return self.of("link", "image", "autolink", "bare_url").select("doc_id", "node_id", "kind", "start", "end", "text", "url", "title", "info", "line")
 
     @cached_property
     def fences(self) -> DataFrame:

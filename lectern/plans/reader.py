@@ -14,6 +14,7 @@ each document by an Arrow UDF; everything after it is DataFrame algebra over the
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
 
@@ -26,7 +27,7 @@ from lectern.operators.wrapping import starts_with_tag, ends_with_tag
 
 SCHEMA = (
     "array<struct<node_id:int,parent_id:int,depth:int,kind:string,start:int,end:int,level:int,ident:string,classes:array<string>,"
-    "info:string,url:string,title:string,text:string,div_depth:int,in_link:boolean>>"
+    "info:string,url:string,title:string,text:string,div_depth:int,in_link:boolean,line:int>>"
 )
 
 #: Patterns by source, without the detour that the re module takes for each lookup.
@@ -663,6 +664,7 @@ def rows(text: str) -> list[dict]:
     """``read`` flattened in pre-order; headings without an identifier get one, counted up where it is taken."""
     out: list[dict] = []
     taken: dict[str, int] = {}
+    starts = [0, *(m.end() for m in rx("\n").finditer(text))]
 
     def walk(node: Node, parent: int | None, depth: int, divs: int, in_link: bool) -> None:
         me = len(out)
@@ -673,7 +675,7 @@ def rows(text: str) -> list[dict]:
             node.classes = [*node.classes, "implicit"]
         out.append(
             {"node_id": me, "parent_id": parent, "depth": depth, "kind": node.kind, "start": node.start, "end": node.end, "level": node.level, "ident": node.ident, "classes": node.classes}
-            | {"info": node.info, "url": node.url, "title": node.title, "text": node.text, "div_depth": divs, "in_link": in_link}
+            | {"info": node.info, "url": node.url, "title": node.title, "text": node.text, "div_depth": divs, "in_link": in_link, "line": bisect_right(starts, node.start)}
         )
         for child in node.children:
             walk(child, me, depth + 1, divs + (node.kind == "div"), in_link or node.kind in ("link", "image"))
