@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,10 +204,13 @@ def separate_notes(text: str) -> str:
 def place_items(text: str) -> str:
     """Each item's marker at the column of its list's content, one space, and its lines under its text. Lists in
     quotes and definitions stay."""
-    for depth in range(12):
+    for depth in count():
         edits: list[Edit] = []
-        for n, above in located(text):
-            if n.kind not in ("bullet_list", "ordered_list") or sum(x.kind == "item" for x in above) != depth or any(x.kind in ("quote", "note_definition") for x in above):
+        lists = [(n, above) for n, above in located(text) if n.kind in ("bullet_list", "ordered_list") and not any(x.kind in ("quote", "note_definition") for x in above)]
+        if not any(sum(x.kind == "item" for x in above) >= depth for _, above in lists):
+            return text
+        for n, above in lists:
+            if sum(x.kind == "item" for x in above) != depth:
                 continue
             item = next((x for x in reversed(above) if x.kind == "item"), None)
             column = 0
@@ -229,10 +233,27 @@ def place_items(text: str) -> str:
                         if line.strip() and spaces >= min(old, 4):
                             edits.append((at, at + spaces, " " * max(0, spaces + new - old)))
                         at += len(line) + 1
-        if not edits and depth > 3:
-            break
         text = apply(text, edits)
-    return text
+
+
+_OPEN_LINE, _CLOSE_LINE = re.compile(r"<[A-Za-z][^<>]*>"), re.compile(r"</[A-Za-z][A-Za-z0-9-]*>")
+
+
+def join_html_lines(text: str) -> str:
+    """A line that is an opening tag alone goes to the words after it, one that is a closing tag to the words before; what
+    stands in lists, quotes, notes and tables stays, and so does what is written as it is to be shown."""
+    edits: list[Edit] = []
+    for n, above in located(text):
+        if n.kind != "raw_block" or n.info != "html" or gate.VERBATIM.match(n.text or "") or any(x.kind in ("item", "quote", "note_definition", "cell") for x in above):
+            continue
+        lines, at = text[n.start : n.end].split("\n"), n.start
+        tag = [x.strip().startswith("<") for x in lines]
+        for k, line in enumerate(lines[:-1]):
+            at += len(line) + 1
+            opens, closes = _OPEN_LINE.fullmatch(line.strip()) and not tag[k + 1], _CLOSE_LINE.fullmatch(lines[k + 1].strip()) and not tag[k]
+            if line.strip() and (opens or closes):
+                edits.append((at - 1, at, " "))
+    return apply(text, edits)
 
 
 def unbold_headings(text: str) -> str:
@@ -244,9 +265,7 @@ def unbold_headings(text: str) -> str:
     return apply(text, edits)
 
 
-#: Words before which a hyphen at a line's end stays.
-SUSPENDED = ("and", "or", "to", "nor", "but", "through", "versus")
-_HYPHEN = re.compile(rf"(?<=\w)-\n[ >]*(?=[a-z0-9$])(?!(?:{'|'.join(SUSPENDED)})\b)")
+_HYPHEN = re.compile(rf"(?<=\w)-\n[ >]*(?=[a-z0-9$])(?!(?:{'|'.join(gate.SUSPENDED)})\b)")
 
 
 def join_hyphens(text: str) -> tuple[str, int]:
@@ -458,6 +477,7 @@ BEFORE = (
     (separate_notes, r"\n {0,3}\[\^"),
     (place_items, _ITEM_LINE),
     (space_tags, r"\{%|\{#|\{\{|<!--"),  # next to lists that the passes above set apart
+    (join_html_lines, r"<[A-Za-z/]"),
 )
 AFTER = (
     (fence_code, r"(?m)^[ >]*(?: {4}|\t)"),

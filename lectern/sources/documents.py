@@ -98,8 +98,8 @@ def texts(spark: SparkSession, root: str, discovery: Discovery = Discovery(), ig
     """doc_id, path, text of the documents of a folder: one scan. The conditions are on the files' metadata, so what
     isn't a document isn't opened, and nothing is joined or shuffled. doc_id: a hash of the path."""
     path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
-    found = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
-    found = found.where(wanted(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), size, root, discovery, ignore))
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    found = found.where(wanted(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), size, root, discovery, ignore))
     return found.select(F.xxhash64(path).alias("doc_id"), path.alias("path"), F.col("value").alias("text"))
 
 
@@ -141,8 +141,9 @@ def from_table(table: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def write_files(documents: DataFrame, backup: str | None = ".orig") -> DataFrame:
     """Write each row of ``documents`` (path, text, before) to its path, in any file system that Arrow knows; rows
-    whose text is ``before`` aren't written. The old file is kept beside it with ``backup`` added to its name. A new
-    file is written under another name and moved, so readers never see half of one. Returns path, written, error."""
+    whose text is ``before`` aren't written. The old file is kept beside it with ``backup`` added to its name, unless that
+    is there and newer texts are in the file: a task that runs again finds its own text and touches nothing. A new file is
+    written under another name and moved, so readers never see half of one. Returns path, written, error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -159,13 +160,25 @@ def write_files(documents: DataFrame, backup: str | None = ".orig") -> DataFrame
                     local = re.sub(r"^file:/+", "/", path)
                     system, where = (fs.LocalFileSystem(), local) if "://" not in local else fs.FileSystem.from_uri(local)
                     system.create_dir(where.rpartition("/")[0] or "/", recursive=True)
-                    there = system.get_file_info(where).type == fs.FileType.File
-                    if there and backup:
+                    is_file = lambda p: system.get_file_info(p).type == fs.FileType.File  # noqa: B023, E731
+                    held = None
+                    if is_file(where):
+                        with system.open_input_stream(where) as f:
+                            held = f.read()
+                    if held == text.encode():  # an earlier attempt's
+                        out.append((path, True, None))
+                        continue
+                    if held is not None and backup and (not is_file(where + backup) or before is not None and held == before.encode()):
                         system.copy_file(where, where + backup)
                     temporary = f"{where}.{uuid.uuid4().hex}"
-                    with system.open_output_stream(temporary) as f:
-                        f.write(text.encode())
-                    system.move(temporary, where)
+                    try:
+                        with system.open_output_stream(temporary) as f:
+                            f.write(text.encode())
+                        system.move(temporary, where)
+                    except OSError:
+                        if is_file(temporary):
+                            system.delete_file(temporary)
+                        raise
                     out.append((path, True, None))
                 except OSError as e:
                     out.append((path, False, str(e)))
