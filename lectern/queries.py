@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import cases
 from lectern.functions import patterns, text, typography
 from lectern.functions.frontmatter import split_column
 from lectern.lint import fix as fixes
@@ -15,7 +16,9 @@ from lectern.lint.registry import REGISTRY, Context, diagnostics
 from lectern.operators import preflight, similar, wrapping
 from lectern.plans import formatter, gate
 from lectern.plans.model import Model, asof, lines, not_within
+from lectern.rule_cases import CASES, FOUND, LEVELS, context_of
 from lectern.samples import EXTRAS, MD, extra_documents, extras_oracle, markdown_documents
+from lectern.sources import documents as sources
 from lectern.sources.session import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,7 +185,21 @@ def smart_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", made.alias("t")).select("doc_id", typography.smart_quotes_column("t").alias("typeset"))
 
 
-@query()
+def fill_sql(width: int, first: str = "", later: str = "") -> str:
+    """Words filled greedily, the lines with indents."""
+    room = width - len(later)
+    start = f"'{first}' || x" if first else "x"
+    return (
+        f"list_reduce(list_transform(ws, lambda x: {{'out': {start}, 'col': {len(first)} + length(x)}}), lambda a, x: CASE WHEN a.col + 1 + x.col - {len(first)} <= {room} "
+        f"THEN {{'out': a.out || ' ' || substr(x.out, {len(first) + 1}), 'col': a.col + 1 + x.col - {len(first)}}} ELSE {{'out': a.out || chr(10) || '{later}' || substr(x.out, {len(first) + 1}), 'col': {len(later)} + x.col - {len(first)}}} END).out"
+    )
+
+
+@query(
+    f"WITH {WORDS}, t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: '    ' || x), chr(10)) AS indented, text FROM documents) "
+    f"SELECT t.doc_id, t.text AS none, {fill_sql(72)} AS wrap, {fill_sql(72)} AS wrap_full, {fill_sql(72, '    ', '    ')} AS wrap_indent, t.indented AS indent_only, "
+    f"{fill_sql(72, '', '    ')} AS hanging_indent, {fill_sql(72, '', '  ')} AS markdown_item FROM t JOIN ws ON t.doc_id = ws.doc_id"
+)
 def fill_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every way to fill a plain text."""
     docs = documents(spark, sf_dir)
@@ -240,9 +257,8 @@ LINE = "CAST(line_no AS INTEGER) AS line"
 
 @query(f"WITH {MD}, {HEADINGS} SELECT doc_id, CAST(level AS INTEGER) AS level, title, {LINE} FROM h")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = sample_model(spark, sf_dir)
-    points = model.headings.select("doc_id", F.col("start").alias("at"), "level", F.col("text").alias("title"))
-    return asof(points, model.lines.select("doc_id", "start", "line_no"), ["line_no"]).select("doc_id", "level", "title", F.col("line_no").alias("line"))
+    """Headings with their lines: a map, as the reader knows both."""
+    return Model(markdown_documents(spark, sf_dir)).headings.select("doc_id", "level", F.col("text").alias("title"), "line")
 
 
 @query(
@@ -288,9 +304,8 @@ def link_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MD} SELECT doc_id, kind, text, url, {LINE} FROM (SELECT doc_id, line_no, 'link' AS kind, 'text' AS text, regexp_extract(line, '#([a-z]+)', 1) AS url FROM l WHERE line LIKE 'See [text]%' UNION ALL SELECT doc_id, line_no, 'link', 'here', 'nope' FROM l WHERE line LIKE '%[here](#nope)%')")
 def fragment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links to fragments in order, each with its line."""
-    model = sample_model(spark, sf_dir)
-    points = model.links.where("kind = 'link' AND url LIKE '#%'").select("doc_id", F.col("start").alias("at"), "kind", "text", F.substring("url", 2, 100).alias("url"))
-    return asof(points, model.lines.select("doc_id", "start", "line_no"), ["line_no"]).select("doc_id", "kind", "text", "url", F.col("line_no").alias("line"))
+    links = Model(markdown_documents(spark, sf_dir)).links.where("kind = 'link' AND url LIKE '#%'")
+    return links.select("doc_id", "kind", "text", F.expr("substring(url, 2)").alias("url"), "line")
 
 
 @query(
@@ -376,9 +391,24 @@ def lint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics(REGISTRY.run(model), model).select("doc_id", "rule", "severity", "line", "column", "message")
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{level}')" for name, level in LEVELS) + ") AS t(name, level)")
 def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return REGISTRY.table(spark)
+    return REGISTRY.table(spark).select("name", "level")
+
+
+def case_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule what it finds in a text that breaks it, and nothing in one that doesn't: place, message, fix, suggestions."""
+    rows = [(2 * k + j, c[1] if j == 0 else c[3]) for k, c in enumerate(CASES) for j in (0, 1)]
+    model = Model(spread(spark.createDataFrame(rows, "doc_id long, text string")), shared_folder(spark, "model"))
+    about = spark.createDataFrame([(2 * k + j, c[0]) for k, c in enumerate(CASES) for j in (0, 1)], "doc_id long, rule string")
+    found = diagnostics(REGISTRY.run(model, {r: "warning" for r in REGISTRY.rules}, context_of(spark)), model).join(about, ["doc_id", "rule"])
+    place = F.format_string("%d:%d-%d:%d", "line", "column", "end_line", "end_column")
+    better = F.array_join(F.transform("suggestions", lambda s: s["replacement"]), "|")
+    return found.select("rule", place.alias("place"), "message", F.coalesce("fix.replacement", F.lit("")).alias("fix"), better.alias("suggestions"))
+
+
+QUERIES["rule_cases"] = case_findings
+ORACLE_SQL["rule_cases"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cases.quoted, f)) + ")" for f in FOUND) + ") AS t(rule, place, message, fix, suggestions)"
 
 
 @query(f"WITH {MD} SELECT doc_id, regexp_replace(replace(text, chr(10) || '* two', chr(10) || '- two'), 'Visit (http://ex.org/[0-9]+)', 'Visit <\\1>') AS text FROM md")
@@ -445,7 +475,7 @@ def extra_query(name: str, *names: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         model = Model(extra_documents(spark, sf_dir), shared_folder(spark, "model"))
         settings = {r: ("warning" if r in names else "off") for r in REGISTRY.rules}
-        return diagnostics(REGISTRY.run(model, settings, extra_context(spark)), model).select("doc_id", "rule", "line").distinct()
+        return diagnostics(REGISTRY.run(model, settings, extra_context(spark)), model).select("doc_id", "rule", "line")
 
     QUERIES[name], ORACLE_SQL[name] = run, extras_oracle(*names)
 
@@ -523,3 +553,59 @@ def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of some kinds that the reader finds."""
     kinds = ("heading", "item", "wikilink", "note_definition")
     return Model(markdown_documents(spark, sf_dir)).of(*kinds).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# Files, differences, figures ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {MD} SELECT 'doc-' || doc_id || '.md' AS name, text FROM md")
+def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown written to files, a document each, and the folder read again; what isn't Markdown is left out."""
+    folder = shared_folder(spark, "files")
+    docs = markdown_documents(spark, sf_dir).select(F.concat(F.lit(f"{folder}/"), "path").alias("path"), "text", F.lit(None).cast("string").alias("before"))
+    other = docs.limit(3).withColumn("path", F.concat("path", F.lit(".txt")))
+    sources.write_files(docs.unionByName(other), None).where("error IS NOT NULL").select(F.raise_error("error")).count()
+    return sources.texts(spark, folder).select(F.substring_index("path", "/", -1).alias("name"), "text")
+
+
+@query(
+    f"WITH {MD}, a AS (SELECT doc_id, line_no, line FROM l), b AS (SELECT doc_id, line_no, CASE WHEN line = '- one' THEN '- two' ELSE line END AS line FROM l WHERE NOT (doc_id % 4 = 0 AND line_no = 1)), "
+    "d AS (SELECT COALESCE(a.doc_id, b.doc_id) AS doc_id, COALESCE(a.line_no, b.line_no) AS line_no FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id AND a.line_no = b.line_no WHERE a.line IS DISTINCT FROM b.line) "
+    "SELECT doc_id, CAST(min(line_no) AS INTEGER) AS line FROM d GROUP BY doc_id"
+)
+def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full outer join of the lines of two versions: the first that differs, or that one of them lacks."""
+    old = lines(markdown_documents(spark, sf_dir)).select("doc_id", "line_no", F.col("text").alias("old"))
+    new = old.where(~((F.col("doc_id") % 4 == 0) & (F.col("line_no") == 1))).select("doc_id", "line_no", F.when(F.col("old") == "- one", "- two").otherwise(F.col("old")).alias("new"))
+    both = old.join(new, ["doc_id", "line_no"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    return both.groupBy("doc_id").agg(F.min("line_no").alias("line"))
+
+
+@query("SELECT lang, avg(n) AS mean, median(n) AS median, min(n) AS least, max(n) AS most, round(stddev_samp(n), 6) AS deviation FROM (SELECT lang, CAST(length(text) AS DOUBLE) AS n FROM documents) GROUP BY lang")
+def length_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, exact median, extremes and deviation of the texts' lengths."""
+    sizes = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.length("text").cast("double").alias("n"))
+    return sizes.groupBy("lang").agg(F.avg("n").alias("mean"), F.median("n").alias("median"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.stddev_samp("n"), 6).alias("deviation"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY CUBE (lang, source)")
+def documents_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").cube("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT w FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM benchmark) INTERSECT SELECT w FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM conversations) EXCEPT SELECT w FROM (SELECT unnest(regexp_split_to_array(html, '\\s+')) AS w FROM pages)")
+def words_in_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersect and except: words of the benchmark and of conversations that no page has."""
+    words = lambda table, c: spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.explode(F.split(c, r"(?U)\s+")).alias("w"))
+    return words("benchmark", "text").intersect(words("conversations", "text")).exceptAll(words("pages", "html").distinct()).distinct()
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, NULLIF(regexp_extract(url, '\\?([^#]*)', 1), '') AS query FROM pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL functions."""
+    part = lambda p: F.try_parse_url("url", F.lit(p)).alias(p.lower())
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", *map(part, ("PROTOCOL", "HOST", "PATH", "QUERY")))
+
+
+QUERIES.update(cases.QUERIES)
+ORACLE_SQL.update(cases.ORACLE_SQL)

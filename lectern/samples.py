@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.sources.session import spread
@@ -66,17 +66,23 @@ def markdown_sql() -> str:
 
 #: DuckDB's: md (doc_id, text) and its lines l (doc_id, line_no, line, start).
 MD = (
-    "src AS (SELECT doc_id, lang, source, trim(regexp_replace(split_part(text, chr(10), 1), '[^\\p{L} .,]', '', 'g')) AS para FROM documents), "
+    "src AS (SELECT doc_id, lang, source, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[^\\p{L} .,\n]', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS para FROM documents), "
     f"md AS (SELECT doc_id, {markdown_sql()} AS text FROM src), "
     "l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM md), "
     "l AS (SELECT doc_id, line_no, line, COALESCE(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l0)"
 )
 
 
+def prose_of(text: Column) -> Column:
+    """All words of a text without what Markdown reads as marks, each line a paragraph."""
+    lines = F.transform(F.split(F.regexp_replace(text, r"[^\p{L} .,\n]", ""), "\n"), lambda x: F.trim(x))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n\n")
+
+
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, path, text: the made-up Markdown of ``documents``."""
+    """doc_id, path, text: the made-up Markdown of ``documents``, with all of their words: each line is a paragraph."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
-    src = docs.select("doc_id", "lang", "source", F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"[^\p{L} .,]", "")).alias("para"))
+    src = docs.select("doc_id", "lang", "source", prose_of(F.col("text")).alias("para"))
     return src.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".md")).alias("path"), F.expr(markdown_sql()).alias("text"))
 
 
@@ -141,7 +147,8 @@ def extras_sql() -> str:
 
 
 EXTRA_MD = (
-    f"md AS (SELECT doc_id, {extras_sql()} AS text FROM documents), "
+    "src AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[^\\p{L} .,\n]', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS para FROM documents), "
+    f"md AS (SELECT doc_id, para || chr(10) || chr(10) || {extras_sql()} AS text FROM src), "
     "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM md)"
 )
 
@@ -153,6 +160,7 @@ def extras_oracle(*rules: str) -> str:
 
 
 def extra_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, path, text: the other made-up Markdown of ``documents``."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
-    return docs.select("doc_id", F.concat(F.lit("extra-"), F.col("doc_id"), F.lit(".md")).alias("path"), F.expr(extras_sql()).alias("text"))
+    """doc_id, path, text: the other made-up Markdown of ``documents``, after all of their words."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    whole = docs.select("doc_id", prose_of(F.col("text")).alias("para"))
+    return whole.select("doc_id", F.concat(F.lit("extra-"), F.col("doc_id"), F.lit(".md")).alias("path"), F.concat("para", F.lit("\n\n"), F.expr(extras_sql())).alias("text"))

@@ -2,58 +2,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.lint import fix, rules, tex  # noqa: F401
-from lectern.lint.registry import REGISTRY, Context, Registry, Rule, diagnostics, emit, finding
+from lectern.lint.registry import REGISTRY, Registry, Rule, diagnostics, emit, finding
 from lectern.operators.similar import alignment_distance, package_closure, similar_names
 from lectern.plans.model import Model, asof, not_within
+from lectern.rule_cases import CASES, context_of
 from lectern.sources import references, settings
 from lectern.streaming import documents as streams
 
-#: rule, text that breaks it (line of the finding), text that doesn't
-CASES = [
-    ("accessibility/image-alt", "![](a.png)", 1, "![b](a.png)"), ("link/empty-destination", "[x]()", 1, "[x](y)"), ("link/non-descriptive-text", "[here](y)", 1, "[the page](y)"), ("code/hard-tab", "```x\n\ta\n```", 2, "```x\n a\n```"),
-    ("code/missing-language", "```\na\n```", 1, "```x\na\n```"), ("tikz/fence-attributes", "```tikzcd x\na\n```", 1, "```tikzcd\na\n```"), ("heading/duplicate", "# A\n\n## a", 3, "# A\n\n## B"), ("heading/increment", "# A\n\n### B", 3, "# A\n\n## B"),
-    ("heading/multiple-h1", "# A\n\n# B", 3, "# A\n\n## B"), ("style/heading-punctuation", "# A.", 1, "# A"), ("structure/heading-in-fenced-div", "::: x\n# A\n:::", 2, "# A"), ("style/required-h1", "## A", 1, "# A"),
-    ("structure/nested-fenced-div", "::: a\n::: b\nx\n:::\n:::", 2, "::: a\nx\n:::"), ("structure/statement-boundary", "::: theorem\n::: proof\nx\n:::\n:::", 2, "::: theorem\nx\n:::"), ("reference/multiple-theorem-classes", "::: {.theorem .lemma}\nx\n:::", 1, "::: {.theorem}\nx\n:::"),
-    ("reference/theorem-proof-class-conflict", "::: {.theorem .proof}\nx\n:::", 1, "::: {.proof}\nx\n:::"), ("reference/proof-id-no-target", "::: {.proof #p}\nx\n:::", 1, "::: {.proof}\nx\n:::"), ("reference/missing-theorem-class", "::: {#thm:a}\nx\n:::", 1, "::: {.theorem #thm:a}\nx\n:::"),
-    ("reference/class-family-mismatch", "::: {.theorem #lem:a}\nx\n:::", 1, "::: {.lemma #lem:a}\nx\n:::"), ("pandoc/duplicate-identifier", "# A {#x}\n\n# B {#x}", 3, "# A {#x}\n\n# B {#y}"), ("link/invalid-fragment", "[t](#no)", 1, "# No\n\n[t](#no)"),
-    ("link/file-path", "see `src/a.py` there", 1, "see `a + b` there"), ("math/bare-operator", "$sin x$", 1, "$\\sin x$"), ("math/subset-notation", "$A \\subset B$", 1, "$A \\to B$"), ("math/set-operation-notation", "$A \\cup B$", 1, "$A + B$"),
-    ("math/repeated-subscript", "$x_a_b$", 1, "$x_{a_b}$"), ("math/repeated-superscript", "$x^a^b$", 1, "$x^a_b$"), ("math/unclosed-group", "${a$", 1, "${a}$"), ("math/unclosed-left", "$\\left( a$", 1, "$\\left( a \\right)$"),
-    ("math/unmatched-group-close", "$a}$", 1, "$\\}$"), ("math/unmatched-right", "$a \\right)$", 1, "$a$"), ("math/display-economy", "a\n\n$$x$$\n\nb", 3, "a\n\n$$\\sum x$$\n\nb"), ("math/structural-sequence-display", "$0 \\to A \\to B \\to 0$", 1, "$A \\to B$"),
-    ("math/outside-math-mode", "a x_0 b", 1, "a $x_0$ b"), ("math/unicode-symbol", "a ≤ b", 1, "a é b"), ("document/authorial-residue", "TODO this", 1, "todo list"), ("link/reference-format", "see lem:main now", 1, "see @lem:main now"),
-    ("prose/untyped-vague-claim", "so the map is natural now", 1, "so the map is natural: $f$"), ("prose/untyped-map-reference", "then the inclusion is good", 1, "then the inclusion $A \\to B$ is good"), ("tikz/environment-wrapper", "\\begin{tikzcd}\na\n\\end{tikzcd}", 1, "\\begin{align}\na\n\\end{align}"),
-    ("style/line-length", "x" * 130, 1, "x" * 100), ("style/bare-url", "see http://a.b/c now", 1, "see <http://a.b/c> now"), ("style/no-inline-html", "a <b>c</b>", 1, "a `<b>` c"), ("style/unordered-list-marker", "- a\n* b", 2, "- a\n- b"),
-    ("style/fence-marker", "```x\na\n```\n\n~~~x\nb\n~~~", 5, "```x\na\n```"), ("numbering/manual", "# 1. Title", 1, "# Title"), ("structure/bold-label", "**Question.** What is it", 1, "**bold** word"), ("structure/yaml-in-body", "key: value", 1, "Key: value"),
-    ("table/dropped-cells", "|a|\n|-|\n|1|2|", 3, "|a|b|\n|-|-|\n|1|2|"), ("table/caption-id-on-caption", ": Cap {#tbl:a}", 1, ": Cap"), ("frontmatter/malformed-flow", "---\na: [b\n---\n", 2, "---\na: [b]\n---\n"), ("frontmatter/duplicate-key", "---\na: 1\na: 2\n---\n", 3, "---\na: 1\nb: 2\n---\n"),
-    ("tex/header-includes-text", "---\nheader-includes: \\\\usepackage{x}\n---\n", 2, "---\nheader-includes: \\usepackage{x}\n---\n"), ("reference/duplicate-definition", "[a]: x\n\n[a]: y", 3, "[a]: x\n\n[b]: y"), ("footnote/duplicate-definition", "t[^1]\n\n[^1]: a\n\n[^1]: b", 5, "t[^1]\n\n[^1]: a"),
-    ("footnote/unused-definition", "[^1]: a", 1, "t[^1]\n\n[^1]: a"), ("pandoc/unclosed-fenced-div", "::: x\na", 1, "::: x\na\n:::"), ("math/notation-consistency", "$\\phi \\varphi \\varphi$", 1, "$\\phi \\varphi$"), ("citation/mixed-reference-types", "[@a; @fig:b]", 1, "[@a; @b]"),
-    ("citation/missing-bibliography-entry", "[@nobody]", 1, "[@known]"), ("link/missing-wikilink-target", "[[Gone]]", 1, "[[Here]]"), ("link/ambiguous-wikilink", "[[Two]]", 1, "[[Here]]"), ("link/relative-wikilink", "[[Near|n]]", 1, "[[Here]]"),
-    ("link/missing-local-target", "[t](gone.md)", 1, "[t](there.md)"), ("pandoc/missing-resource", "---\nbibliography: gone.bib\n---\n", 1, "---\nbibliography: there.md\n---\n"), ("tex/missing-resource", "\\input{gone}", 1, "\\input{sub}"), ("tex/unknown-command", "$\\alpa$", 1, "$\\alpha$"),
-    ("math/user-macro-candidates", "$\\mathbb{R}^n$", 1, "$x^n$"), ("math/script-macro-candidates", "$V^\\vee$", 1, "$V^2$"), ("math/manual-semantic-macro", "$\\mathrm{sign}(x)$", 1, "$f(x)$"), ("math/house-delimiter-macro", "$\\left\\lvert x \\right\\rvert$", 1, "$\\abs{x}$"),
-    ("tex/macro-arity", "$\\abs x$", 1, "$\\abs{x}$"), ("math/manual-cardinality", "$|X|$", 1, "$|x + y|$"), ("reference/missing-workspace-definition", "see @thm:none", 1, "::: {.theorem #thm:one}\nx\n:::\n\nsee @thm:one"),
-    ("reference/duplicate-workspace-definition", "# A {#sec:x}\n\n# B {#sec:x}", 1, "# A {#sec:y}"), ("tikz/compile-error", "bad", 1, "fine"), ("pandoc/parse-error", "bad", 1, "fine"), ("pandoc/warning", "bad", 1, "fine"),
-]
-
-
 @pytest.fixture(scope="module")
 def context(spark):
-    make = spark.createDataFrame
-    bad = [2 * k for k, c in enumerate(CASES) if c[1] == "bad"]
-    messages = [(2 * k, "error" if c[0] == "pandoc/parse-error" else "warning", "said", 0) for k, c in enumerate(CASES) if c[0].startswith("pandoc/") and c[1] == "bad"]
-    errors = [(d, "said", 0, 1) for d in bad if CASES[d // 2][0] == "tikz/compile-error"]
-    macros = [("abs", "\\left\\lvert #1 \\right\\rvert", 1, False), ("R", "\\mathbb{R}", 0, False), ("dual", "#1^\\vee", 1, False), ("signature", "x", 1, False), ("cardinality", "", 1, False), ("qty", "", 1, False)]
-    words = "sin subset to cup left right sum phi varphi alpha lvert rvert mathbb vee mathrm abs varepsilon begin end input".split()
-    return Context(
-        {
-            "bibliography": make([("known",), ("a",), ("b",)], "key string"),
-            "wikilinks": make([("Gone", "missing", False, None, None), ("Two", "ambiguous", False, None, ["A", "B"]), ("Near", "resolved", True, "Far/Near", None), ("Here", "resolved", False, "Here", None)], "name string, status string, relative boolean, canonical string, candidates array<string>"),
-            "files": make([("there.md",), ("tex/sub.tex",), ("a.png",), ("y",)], "path string"),
-            "roots": make([("tex",)], "root string"),
-            "vocabulary": make([("", w) for w in words] + [("pkg", "pkgcmd")], "package string, command string"),
-            "macros": make(macros, "name string, replacement string, argument_count int, optional_first boolean"),
-            "messages": make(messages, "doc_id long, level string, message string, start int"),
-            "compile_errors": make(errors, "doc_id long, message string, start int, end int"),
-        }
-    )
+    return context_of(spark)
 
 
 @pytest.fixture(scope="module")
