@@ -159,17 +159,16 @@ def _tidy(parts: list) -> list:
     """Inline nodes of some lines as of one text."""
     out: list = []
     for k, line in enumerate(parts):
-        for x in ([" ", *line] if k else line):
+        for x in ([BREAK, *line] if k else line):
             if out and isinstance(x, str) and isinstance(out[-1], str):
                 out[-1] += x
             else:
                 out.append(x)
-    out = [re.sub(" +", " ", x) if isinstance(x, str) else x for x in out]
     if out and isinstance(out[0], str):
         out[0] = out[0].lstrip()
     if out and isinstance(out[-1], str):
         out[-1] = out[-1].rstrip()
-    return [_unbroken(x) for x in out if x]
+    return [x for x in out if x]
 
 
 def _split(block: list, target: list, names: frozenset[str]) -> list | None:
@@ -190,8 +189,12 @@ def _split(block: list, target: list, names: frozenset[str]) -> list | None:
             items[-1].append(line)
     said = _said(target[1][2])
     head = ["para", block[1], block[2], _tidy(lines[:first])]
-    same = said is not None and [_changed(_tidy(i), names) for i in items] == [_changed(x, names) for x in said] and _changed(head, names) == _changed(target[0], names)
-    return target[:2] if same else None
+    if said is None or len(said) != len(items):
+        return None
+    mine, theirs = [head, *map(_tidy, items)], [target[0], *said]
+    if "hyphen_join" in names:
+        mine = _joined(mine, theirs)
+    return target[:2] if _changed(_unbroken(mine), names) == _changed(theirs, names) else None
 
 
 def _with_lists(source: list, target: list, names: frozenset[str]) -> list:
@@ -216,7 +219,7 @@ def check(before: str, after: str) -> dict:
         """Both trees under some normalisations."""
         both, mine = chosen - {"lazy_list", "hyphen_join"}, source
         if "lazy_list" in chosen:
-            mine = _with_lists(mine, target, both)
+            mine = _with_lists(mine, target, chosen)
         if "hyphen_join" in chosen:
             mine = _joined(mine, target)
         return _changed(_unbroken(mine), both), _changed(target, both)

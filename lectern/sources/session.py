@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder inside the checkpoint folder; one's own only where none is set."""
+    """A new folder inside the checkpoint folder. Where none is named, a temporary one in local mode, and an error on a
+    cluster, whose machines wouldn't see each other's files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there; one's own folder only where none is set."""
+    """Write ``df`` to the checkpoint folder and go on from there."""
     shared_folder(df.sparkSession, "cut")  # sees to it that there is one
     return df.checkpoint()
 

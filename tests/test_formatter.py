@@ -74,6 +74,24 @@ def test_gate_is_directed():
     assert not gate.check("well-known\n", "well-\nknown\n")["ok"]
 
 
+def test_lists_of_any_depth():
+    deep = "".join("    " * k + f"- {k}\n" for k in range(20))
+    assert f.place_items(deep) == "".join("  " * k + f"- {k}\n" for k in range(20))
+
+
+def test_gate_stands_alone():
+    """It accepts what no pass of the formatter makes, and knows none of them."""
+    import inspect
+
+    assert "formatter" not in inspect.getsource(gate).replace("the formatter makes", "")
+    assert gate.check("a b\n- c\n  d\n- e\n", "a b\n\n- c d\n\n- e\n")["normalizations"] == ["lazy_list"]
+    assert gate.check("a\n- b\n  - c\n", "a\n\n- b\n\n  - c\n")["ok"]
+    assert gate.check("a-\n$x$ b\n", "a-$x$ b\n")["normalizations"] == ["hyphen_join"]
+    assert gate.check("x \"a-\nb\" c\n- d\n", "x “a-b” c\n\n- d\n")["normalizations"] == ["smart_quotes", "lazy_list", "hyphen_join"]
+    for before, after in (("a\n- b\n", "a\n\n- b c\n"), ("a\n- b\n- c\n", "a\n\n- c\n- b\n"), ("a-\nB\n", "a-B\n"), ("a- b\n", "a-b\n"), ("one-\nor two\n", "one-or two\n"), ("a\n2. b\n", "a\n\n2. b\n")):
+        assert not gate.check(before, after)["ok"], before
+
+
 def test_corpus_is_stable(spark):
     docs = markdown_documents(spark, "/root/testdata/sf0.001").limit(80).collect()
     for r in docs:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.lint import fix, rules, tex  # noqa: F401
-from lectern.lint.registry import REGISTRY, Registry, Rule, diagnostics, emit, finding
+from lectern.lint.registry import REGISTRY, Context, Registry, Rule, diagnostics, emit, finding
 from lectern.operators.similar import alignment_distance, package_closure, similar_names
 from lectern.plans.model import Model, asof, not_within
 from lectern.rule_cases import CASES, context_of
@@ -80,6 +80,70 @@ def test_fragments_of_other_documents(spark):
     assert [(r.doc_id, r.start) for r in got] == [(1, 15)]
 
 
+def run_one(spark, rows, rule, context=None, schema="doc_id long, path string, text string"):
+    model = Model(spark.createDataFrame(rows, schema))
+    return REGISTRY.run(model, {r: ("warning" if r == rule else "off") for r in REGISTRY.rules}, context).orderBy("doc_id", "start").collect()
+
+
+def test_malformed_escapes_are_text(spark):
+    rows = [(1, "a.md", "[x](#a%zz) [y](b%zz.md#c%zz) [z](#caf%C3%A9)\n\n# café\n"), (2, "b%zz.md", "# c%zz {#c%zz}\n")]
+    assert [(r.doc_id, r.start) for r in run_one(spark, rows, "link/invalid-fragment")] == [(1, 0)]
+    files = Context({"files": spark.createDataFrame([("b%zz.md",)], "path string")})
+    assert [r.message for r in run_one(spark, [(1, "a.md", "[x](b%zz.md) [y](c%zz.md)\n")], "link/missing-local-target", files)] == ["there is no file `c%zz.md`"]
+
+
+def test_long_fragments_count_whole(spark):
+    name = "a" * 12_000
+    rows = [(1, "a.md", f"# T {{#{name}}}\n\n[x](#{name}) [y](#{name}b)\n")]
+    assert len(run_one(spark, rows, "link/invalid-fragment")) == 1
+
+
+def test_links_are_read_from_their_folder(spark):
+    rows = [(1, "d/e/a.md", "[1](../b.md) [2](c.md) [3](./../../top.md) [4](../../../out.md) [5](b.md) ![6](/abs.png)\n"), (2, "top.md", "[1](d/b.md) [2](b.md) [3](d/./e/../b.md)\n")]
+    files = Context({"files": spark.createDataFrame([("d/b.md",), ("d/e/c.md",), ("top.md",), ("/abs.png",), ("../out.md",)], "path string")})
+    got = run_one(spark, rows, "link/missing-local-target", files)
+    assert [(r.doc_id, r.message) for r in got] == [(1, "there is no file `d/e/b.md`"), (2, "there is no file `b.md`")]
+    rows = [(1, "d/a.md", "[x](../b.md#here) [y](../b.md#gone)\n"), (2, "b.md", "# Here\n")]
+    assert [(r.doc_id, r.start) for r in run_one(spark, rows, "link/invalid-fragment")] == [(1, 18)]
+
+
+def test_every_file_that_tex_reads_is_looked_for(spark):
+    text = "\\begin{x}\n\\input{one} \\include{two}\n\\includegraphics[width=1cm]{fig} \\input{sub/three}\n\\end{x}\n"
+    tables = {"files": spark.createDataFrame([("tex/two.tex",), ("fig.pdf",), ("more/tex/one.tex",)], "path string"), "roots": spark.createDataFrame([("./tex/",)], "root string")}
+    got = run_one(spark, [(1, "a.md", text)], "tex/missing-resource", Context(tables))
+    assert [r.message for r in got] == ["there is no file `one`", "there is no file `sub/three`"]
+    assert [text[r.start : r.end] for r in got] == ["\\input{one}", "\\input{sub/three}"]
+
+
+def test_workspaces_stand_apart(spark):
+    text = "::: {.theorem #thm:main}\nx\n:::\n\nsee @thm:main and @thm:other\n"
+    rows = [(1, "a", text), (2, "a", text), (3, "b", text.replace("main", "other")), (4, "b", "see @thm:main\n")]
+    schema = "doc_id long, workspace string, text string"
+    assert {r.doc_id for r in run_one(spark, rows, "reference/duplicate-workspace-definition", None, schema)} == {1, 2}
+    assert {r.doc_id for r in run_one(spark, rows, "reference/missing-workspace-definition", None, schema)} == {1, 2, 4}
+    alone = [(r[0], r[2]) for r in rows]
+    assert run_one(spark, alone, "reference/duplicate-workspace-definition", None, "doc_id long, text string") == []
+    elsewhere = Context({"definitions": spark.createDataFrame([("thm:other",)], "key string")})
+    assert {r.doc_id for r in run_one(spark, rows, "reference/missing-workspace-definition", elsewhere, schema)} == {4}
+
+
+def test_file_types(spark):
+    text = "`a.tiff` `b.qqq` `c.zzz` `d.py` `no file` `https://x.y/z.py`\n"
+    assert [text[r.start : r.end] for r in run_one(spark, [(1, "a.md", text)], "link/file-path")] == ["`a.tiff`", "`d.py`"]
+    more = Context({"endings": spark.createDataFrame([(".qqq",)], "ending string")})
+    assert [text[r.start : r.end] for r in run_one(spark, [(1, "a.md", text)], "link/file-path", more)] == ["`a.tiff`", "`b.qqq`", "`d.py`"]
+
+
+def test_arguments_without_braces(spark):
+    macros = [{"name": "abs", "replacement": "|#1|", "argument_count": 1, "optional_first": False}, {"name": "two", "replacement": "#1#2", "argument_count": 2, "optional_first": False}, {"name": "opt", "replacement": "#1#2", "argument_count": 2, "optional_first": True}]
+    cases = [
+        (r"\abs x", [(0, 6, r"\abs{x}")]), (r"\abs(x + y) z", [(0, 11, r"\abs{x + y}")]), (r"\abs \frac{a}{b}", [(0, 16, r"\abs{\frac{a}{b}}")]), (r"\abs{x}", []), (r"\two{a} b", [(0, 9, r"\two{a}{b}")]), (r"\two a", [(0, 6, "")]),
+        (r"\abs,", [(0, 4, "")]), (r"\abs x_1", [(0, 6, "")]), (r"\opt[a]{b}", []), (r"\opt[a] b", [(0, 9, r"\opt[a]{b}")]), (r"\abs", [(0, 4, "")]), (r"% \abs x", []),
+    ]
+    for text, want in cases:
+        assert [(x["start"], x["end"], x["replacement"]) for x in tex.arity_errors(text, macros)] == want, text
+
+
 def test_levels_prune_and_override(spark):
     model = Model(spark.createDataFrame([(1, "# A.\n\n# A.\n")], "doc_id long, text string"))
     got = REGISTRY.run(model, {"heading/duplicate": "off", "style/heading-punctuation": {"level": "error"}}).collect()
@@ -95,6 +159,9 @@ def test_own_rules(spark):
     registry.register("own/short", "info", "Short documents", lambda m, c: emit(m.documents, (F.length("text") < 5, finding("own/short", "short", F.lit(0), F.lit(0)))))
     model = Model(spark.createDataFrame([(1, "abc"), (2, "abcdef")], "doc_id long, text string"))
     assert [r.doc_id for r in registry.run(model).collect()] == [1]
+    registry.register("own/wrong", "info", "", lambda m, c: emit(m.documents, (F.lit(True), finding("own/other", "x", F.lit(0), F.lit(0)))))
+    with pytest.raises(Exception, match="own/wrong emits own/other"):
+        registry.run(model).collect()
     with pytest.raises(ValueError):
         registry.add(Rule("own/short", "info", "", "x"))
 

@@ -50,6 +50,22 @@ def test_write_in_place(spark, tree):
     assert (tree / "a.md").read_text() == "new" and (tree / "a.md.orig").read_text() == "a" and (tree / "fresh/n.md").read_text() == "n"
 
 
+def test_backups_survive_a_second_attempt(spark, tree):
+    rows = [(f"file:{tree}/a.md", "new", "a")]
+    for _ in range(2):  # as a task that runs again
+        assert d.write_files(spark.createDataFrame(rows, "path string, text string, before string")).first().error is None
+    assert (tree / "a.md").read_text() == "new" and (tree / "a.md.orig").read_text() == "a"
+    later = [(f"file:{tree}/a.md", "newer", "new")]
+    d.write_files(spark.createDataFrame(later, "path string, text string, before string")).collect()
+    assert (tree / "a.md").read_text() == "newer" and (tree / "a.md.orig").read_text() == "new"
+    assert not [p for p in tree.iterdir() if len(p.suffix) > 30]
+
+
+def test_a_file_is_one_row(spark, tree):
+    (tree / "lines.md").write_text("a\nb\n\nc\n")
+    assert [r.text for r in d.texts(spark, f"file:{tree}").where("path LIKE '%lines.md'").collect()] == ["a\nb\n\nc\n"]
+
+
 def test_nearest_settings(tmp_path):
     (tmp_path / "p/q").mkdir(parents=True)
     (tmp_path / "p/pyproject.toml").write_text("[tool.other]\nx = 1\n")
