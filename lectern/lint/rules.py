@@ -464,7 +464,7 @@ def macro_rules(model: Model, context: Context) -> DataFrame:
     from lectern.functions.arrow import udf_of
 
     known = macro_list(context)
-    bodies = [m for m in known if m["replacement"]]
+    bodies = tex.Bodies([m for m in known if m["replacement"]])
 
     def uses(t: str) -> list[dict]:
         return [x | {"rule": rule} for rule, f in scanners for x in f(t, bodies if rule == "math/user-macro-candidates" else known)]

@@ -384,11 +384,16 @@ def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes.rollup(REGISTRY.run(sample_model(spark, sf_dir), settings))
 
 
-@query()
+#: Queries whose rules are all that find something in the made-up Markdown by default, besides some that are off by default.
+ON_BY_DEFAULT = ("heading_findings", "fence_findings", "link_findings", "invalid_fragments", "footnote_findings", "prose_findings", "math_findings", "frontmatter_findings")
+SEVERITIES = "(VALUES " + ", ".join(f"('{name}', '{level}')" for name, level in LEVELS) + ") AS s(rule, severity)"
+
+
+@query("SELECT doc_id, f.rule, severity, line FROM (" + " UNION ALL ".join(f"SELECT doc_id, rule, line FROM ({ORACLE_SQL[n]})" for n in ON_BY_DEFAULT) + f") AS f JOIN {SEVERITIES} ON f.rule = s.rule WHERE severity <> 'off'")
 def lint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule that is on by default, with lines and columns."""
+    """Every rule that is on by default, with lines."""
     model = sample_model(spark, sf_dir)
-    return diagnostics(REGISTRY.run(model), model).select("doc_id", "rule", "severity", "line", "column", "message")
+    return diagnostics(REGISTRY.run(model), model).select("doc_id", "rule", "severity", "line")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{level}')" for name, level in LEVELS) + ") AS t(name, level)")
@@ -425,11 +430,19 @@ def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes.report_text(diagnostics(REGISTRY.run(model, settings), model), model.documents.select("doc_id", "path")).select("doc_id", "report")
 
 
-@query()
+@query(
+    f"WITH {MD}, f AS (SELECT doc_id, 'accessibility/image-alt' AS rule, line_no, 1 AS first, 'the image has no text' AS message, NULL AS fix FROM l WHERE line = '![](img.png)' UNION ALL "
+    "SELECT doc_id, 'style/bare-url', line_no, 7, 'a bare URL', '<http://ex.org/' || doc_id || '>' FROM l WHERE line LIKE 'Visit http%') "
+    "SELECT 'doc-' || doc_id || '.md' AS path, 1 AS version, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INTEGER) AS nth, rule, CAST(line_no AS INTEGER) AS line, first AS \"column\", message, fix FROM f"
+)
 def lint_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports as JSON, read again."""
     model = sample_model(spark, sf_dir)
     settings = {r: ("warning" if r in ("accessibility/image-alt", "style/bare-url") else "off") for r in REGISTRY.rules}
-    return fixes.report_json(diagnostics(REGISTRY.run(model, settings), model), model.documents.select("doc_id", "path"))
+    made = fixes.report_json(diagnostics(REGISTRY.run(model, settings), model), model.documents.select("doc_id", "path"))
+    read = F.from_json("report", "version int, path string, diagnostics array<struct<rule:string,line:int,column:int,message:string,fix:struct<replacement:string>>>")
+    rows = made.select(read.alias("r")).select("r.path", "r.version", F.posexplode("r.diagnostics").alias("nth", "d"))
+    return rows.select("path", "version", "nth", "d.rule", "d.line", "d.column", "d.message", F.col("d.fix.replacement").alias("fix"))
 
 
 @query(

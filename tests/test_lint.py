@@ -144,6 +144,20 @@ def test_arguments_without_braces(spark):
         assert [(x["start"], x["end"], x["replacement"]) for x in tex.arity_errors(text, macros)] == want, text
 
 
+def test_bodies_are_found_by_their_pieces():
+    import random
+
+    rng = random.Random(5)
+    letters = ["a", "b", "\\x", "\\y", "^", "(", ")", "#1", "+"]
+    macros = [{"name": f"m{k}", "replacement": "".join(rng.choice(letters) for _ in range(rng.randint(1, 6))), "argument_count": 1, "optional_first": False} for k in range(60)]
+    bodies = tex.Bodies(macros)
+    for _ in range(200):
+        text = "".join(rng.choice(letters[:7] + ["+"]) for _ in range(rng.randint(1, 20)))
+        flat = tex.normalized(text)[0]
+        want = {m["name"] for m in macros if (p := tex.macro_pattern(m["replacement"])) and p.search(flat)}
+        assert want <= {m["name"] for m in bodies.near(flat)}, text
+
+
 def test_levels_prune_and_override(spark):
     model = Model(spark.createDataFrame([(1, "# A.\n\n# A.\n")], "doc_id long, text string"))
     got = REGISTRY.run(model, {"heading/duplicate": "off", "style/heading-punctuation": {"level": "error"}}).collect()
