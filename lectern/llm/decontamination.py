@@ -101,9 +101,13 @@ class Filter:
     bits: np.ndarray  # uint8, packed
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        for at in positions(h, self.shift):
-            found &= self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+        """Each probe looks only at what the ones before it left."""
+        left = np.arange(len(h))
+        for k in PROBES:
+            at = ((h[left] * k) >> np.uint64(self.shift)).astype(np.int64)
+            left = left[self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0]
+        found = np.zeros(len(h), bool)
+        found[left] = True
         return found
 
 
@@ -144,6 +148,17 @@ class Lexicon(dict):
         self.clear()
         self.hashes, self.flags = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
 
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Of words, those that are new looked up in the filter all at once."""
+        if len(self) > REMEMBERED:
+            self.start()
+        known = len(self)
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        new = slice(known, len(self))
+        told = self.plain.has(self.hashes[new]) & (self.flags[new] & (NONE | BREAK) == 0)
+        self.flags[new] |= PLAIN * told
+        return out
+
     def __missing__(self, word: str) -> int:
         k = len(self)
         if k >= len(self.hashes):
@@ -152,9 +167,8 @@ class Lexicon(dict):
         if not c or word == BETWEEN:
             self.flags[k] = NONE if not c else BREAK
         else:
-            self.hashes[k] = h = hash_of(c)
-            plain = bool(self.plain.has(np.array([h], np.uint64))[0])
-            self.flags[k] = kind_of(c) + IS_UNIT * (c.casefold() in UNITS) + CLOSED * (not word.endswith(c[-1:])) + PLAIN * plain
+            self.hashes[k] = hash_of(c)
+            self.flags[k] = kind_of(c) + IS_UNIT * (c.casefold() in UNITS) + CLOSED * (not word.endswith(c[-1:]))
         self[word] = k
         return k
 
@@ -168,9 +182,7 @@ class Reading:
 
 def readings(words: list[str], lexicon: Lexicon) -> list[Reading]:
     """The three ways to read a list of words."""
-    if len(lexicon) > REMEMBERED:
-        lexicon.start()
-    number = np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words))
+    number = lexicon.numbers(words)
     flags = lexicon.flags[number]
     at = np.flatnonzero(flags & NONE == 0)
     h, flags = lexicon.hashes[number][at], flags[at]
