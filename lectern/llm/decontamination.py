@@ -61,7 +61,7 @@ PROBES = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x
 BROADCAST_WINDOWS = 1_000_000
 BROADCAST_CHARS = 32_000_000
 #: Words whose codes a worker remembers, and words that are looked up at once (but one text at least).
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 AT_ONCE = 200_000
 #: A word between two texts; no window passes it.
 BETWEEN = "\x00"
@@ -173,6 +173,18 @@ class Lexicon(dict):
         return k
 
 
+_lexicons: dict[bytes, Lexicon] = {}
+
+
+def lexicon_of(plain: Filter) -> Lexicon:
+    """The lexicon of a filter, one for each worker process: what it remembers serves the tasks to come."""
+    key = hashlib.md5(plain.bits).digest()
+    if key not in _lexicons:
+        _lexicons.clear()
+        _lexicons[key] = Lexicon(plain)
+    return _lexicons[key]
+
+
 @dataclass
 class Reading:
     token: np.ndarray  # uint64
@@ -270,7 +282,7 @@ def benchmark_windows(items: DataFrame, plain: Filter) -> DataFrame:
     """item, reading, size, hash, qs: the different windows of each item, and where in it they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(plain)
+        lexicon = lexicon_of(plain)
         for b in batches:
             parts = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -322,7 +334,7 @@ def hits(docs: DataFrame, seen: Filter, plain: Filter, sizes: list[int], needed:
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, lexicon = TaskContext.get().partitionId() << 33, Lexicon(plain)
+        row, lexicon = TaskContext.get().partitionId() << 33, lexicon_of(plain)
         for b in batches:
             texts = b.column(1).to_pylist()
             size = np.cumsum([len(t or "") // 6 + 1 for t in texts])
@@ -353,18 +365,41 @@ class Shared:
     qs: np.ndarray
 
 
-def judge(shared: list[Shared], item: Reading, size: int, n_windows: int) -> tuple[int, float, int] | None:
-    """(found, consistency, verbatim words) of the best band of diagonals, or None if none is contamination."""
-    cells: dict[int, int] = defaultdict(int)  # how many pairs lie on DRIFT neighbouring diagonals
+#: Pairs of places that are laid out at once; where a document and an item share more, bands are laid out one by one.
+PAIRS = 1_000_000
+
+
+def bands(shared: list[Shared], least_pairs: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """p, q and fillers of the pairs of places on 2 * DRIFT neighbouring diagonals, for each such band (they overlap by half)
+    with enough pairs."""
+    if sum(len(s.at) * len(s.qs) for s in shared) <= PAIRS:
+        p = np.concatenate([np.tile(s.at, len(s.qs)) for s in shared])
+        q = np.concatenate([np.repeat(s.qs, len(s.at)) for s in shared])
+        fills = np.concatenate([np.tile(s.fills, (len(s.qs), 1)) if s.fills is not None else np.zeros((len(s.at) * len(s.qs), WINDOW), np.uint64) for s in shared])
+        cell = (p - q) // DRIFT
+        order = np.argsort(cell, kind="stable")
+        p, q, fills, cell = p[order], q[order], fills[order], cell[order]
+        starts = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)]
+        for k in range(len(starts) - 1):
+            further = k + 2 < len(starts) and cell[starts[k + 1]] == cell[starts[k]] + 1
+            end = starts[k + 2] if further else starts[k + 1]
+            if end - starts[k] >= least_pairs:
+                yield p[starts[k] : end], q[starts[k] : end], fills[starts[k] : end]
+        return
+    cells: dict[int, int] = defaultdict(int)
     for s in shared:
         for q in s.qs.tolist():
             for c, n in zip(*map(np.ndarray.tolist, np.unique((s.at - q) // DRIFT, return_counts=True))):
                 cells[c] += n
-    best = None
     for c in sorted(cells):
-        if cells[c] + cells.get(c + 1, 0) < least(n_windows):
-            continue
-        p, q, fills = band(shared, c * DRIFT, (c + 2) * DRIFT)
+        if cells[c] + cells.get(c + 1, 0) >= least_pairs:
+            yield band(shared, c * DRIFT, (c + 2) * DRIFT)
+
+
+def judge(shared: list[Shared], item: Reading, size: int, n_windows: int) -> tuple[int, float, int] | None:
+    """(found, consistency, verbatim words) of the best band of diagonals, or None if none is contamination."""
+    best = None
+    for p, q, fills in bands(shared, least(n_windows)):
         found = len(np.unique(q))
         if found < least(n_windows):
             continue
@@ -407,7 +442,7 @@ def judged(pairs: DataFrame, plain: Filter) -> DataFrame:
     schema = f"{keys}, n_windows int, n_found int, containment double, consistency double, verbatim_words int, reparameterised boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(plain)
+        lexicon = lexicon_of(plain)
         known: dict[int, list[Reading]] = {}
         for b in batches:
             rows = []

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from conftest_llm import plain_match
@@ -122,6 +123,16 @@ def test_exchanged_slots_match_brute_force(spark):
     assert got == want and 60 < len(want)
 
 
+def test_bands_are_the_same_one_by_one(monkeypatch):
+    rng = random.Random(8)
+    shared = [d.Shared(np.array(sorted(rng.sample(range(200), rng.randint(1, 9)))), None, np.array(sorted(rng.sample(range(60), rng.randint(1, 5))))) for _ in range(12)]
+    shared[3].fills = np.arange(5 * len(shared[3].at), dtype=np.uint64).reshape(-1, 5)
+    rows = lambda: [sorted((int(p), int(q), *map(int, f)) for p, q, f in zip(*b)) for b in d.bands(shared, 3)]
+    at_once = rows()
+    monkeypatch.setattr(d, "PAIRS", 0)
+    assert rows() == at_once and len(at_once) > 5
+
+
 def test_result_does_not_depend_on_what_is_broadcast(spark, bench, monkeypatch):
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(bench)] * 3, "doc_id long, text string")
     items = spark.createDataFrame(bench, BENCH)
