@@ -21,7 +21,7 @@ under another name and moved, so a task that runs again, or twice, leaves the sa
 Ids are those of the library with ``add_special_tokens=False``: the string of an added token in a text is that token.
 
 Defined cases: a null or empty text is the end id alone. Rows without doc_id come first; rows of one doc_id are
-ordered by a hash of their ids, and rows that are equal stay as many as they are. A very long text is one document, its
+ordered by a hash of their text, and rows that are equal stay as many as they are. A very long text is one document, its
 ids held by one task. An empty table gives no files and no rows; other columns don't matter, whatever their names.
 """
 
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, mapped, shared_folder
+from lectern.llm.common import mapped, shared_folder
 from lectern.llm.tokens import Encoder, json_tokenizer, slices
 
 MAGIC = b"LECTOKEN"
@@ -142,15 +142,56 @@ def open_folder(folder: str):
 MANIFEST = "shard int, name string, n_docs long, n_ids long"
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids of each row of ``docs`` (doc_id, text): the ids in ``id_type``, the end id last."""
+@dataclass
+class Bounds:
+    """Where each shard begins: (doc_id, tie), null ids first."""
+
+    of_null: np.ndarray  # ties
+    ids: np.ndarray
+    ties: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.of_null) + len(self.ids)
+
+    def shards(self, ids: pa.Array, ties: np.ndarray) -> np.ndarray:
+        """The shard of each (doc_id, tie)."""
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(ids), np.int64)
+        out[null] = np.searchsorted(self.of_null, ties[null], "right")
+        known, mine = ids.drop_null().to_numpy(), ties[~null]
+        low, high = np.searchsorted(self.ids, known, "left"), np.searchsorted(self.ids, known, "right")
+        for k in np.unique(low[high > low]).tolist():  # ids that a shard begins with: their rows may fill several
+            same = (low == k) & (high > k)
+            high[same] = k + np.searchsorted(self.ties[k : high[same][0]], mine[same], "right")
+        out[~null] = len(self.of_null) + high
+        return np.maximum(out - 1, 0)
+
+
+#: Bytes of text that a shard has at most, and at least where there are fewer shards than shuffle partitions.
+MOST_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+
+
+def bounds_of(keys: DataFrame) -> Bounds:
+    """keys: doc_id, tie, n_bytes of each document. One scan without tokens; a few numbers a shard come to the driver."""
+    size = keys.agg(F.sum("n_bytes")).first()[0] or 0
+    parallel = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-size // MOST_BYTES), min(parallel, -(-size // LEAST_BYTES)))
+    dealt = keys.select("doc_id", "tie").repartitionByRange(n, "doc_id", "tie")
+    firsts = sorted((r.k for r in dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct("doc_id", "tie")).alias("k")).collect()), key=lambda k: (k.doc_id is not None, k.doc_id or 0, k.tie))
+    known = [k for k in firsts if k.doc_id is not None]
+    return Bounds(*(np.array(x, np.int64) for x in ([k.tie for k in firsts if k.doc_id is None], [k.doc_id for k in known], [k.tie for k in known])))
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, bounds: Bounds, end_id: int = END_ID) -> DataFrame:
+    """shard, doc_id, tie, ids of each row of ``docs`` (doc_id, tie, text): the ids in ``id_type``, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = json_tokenizer(tokenizer_path)
         kind, encoder = width_of(tokenizer, end_id), Encoder(tokenizer)
         for b in batches:
-            for at, n in slices(b.column(1)):
-                ids, size = encoder.encode(b.column(1).slice(at, n))
+            shard = bounds.shards(b.column(0), b.column(1).to_numpy()).astype(np.int32)
+            for at, n in slices(b.column(2)):
+                ids, size = encoder.encode(b.column(2).slice(at, n))
                 ends = np.cumsum(size + 1)
                 with_end = np.empty(len(ids) + n, kind)
                 inside = np.ones(len(with_end), bool)
@@ -158,55 +199,79 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataF
                 with_end[inside], with_end[ends - 1] = ids, end_id
                 edges = np.r_[0, ends].astype(np.int64) * with_end.itemsize
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(with_end)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), column.cast(pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + n]), b.column(0).slice(at, n), b.column(1).slice(at, n), column.cast(pa.binary())], ["shard", "doc_id", "tie", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(mapped, run, "doc_id long, ids binary")
+    return docs.select("doc_id", "tie", "text").transform(mapped, run, "shard int, doc_id long, tie long, ids binary")
 
 
 def width_of(tokenizer, end_id: int) -> str:
     return id_type(max(tokenizer.get_vocab_size(), end_id + 1))
 
 
+class Writer:
+    """A shard's file, written as documents come."""
+
+    def __init__(self, folder: str, shard: int, width: int):
+        (self.system, self.path), self.shard, self.width = open_folder(folder), shard, width
+        self.system.create_dir(self.path, recursive=True)
+        self.temporary = f"{self.path}/.{uuid.uuid4().hex}"
+        self.out = self.system.open_output_stream(self.temporary)
+        self.out.write(MAGIC + np.array([VERSION, width], "<u4").tobytes())
+        self.counts: list[np.ndarray] = []
+        self.doc_ids: list[np.ndarray] = []
+        self.nulls = self.n_ids = 0
+
+    def add(self, doc_ids: pa.Array, ids: pa.Array) -> None:
+        size = pc.binary_length(ids).to_numpy().astype(np.int64) // self.width
+        for piece in ids:
+            self.out.write(piece.as_buffer())
+        self.n_ids += int(size.sum())
+        self.counts.append(size)
+        self.nulls += doc_ids.null_count
+        self.doc_ids.append(doc_ids.drop_null().to_numpy())
+
+    def close(self) -> tuple[int, str, int, int]:
+        """The boundaries and the trailer, and the file under its name; its row of ``MANIFEST``."""
+        name, known = f"shard-{self.shard:06d}.ids", np.concatenate(self.doc_ids)
+        offsets = EliasFano.of(np.r_[0, np.cumsum(np.concatenate(self.counts))]).to_bytes()
+        low = int(known[0]) if len(known) else 0
+        names = EliasFano.of(known - low).to_bytes()
+        self.out.write(offsets + names)
+        self.out.write(np.array([16 + self.n_ids * self.width, len(offsets), len(names), low, self.nulls, self.n_ids], "<i8").tobytes() + MAGIC)
+        self.out.close()
+        self.system.move(self.temporary, f"{self.path}/{name}")
+        return self.shard, name, sum(map(len, self.counts)), self.n_ids
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Write the shards of ``docs`` (doc_id, text) to ``folder``; a row for each file (``MANIFEST``), lazily.
 
-    Texts are encoded where they are read; only ids, which are cut to a checkpoint first, are dealt out by doc_id."""
-    kind = width_of(json_tokenizer(tokenizer_path), end_id)
+    Shards are told from the ids and ties of documents alone, so texts are encoded where they are read, once, and only
+    token ids are dealt out."""
+    width = int(width_of(json_tokenizer(tokenizer_path), end_id)[-1])
+    text = F.col("text").cast("string")
+    # the tie: rows without an id, or with a common one, fill several shards
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    bounds = bounds_of(rows.select("doc_id", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = open_folder(folder)
-        shard, width = TaskContext.get().partitionId(), int(kind[-1])
-        name, temporary = f"shard-{shard:06d}.ids", f"{path}/.{uuid.uuid4().hex}"
-        counts, doc_ids, nulls, out, n_ids = [], [], 0, None, 0
+        writer, found = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                system.create_dir(path, recursive=True)
-                out = system.open_output_stream(temporary)
-                out.write(MAGIC + np.array([VERSION, width], "<u4").tobytes())
-            size = pc.binary_length(b.column(1)).to_numpy().astype(np.int64) // width
-            for piece in b.column(1):
-                out.write(piece.as_buffer())
-            n_ids += int(size.sum())
-            counts.append(size)
-            nulls += b.column(0).null_count
-            doc_ids.append(b.column(0).drop_null().to_numpy())
-        if out is None:
-            return
-        offsets, known = EliasFano.of(np.r_[0, np.cumsum(np.concatenate(counts))]).to_bytes(), np.concatenate(doc_ids)
-        low = int(known[0]) if len(known) else 0
-        names = EliasFano.of(known - low).to_bytes()
-        begins = 16 + n_ids * width
-        out.write(offsets + names)
-        out.write(np.array([begins, len(offsets), len(names), low, nulls, n_ids], "<i8").tobytes() + MAGIC)
-        out.close()
-        system.move(temporary, f"{path}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([sum(map(len, counts))], pa.int64()), pa.array([n_ids], pa.int64())], ["shard", "name", "n_docs", "n_ids"])
-
-    rows = cut(encoded(docs, tokenizer_path, end_id))
-    order = ("doc_id", F.xxhash64("ids"))  # the hash: rows without an id, or with a common one, fill several shards
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "ids").transform(mapped, run, MANIFEST)
+            shard = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for s, e in zip(edges, edges[1:]) if len(shard) else ():
+                if writer is None or writer.shard != shard[s]:
+                    if writer:
+                        found.append(writer.close())
+                    writer = Writer(folder, int(shard[s]), width)
+                writer.add(b.column(1).slice(s, e - s), b.column(2).slice(s, e - s))
+        if writer:
+            found.append(writer.close())
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], [x.split()[0] for x in MANIFEST.split(", ")])
+
+    dealt = encoded(rows, tokenizer_path, bounds, end_id).repartitionById(max(1, len(bounds)), F.col("shard"))
+    return dealt.sortWithinPartitions("shard", "doc_id", "tie", "ids").select("shard", "doc_id", "ids").transform(mapped, run, MANIFEST)
 
 
 class Shard:

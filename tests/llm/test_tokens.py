@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -126,12 +127,35 @@ def test_files_hold_the_ids_in_order(spark, texts, tmp_path):
 def test_added_tokens_are_units(spark):
     plain = Tokenizer.from_file(JSON)
     texts = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b\n", "x<|endoftext|>y.", "\n<|endoftext|>\n\n<|endoftext|> ", "<|endoftext|", "ab <|endoftext|><|endoftext|> cd"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in token_files.encoded(docs, JSON).collect()}
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, tie long, text string")
+    whole = token_files.Bounds(*(np.zeros(n, np.int64) for n in (0, 1, 1)))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in token_files.encoded(docs, JSON, whole).collect()}
     assert got == {k: plain.encode(t, add_special_tokens=False).ids + [2] for k, t in enumerate(texts)}
     assert got[0] == [50256, 2]
 
 
+def test_shards_are_told_by_id_and_tie():
+    rng = np.random.default_rng(4)
+    rows = sorted(((None if rng.random() < 0.3 else int(rng.integers(-3, 4)), int(rng.integers(-9, 10))) for _ in range(400)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    begins = sorted({0, *rng.integers(1, 400, 20).tolist()})
+    firsts = [rows[k] for k in begins if k == 0 or rows[k] != rows[k - 1]]
+    known = [f for f in firsts if f[0] is not None]
+    bounds = token_files.Bounds(*(np.array(x, np.int64) for x in ([f[1] for f in firsts if f[0] is None], [f[0] for f in known], [f[1] for f in known])))
+    got = bounds.shards(pa.array([r[0] for r in rows], pa.int64()), np.array([r[1] for r in rows]))
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert got.tolist() == [sum(order(f) <= order(r) for f in firsts) - 1 for r in rows]
+
+
+def test_one_id_fills_several_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "LEAST_BYTES", 200)
+    rows = [(7, f"text number {k}") for k in range(200)] + [(None, f"none {k}") for k in range(100)] + [(k, "x") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = f"file:{tmp_path}/ids"
+    got = sorted(token_files.write_and_read(docs, JSON, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0)) and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    assert len([p for p in (tmp_path / "ids").iterdir() if p.suffix == ".ids"]) > 3
+
+
 def test_files_odd_rows(odd, none):
     got = token_files.write_and_read(odd, JSON).collect()
     assert len(got) == 10
