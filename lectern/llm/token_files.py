@@ -182,12 +182,22 @@ def bounds_of(keys: DataFrame) -> Bounds:
     return Bounds(*(np.array(x, np.int64) for x in ([k.tie for k in firsts if k.doc_id is None], [k.doc_id for k in known], [k.tie for k in known])))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a tokenizer's file, once per worker process: what it remembers serves the tasks to come."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(json_tokenizer(path))
+    return _encoders[path]
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, bounds: Bounds, end_id: int = END_ID) -> DataFrame:
     """shard, doc_id, tie, ids of each row of ``docs`` (doc_id, tie, text): the ids in ``id_type``, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = json_tokenizer(tokenizer_path)
-        kind, encoder = width_of(tokenizer, end_id), Encoder(tokenizer)
+        encoder = encoder_of(tokenizer_path)
+        kind = width_of(encoder.tokenizer, end_id)
         for b in batches:
             shard = bounds.shards(b.column(0), b.column(1).to_numpy()).astype(np.int32)
             for at, n in slices(b.column(2)):

@@ -64,9 +64,8 @@ class Encoder:
             self.young, self.old = {}, self.young
         out = list(map(self.young.get, keys))
         young, old, model, match, rest = self.young, self.old, self.tokenizer.model.tokenize, WORD.fullmatch, []
-        for n, k in enumerate(keys):
-            if out[n] is not None:
-                continue
+        for n in [n for n, v in enumerate(out) if v is None]:
+            k = keys[n]
             v = old.get(k)
             if v is None:
                 if not (m := match(k)):
