@@ -13,7 +13,9 @@ open, and from there to a third; that leaves at most 2**MAX_OPEN values in a buc
 of k fingerprints gives at most k - 1 links that span its clusters.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other. A row whose doc_id is
-null keeps its fingerprint and gets a null component. Repeated doc_ids give repeated rows.
+null keeps its fingerprint and gets a null component. Repeated doc_ids give repeated rows. A very long text is read whole,
+``STRIDE`` shingles at a time; an empty table gives no rows; columns beside doc_id and text don't matter, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -180,11 +182,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     return out.select("a", "b").where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable, for every node of ``edges`` (a, b). Alternating large-star
     and small-star contraction; each round is cut to the checkpoint folder, nothing is gathered on the driver."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -194,7 +196,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if e.count() == after.count() and after.join(e, ["u", "v"], "left_anti").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select("v", "v").distinct())
         e = after
-    raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:

@@ -107,3 +107,18 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(pages):
     plan = u.filtered(pages)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["quality_statistics", "url_rules"])
+def test_sql_gives_the_same(spark, name):
+    import duckdb
+
+    from lectern.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for table in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, folder).toPandas(), db.sql(queries.ORACLE_SQL[name]).df()
+    rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want) and len(got)
