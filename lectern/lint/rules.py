@@ -335,6 +335,7 @@ def numbering(model: Model, context: Context) -> DataFrame:
         model.math.select("doc_id", F.col("tex_start").alias("start"), "text", F.lit("tag").alias("at")),
         model.of("text").select("doc_id", "start", "text", F.lit("prose").alias("at")),
     )
+    sources = sources.where(F.col("text").rlike(r"(?U)\d"))  # the others never reach Python
     found = sources.select("doc_id", F.col("start").alias("base"), F.explode(prose.numbers_column(F.col("text"), F.col("at"))).alias("n")).select("doc_id", "base", "n.*")
     declared = found.where("declares")
     refers = found.where("NOT declares").join(declared.select("doc_id", "family", "number").distinct(), ["doc_id", "family", "number"], "left_semi")

@@ -63,6 +63,7 @@ MORE = [
     ("`\\sum` and <http://x_0.y> and [a_0](b_0)\n", set(), {"math/unicode-symbol"}),
     ("$y^{2}^\\alpha$ and $Hom_R(M,N)$\n", {"math/repeated-superscript", "math/bare-operator"}, set()),
     ("$\\{ a \\}$ $% {\n a$\n", set(), {"math/unclosed-group", "math/unmatched-group-close"}),
+    ("So 50% of x_1 here.\n", {"math/outside-math-mode"}, set()),
     ("::: {.definition}\n```text\nProof. x\n```\n:::\n", set(), {"structure/statement-boundary"}),
 ]
 
