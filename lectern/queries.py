@@ -17,9 +17,10 @@ from lectern.operators import preflight, similar, wrapping
 from lectern.plans import formatter, gate
 from lectern.plans.model import Model, asof, lines, not_within
 from lectern.rule_cases import CASES, FOUND, LEVELS, context_of
-from lectern.samples import EXTRAS, MD, extra_documents, extras_oracle, markdown_documents
+from lectern.samples import EXTRAS, MD, extra_documents, extras_oracle, markdown_documents, prose_of
 from lectern.sources import documents as sources
 from lectern.sources.session import shared_folder, spread
+from lectern.streaming import documents as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,39 +151,56 @@ def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_documents(spark, sf_dir).select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("ord", "paragraph"))
 
 
-BROKEN = "'one  ' || chr(10) || lang || chr(92) || chr(10) || source || chr(10) || 'end'"
+BROKEN = "CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), '  ' || chr(10)) ELSE replace(text, chr(10), chr(92) || chr(10)) END"
 
 
 @query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord, seg AS segment FROM (SELECT doc_id, unnest(x) AS seg, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_split_to_array({BROKEN}, '\\\\' || chr(10) || '|  ' || chr(10)) AS x FROM documents))")
 def hard_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("one  \n"), "lang", F.lit("\\\n"), "source", F.lit("\nend")).alias("t"))
+    """All lines of the texts, with two spaces or a backslash at their ends."""
+    made = documents(spark, sf_dir).select("doc_id", F.expr(BROKEN.replace("chr(10)", "'\n'").replace("chr(92)", "'\\\\'")).alias("t"))
     return made.select("doc_id", F.posexplode(text.hard_break_segments(F.col("t"))).alias("ord", "segment"))
 
 
 MARKERS = "CASE doc_id % 10 WHEN 0 THEN '-' WHEN 1 THEN '12.' WHEN 2 THEN '##' WHEN 3 THEN 'word' WHEN 4 THEN '(3)' WHEN 5 THEN 'b)' WHEN 6 THEN '>' WHEN 7 THEN '-x' WHEN 8 THEN 'A)' ELSE 'xiv.' END"
+ROMANS = "(m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3}))"
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches(w, '^([0-9]+|[a-z]|#|xiv)[.)]$') OR regexp_matches(w, '^[A-Z]\\)$') THEN left(w, length(w) - 1) || chr(92) || right(w, 1) WHEN regexp_matches(w, '^\\(([0-9]+|[A-Za-z])\\)$') OR regexp_matches(w, '^([-*+>]|#+)$') THEN chr(92) || w ELSE w END AS word FROM (SELECT doc_id, {MARKERS} AS w FROM documents)")
+@query(
+    f"WITH {WORDS}, d AS (SELECT doc_id, list_append(ws, {MARKERS}) AS ws FROM ws), w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d) "
+    f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord, CASE WHEN regexp_matches(w, '^([0-9]+|[a-z]|#|{ROMANS})[.)]$') AND length(w) > 1 OR regexp_matches(w, '^([A-Z]|{ROMANS.upper().replace('{0,3}', '{0,3}')})\\)$') AND length(w) > 1 THEN left(w, length(w) - 1) || chr(92) || right(w, 1) "
+    "WHEN regexp_matches(w, '^\\(([0-9]+|[A-Za-z]|@[\\p{L}\\p{N}_-]*)\\)$') OR regexp_matches(w, '^([-*+>]|#+)$') THEN chr(92) || w ELSE w END AS word FROM w"
+)
 def escape_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.expr(MARKERS).alias("w")).select("doc_id", text.escape_word(F.col("w")).alias("word"))
+    """Each word of the texts, and a marker, as it may begin a line."""
+    words = documents(spark, sf_dir).select("doc_id", F.array_append(text.words(F.col("text")), F.expr(MARKERS)).alias("ws"))
+    return words.select("doc_id", F.posexplode(F.transform("ws", text.escape_word)).alias("ord", "word"))
+
+
+PROSE = f"WITH {MD}, p AS (SELECT doc_id, regexp_replace(regexp_replace(para, '[.]+', '.', 'g'), ' +', ' ', 'g') AS t FROM src)"
 
 
-@query("SELECT doc_id, replace(lang || '{% a %}{% /a %}' || source || '<!-- x --><!-- y -->', '%}{%', '%} {%').replace('--><!--', '--> <!--') AS spaced FROM documents")
+def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, t: the words of whole texts, with single points, commas and single spaces between them."""
+    return documents(spark, sf_dir).select("doc_id", F.regexp_replace(F.regexp_replace(prose_of(F.col("text")), r"\.+", "."), " +", " ").alias("t"))
+
+
+@query(f"{PROSE} SELECT doc_id, replace(t, ' ', '{{% a %}} {{% /a %}} <!-- x --> <!-- y -->') AS spaced FROM p".replace("{{", "{").replace("}}", "}"))
 def spaced_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.concat("lang", F.lit("{% a %}{% /a %}"), "source", F.lit("<!-- x --><!-- y -->"))
-    return documents(spark, sf_dir).select("doc_id", text.spaced_tags(made).alias("spaced"))
+    made = F.replace("t", F.lit(" "), F.lit("{% a %}{% /a %} <!-- x --><!-- y -->"))
+    return prose(spark, sf_dir).select("doc_id", text.spaced_tags(made).alias("spaced"))
 
 
-@query("SELECT doc_id, lang || ' … ' || source || ' … end' AS typeset FROM documents")
+@query(f"{PROSE} SELECT doc_id, regexp_replace(t, '([\\p{{L}}]), ?([\\p{{L}}])', '\\1 … \\2', 'g') AS typeset FROM p".replace("{{", "{").replace("}}", "}"))
 def ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.concat("lang", F.lit("..."), "source", F.lit(" ... end"))
-    return documents(spark, sf_dir).select("doc_id", made.alias("t")).select("doc_id", typography.ellipses_column("t").alias("typeset"))
+    """Each comma between words as three points, and those as one character."""
+    return prose(spark, sf_dir).select("doc_id", F.regexp_replace("t", r"(\p{L}), ?(\p{L})", "$1...$2").alias("t")).select("doc_id", typography.ellipses_column("t").alias("typeset"))
 
 
-@query("SELECT doc_id, 'He said “' || lang || '” and it’s ‘' || source || '’, James’ own.' AS typeset FROM documents")
+@query(f"{PROSE} SELECT doc_id, regexp_replace(t, '(^|\\n)([\\p{{L}}]+) ([\\p{{L}}]+) ', '\\1“\\2 it’s” so ‘\\3’ ', 'g') AS typeset FROM p".replace("{{", "{").replace("}}", "}"))
 def smart_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.concat(F.lit('He said "'), "lang", F.lit("\" and it's '"), "source", F.lit("', James' own."))
-    return documents(spark, sf_dir).select("doc_id", made.alias("t")).select("doc_id", typography.smart_quotes_column("t").alias("typeset"))
+    """The first words of each paragraph in straight quotes, and those as typographic ones."""
+    quoted = F.regexp_replace("t", r"(^|\n)(\p{L}+) (\p{L}+) ", "$1\"$2 it's\" so '$3' ")
+    return prose(spark, sf_dir).select("doc_id", quoted.alias("t")).select("doc_id", typography.smart_quotes_column("t").alias("typeset"))
 
 
 def fill_sql(width: int, first: str = "", later: str = "") -> str:
@@ -210,12 +228,12 @@ def fill_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(['markdown_link', 'inline_code_span', 'inline_math', 'bare_url']) AS name FROM documents) GROUP BY doc_id, name"
+    f"{PROSE}, n AS (SELECT doc_id, length(t) - length(replace(t, '. ', ' ')) AS n FROM p), k AS (SELECT doc_id, n, unnest(['markdown_link', 'inline_code_span', 'inline_math', 'bare_url']) AS name FROM n) SELECT doc_id, name, n FROM k WHERE n > 0"
 )
 def atomic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constructs of a line with a link, code, math and a URL."""
-    made = F.concat(F.lit("a [l](u) `c` $x$ http://e.org/"), F.col("doc_id").cast("string"), F.lit(" z"))
-    found = documents(spark, sf_dir).select("doc_id", made.alias("t")).select("doc_id", F.inline(patterns.spans_column("t", patterns.INLINE_PATTERNS)))
+    """Constructs of the texts with a link, code, math and a URL after each sentence."""
+    made = F.replace("t", F.lit(". "), F.lit(". [l m](u) `c  d` $x + y$ http://e.org/a_b "))
+    found = prose(spark, sf_dir).select("doc_id", made.alias("t")).select("doc_id", F.inline(patterns.spans_column("t", patterns.INLINE_PATTERNS)))
     return found.where("is_atomic").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
@@ -620,5 +638,35 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", *map(part, ("PROTOCOL", "HOST", "PATH", "QUERY")))
 
 
+def windowed(spark: SparkSession, sf_dir: str, slide: str | None) -> DataFrame:
+    """Events as documents whose text is a sentence, in windows of an hour."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.lit("It is so. And so it is.").alias("text"))
+    found = streams.counts_by_window(events, "ts", "1 hour", "10 minutes", slide)
+    return found.select(F.unix_timestamp("window.start").alias("begin"), "documents", "sentences")
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS \"begin\", count(*) AS documents, 2 * count(*) AS sentences FROM events GROUP BY 1")
+def counts_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows one after the other: the plan that a stream has, over a table."""
+    return windowed(spark, sf_dir, None)
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 20 MINUTE, ts)) AS BIGINT) - k * 1200 AS \"begin\", count(*) AS documents, 2 * count(*) AS sentences FROM events, (VALUES (0), (1), (2)) AS s(k) GROUP BY 1")
+def counts_by_sliding_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that overlap: a new one every twenty minutes."""
+    return windowed(spark, sf_dir, "20 minutes")
+
+
+@query(
+    "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) "
+    "SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS \"begin\", CAST(floor(epoch(max(ts))) AS BIGINT) + 86400 AS \"end\", count(*) AS n FROM s GROUP BY user_id, k"
+)
+def counts_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users: a day without an event ends one."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    found = streams.counts_by_session(events, "ts", "user_id", "1 day")
+    return found.select("user_id", F.unix_timestamp("window.start").alias("begin"), F.unix_timestamp("window.end").alias("end"), "n")
+
+
 QUERIES.update(cases.QUERIES)
 ORACLE_SQL.update(cases.ORACLE_SQL)

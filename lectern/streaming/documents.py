@@ -29,10 +29,18 @@ def stream_reformatted(documents: DataFrame, options: Options = Options()) -> Da
     return reformat_documents(documents, options)
 
 
-def counts_by_window(documents: DataFrame, time: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Documents and sentences by event time; rows later than ``late`` are dropped and their state with them."""
+def counts_by_window(documents: DataFrame, time: str, window: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Documents and sentences by event time, in windows one after the other, or with ``slide`` in overlapping ones; rows
+    later than ``late`` are dropped and their state with them."""
     rows = documents.withWatermark(time, late).select(time, F.size(sentences(F.col("text"))).alias("n"))
-    return rows.groupBy(F.window(time, window)).agg(F.count("*").alias("documents"), F.sum("n").alias("sentences"))
+    return rows.groupBy(F.window(time, window, slide)).agg(F.count("*").alias("documents"), F.sum("n").alias("sentences"))
+
+
+def counts_by_session(documents: DataFrame, time: str, key: str, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Rows by key and session: rows of a key with less than ``gap`` between each and the next. State ends with the
+    watermark; a batch is merged within each task before it is shuffled."""
+    rows = documents.withWatermark(time, late).select(time, key)
+    return rows.groupBy(key, F.session_window(time, gap).alias("window")).agg(F.count("*").alias("n"))
 
 
 def write_parquet(frame: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
