@@ -278,6 +278,8 @@ mapped(
         ("tight", "- one\n\n- two\n", "- one\n- two\n"),
         ("loose", "- one\n- two\n", "- one\n\n- two\n"),
         ("loose", "- a\n  - b\n  - c\n", "- a\n\n  - b\n\n  - c\n"),
+        ("own_formatter", "- a\n- b\n", "ok: - a\n\n- b\n"),
+        ("own_formatter", "lost words\n", "refused: lost words\n"),
         ("status", "fine\n", "unchanged||"),
         ("status", "a   b\n", "ok||"),
         ("status", "# **a**\n", "ok|unbold_heading|"),
@@ -289,6 +291,7 @@ mapped(
         "semantic_40": of(lambda t: formatter.fill_markdown(t, Options("semantic", 40))),
         "plain": of(lambda t: formatter.reformat(t, Options("plain"))["text"]),
         **{s: of(lambda t, s=s: formatter.fill_markdown(t, Options(list_spacing=s))) for s in formatter.SPACINGS},
+        "own_formatter": of(lambda t: "{status}: {text}".format(**formatter.reformat(t, Options(), lambda x, o: x.replace("\n-", "\n\n-").replace("lost ", "")))),
         "status": of(lambda t: "|".join((r := formatter.reformat(t, formatter.AUTO if t[0] == "#" else Options(list_spacing="preserve")))[k] if k == "status" else ",".join(r[k]) for k in ("status", "normalizations", "unasked"))),
     },
 )

@@ -524,9 +524,13 @@ def fill_markdown(text: str, options: Options = Options(), wrapper: Wrapper | No
 REQUESTED = {"unbold_heading": "cleanups", "hyphen_join": "cleanups", "smart_quotes": "smartquotes"}
 
 
-def reformat(text: str, options: Options = Options()) -> dict:
+#: What formats a document; one of one's own stands before the same checks.
+Formatter = Callable[[str, Options], str]
+
+
+def reformat(text: str, options: Options = Options(), formatter: Formatter = fill_markdown) -> dict:
     """status: ok, unchanged or refused; the text to keep (the source if refused); why; which normalisations apply,
-    and those of them that weren't asked for."""
+    and those of them that weren't asked for. formatter: makes the text that the gate compares with the source."""
 
     def result(status: str, out: str, error: str | None = None, applied: list[str] | None = None) -> dict:
         applied = applied or []
@@ -541,7 +545,7 @@ def reformat(text: str, options: Options = Options()) -> dict:
     wrong = sorted([*rejected_math(body), *unclosed_fences(body), *dropped_cells(body)])
     if wrong:
         return result("refused", text, "; ".join(f"line {line + shift}: {said}" for line, said in wrong))
-    out = fill_markdown(text, options)
+    out = formatter(text, options)
     verdict = gate.check(body, split_frontmatter(out)[1])
     if not verdict["ok"]:
         return result("refused", text, f"block {verdict['block']}: {verdict['detail']}")
@@ -555,21 +559,18 @@ def dropped_cells(text: str) -> list[tuple[int, str]]:
 RESULT = "struct<status:string,text:string,error:string,normalizations:array<string>,unasked:array<string>>"
 
 
-def safely(text: str, options: Options) -> dict:
+def safely(text: str, options: Options, formatter: Formatter = fill_markdown) -> dict:
     try:
-        return reformat(text, options)
+        return reformat(text, options, formatter)
     except (RecursionError, ValueError, IndexError) as e:  # a document must not fail the batch
         return {"status": "refused", "text": text, "error": f"{type(e).__name__}: {e}", "normalizations": [], "unasked": []}
 
 
-def reformat_column(text: Column | str, options: Options = Options()) -> Column:
-    return udf_of(lambda t: safely(t, options), RESULT)(text)
+def reformat_column(text: Column | str, options: Options = Options(), formatter: Formatter = fill_markdown) -> Column:
+    return udf_of(lambda t: safely(t, options, formatter), RESULT)(text)
 
 
-def reformat_documents(documents: DataFrame, options: Options = Options()) -> DataFrame:
+def reformat_documents(documents: DataFrame, options: Options = Options(), formatter: Formatter = fill_markdown) -> DataFrame:
     """``documents`` (doc_id, text, ...) with status, formatted, error, normalizations, unasked."""
-    made = documents.withColumn("_r", reformat_column("text", options))
+    made = documents.withColumn("_r", reformat_column("text", options, formatter))
     return made.select(*documents.columns, F.col("_r.status").alias("status"), F.col("_r.text").alias("formatted"), F.col("_r.error").alias("error"), F.col("_r.normalizations").alias("normalizations"), F.col("_r.unasked").alias("unasked"))
-
-
-Formatter = Callable[[str, Options], str]

@@ -107,3 +107,11 @@ def test_batch_isolates_refusals(spark):
     got = {r.doc_id: r for r in f.reformat_documents(spark.createDataFrame(rows, "doc_id long, text string"), f.Options()).collect()}
     assert (got[1].status, got[2].status, got[3].status, got[4].status) == ("ok", "refused", None, "unchanged")
     assert got[1].formatted == "a b\n" and got[2].formatted == "$ x $\n"
+
+
+def test_a_formatter_of_ones_own_is_checked(spark):
+    docs = spark.createDataFrame([(1, "- a\n- b\n"), (2, "words\n")], "doc_id long, text string")
+    apart = f.reformat_documents(docs, f.Options(), lambda t, o: t.replace("\n-", "\n\n-"))
+    assert {r.doc_id: (r.status, r.formatted, r.normalizations) for r in apart.collect()} == {1: ("ok", "- a\n\n- b\n", ["list_spacing"]), 2: ("unchanged", "words\n", [])}
+    loud = f.reformat_documents(docs, f.Options(), lambda t, o: t.upper())
+    assert {(r.status, r.formatted) for r in loud.collect()} == {("refused", "- a\n- b\n"), ("refused", "words\n")}
