@@ -125,7 +125,20 @@ def semantic_wrap_nolimit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where(F.size(text.words(F.col("text"))) > 0).select("doc_id", text.semantic_lines(F.col("text")).alias("wrapped"))
 
 
-@query()
+#: The words of a sentence filled greedily from a column on; lines follow a short line of at most 20 characters where that fits.
+FILLED = (
+    "list_reduce(list_transform(string_split(t.sentence, ' '), lambda x: {'out': x, 'len': length(x), 'col': CASE WHEN begun + length(x) <= 88 THEN begun + length(x) ELSE length(x) END}), "
+    "lambda a, x: CASE WHEN a.col + 1 + x.len <= 88 THEN {'out': a.out || ' ' || x.out, 'len': 0, 'col': a.col + 1 + x.len} ELSE {'out': a.out || chr(10) || x.out, 'len': 0, 'col': x.len} END).out"
+)
+SEMANTIC = (
+    f"WITH RECURSIVE {SENTENCES}, m AS (SELECT t.doc_id, t.sid, {FILLED.replace('begun +', '0 +')} AS out FROM s AS t WHERE t.sid = 0 UNION ALL SELECT doc_id, sid, out || CASE WHEN short AND last + 1 + length(string_split(new, chr(10))[1]) <= 88 THEN ' ' ELSE chr(10) END || new AS out FROM ("
+    f"SELECT doc_id, sid, out, last, short, {FILLED} AS new FROM (SELECT t.doc_id, t.sid, t.sentence, m.out, length(string_split(m.out, chr(10))[-1]) AS last, length(string_split(m.out, chr(10))[-1]) < 20 AS short, "
+    "CASE WHEN length(string_split(m.out, chr(10))[-1]) < 20 THEN length(string_split(m.out, chr(10))[-1]) ELSE 0 END AS begun FROM m JOIN s AS t ON t.doc_id = m.doc_id AND t.sid = m.sid + 1) AS t) AS n) "
+    "SELECT d.doc_id, COALESCE(w.out, '') AS wrapped FROM documents d LEFT JOIN (SELECT doc_id, arg_max(out, sid) AS out FROM m GROUP BY doc_id) AS w ON d.doc_id = w.doc_id WHERE d.text IS NOT NULL"
+)
+
+
+@query(SEMANTIC)
 def semantic_wrap_88(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", wrapping.wrapped_column(wrapping.by_sentence(88), "text").alias("wrapped"))
 
@@ -237,10 +250,19 @@ def atomic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("is_atomic").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Sentences of at least 15 characters of the words of whole texts in one line, in which they follow one another.
+FLAT = f"{MD.partition(', md AS')[0]}, flat AS (SELECT doc_id, lang, regexp_replace(regexp_replace(para, '[.]+', '.', 'g'), '\\s+', ' ', 'g') AS text FROM src)"
+FLAT_MERGED = MERGED.replace("FROM documents", "FROM flat").replace("WITH RECURSIVE ", f"WITH RECURSIVE {FLAT}, ", 1)
+
+
+@query(
+    f"{FLAT_MERGED}, o AS (SELECT doc_id, sentence, COALESCE(sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY mid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k) "
+    "SELECT doc_id, sentence AS text, CAST(start AS INTEGER) AS start, CAST(start + length(sentence) AS INTEGER) AS \"end\" FROM o"
+)
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of the Markdown with their offsets."""
-    return markdown_documents(spark, sf_dir).select("doc_id", F.inline(patterns.sentence_spans_column("text")))
+    """Sentences of the texts with their offsets."""
+    flat = prose(spark, sf_dir).select("doc_id", F.regexp_replace("t", r"\s+", " ").alias("t"))
+    return flat.select("doc_id", F.inline(patterns.sentence_spans_column("t")))
 
 
 @query(
