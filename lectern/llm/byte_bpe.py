@@ -30,8 +30,8 @@ from lectern.llm.tokens import Encoder, Strings, byte_table, rank_tokenizer, rea
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks that a worker remembers, and bytes of text at once: less than for files, as other stages hold memory, too.
-REMEMBERED = 150_000
-AT_ONCE = 2 << 20
+REMEMBERED = 100_000
+AT_ONCE = 1 << 20
 _loaded: dict[str, tuple] = {}
 
 
