@@ -34,3 +34,9 @@ def test_reader_places_inlines_where_lines_are_cut():
     assert (found["code"], found["emph"], found["bare_url"]) == ("`c`", "*y\n   z*", "http://e.org/q")
     assert [n.url for n, _ in formatter.located(source) if n.kind == "bare_url"] == ["www.a.b", "http://e.org/q"]
     assert isinstance(reader.Blocks("").inlines("a b", range(3))[0].text, str)
+
+
+
+def test_items_after_a_capital_keep_two_spaces():
+    made = formatter.safely("Text.\n\nA.  one  is here. Two\n\n- x\n\n  B.   three\n", formatter.AUTO)
+    assert made["status"] == "ok" and made["text"] == "Text.\n\nA.  one is here.\n    Two\n\n- x\n\n  B.  three\n"
