@@ -40,3 +40,13 @@ def test_reader_places_inlines_where_lines_are_cut():
 def test_items_after_a_capital_keep_two_spaces():
     made = formatter.safely("Text.\n\nA.  one  is here. Two\n\n- x\n\n  B.   three\n", formatter.AUTO)
     assert made["status"] == "ok" and made["text"] == "Text.\n\nA.  one is here.\n    Two\n\n- x\n\n  B.  three\n"
+
+
+
+def test_rows_are_made_in_slices(spark):
+    batch = pa.array(["x" * 1000] * 5000)
+    parts = list(arrow.slices((batch, batch)))
+    assert sum(len(p[0]) for p in parts) == 5000 and max(p[0].nbytes for p in parts) <= arrow.SLICE and all(len(a) == len(b) for a, b in parts)
+    made = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("y"), 2000)).alias("t")).repartition(1)
+    got = made.select("id", arrow.udf_of(lambda t, i: f"{i}{len(t)}", "string")("t", "id").alias("r")).orderBy("id").collect()
+    assert [r.r for r in got] == [f"{k}2000" if k % 7 else None for k in range(3000)]
