@@ -233,8 +233,8 @@ def fill_sql(width: int, first: str = "", later: str = "") -> str:
 )
 def fill_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every way to fill a plain text."""
-    docs = documents(spark, sf_dir)
-    return docs.select("doc_id", *[wrapping.filled_column("text", how, 72).alias(how.value) for how in wrapping.Fill])
+    filled = documents(spark, sf_dir).select("doc_id", wrapping.all_filled_column("text", 72).alias("f"))
+    return filled.select("doc_id", "f.*")
 
 
 # Spans and Markdown ---------------------------------------------------------------------------------------------

@@ -50,3 +50,11 @@ def test_rows_are_made_in_slices(spark):
     made = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("y"), 2000)).alias("t")).repartition(1)
     got = made.select("id", arrow.udf_of(lambda t, i: f"{i}{len(t)}", "string")("t", "id").alias("r")).orderBy("id").collect()
     assert [r.r for r in got] == [f"{k}2000" if k % 7 else None for k in range(3000)]
+
+
+
+def test_all_fills_are_one_pass(spark):
+    from lectern.queries import QUERIES
+
+    plan = QUERIES["fill_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
