@@ -58,3 +58,11 @@ def test_all_fills_are_one_pass(spark):
 
     plan = QUERIES["fill_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+
+def test_tags_that_touch(spark):
+    ends = "|".join(f"(?<={a})(?={b})" for a, b in text.TAGS)
+    cases = ["{% a %}{% /a %}{%b%}", "%}{%}{%}{%", "#}{#}{#", "}}}{{{", "--><!--><!-- x", "%}{#", "a -->b", "}} {{", "é%}{%"]
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", text.spaced_tags(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == {c: re.sub(ends, " ", c) for c in cases}
