@@ -26,13 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Input for a core that is dealt out anew if a scan gives few tasks.
-SMALL = 32 << 20
+#: Stored bytes of a table for one task.
+SMALL = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt out to all cores: one file of one row group is one task, however many cores there are. A
-    table of over ``SMALL`` bytes for each core stays as its files give it."""
+    """A table dealt out to all cores, in more tasks than those if it is larger, so that a task's part doesn't grow with the
+    table: one file of one row group is one task, however many cores there are, and a task reads up to 128 MB of files,
+    which what is made of its rows exceeds many times."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL * cores else df
+    return df.repartition(max(cores, -(-size // SMALL)))

@@ -53,6 +53,14 @@ def test_rows_are_made_in_slices(spark):
 
 
 
+def test_a_large_table_has_more_tasks_than_cores(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(session, "SMALL", 10_000)
+    assert session.spread(table).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert session.spread(table).count() == table.count()
+
+
+
 def test_all_fills_are_one_pass(spark):
     from lectern.queries import QUERIES
 
