@@ -58,6 +58,8 @@ def test_a_large_table_has_more_tasks_than_cores(spark, monkeypatch):
     monkeypatch.setattr(session, "SMALL", 10_000)
     assert session.spread(table).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert session.spread(table).count() == table.count()
+    made = spark.createDataFrame([(1, "a")], "doc_id long, text string")  # of a size that Spark doesn't know
+    assert session.spread(made).collect() == made.collect()
 
 
 
