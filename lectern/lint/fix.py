@@ -18,7 +18,7 @@ APPLIED = "struct<text:string,applied:int>"
 def splice(text: str, edits: list[dict]) -> dict:
     """Apply edits in source order; one that overlaps an earlier one waits for the next round."""
     out, at, n = [], 0, 0
-    for e in sorted(edits or [], key=lambda e: (e["start"], e["end"])):
+    for e in sorted(edits or [], key=lambda e: (e["start"], e["end"], e["replacement"])):
         if e["start"] >= at and (n == 0 or e["start"] > 0):
             out += [text[at : e["start"]], e["replacement"]]
             at, n = e["end"], n + 1
@@ -31,19 +31,20 @@ def spliced(text: Column, edits: Column) -> Column:
 
 def fix(documents: DataFrame, registry: Registry, settings: dict[str, Any] | None = None, context: Context | None = None, folder: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """``documents`` (doc_id, text) after all fixes, with how many were applied. A round fixes all documents at once;
-    it ends when none has a fix left. folder: where the rounds' models are kept."""
+    it ends when none has a fix left. folder: where the rounds' models are kept. Texts that are dealt out by
+    document stay where they are: only edits move."""
     from lectern.sources.session import cut
 
-    now = documents.select("doc_id", "text", F.lit(0).alias("applied"))
+    now = cut(documents.select("doc_id", "text", F.lit(0).alias("applied")))
+    n = now.rdd.getNumPartitions() or 1
     for k in range(rounds):
         model = Model(now.select("doc_id", "text"), f"{folder}/{k}" if folder else None)
         fixes = registry.run(model, settings, context).where("fix IS NOT NULL")
-        edits = fixes.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", F.col("fix.replacement").alias("replacement"))).alias("edits"))
-        made = now.join(edits, "doc_id", "left").withColumn("r", spliced(F.col("text"), F.col("edits")))
-        after = cut(made.select("doc_id", F.when(F.col("edits").isNull(), F.col("text")).otherwise(F.col("r.text")).alias("text"), (F.col("applied") + F.when(F.col("edits").isNull(), 0).otherwise(F.col("r.applied"))).alias("applied"), (F.col("r.applied") > 0).alias("changed")))
-        now = after.select("doc_id", "text", "applied")
-        if after.where("changed").isEmpty():
+        edits = cut(fixes.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", F.col("fix.replacement").alias("replacement"))).alias("edits")))
+        if edits.isEmpty():
             break
+        made = now.join(edits.repartition(n, "doc_id"), "doc_id", "left").withColumn("r", spliced(F.col("text"), F.col("edits")))
+        now = cut(made.select("doc_id", F.when(F.col("edits").isNull(), F.col("text")).otherwise(F.col("r.text")).alias("text"), (F.col("applied") + F.when(F.col("edits").isNull(), 0).otherwise(F.col("r.applied"))).alias("applied")))
     return now
 
 

@@ -42,6 +42,10 @@ class Context:
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     options: dict[str, dict[str, Any]] = field(default_factory=dict)
+    on: frozenset[str] | None = None  # rules that aren't off in this run; None: all
+
+    def wants(self, rule: str) -> bool:
+        return self.on is None or rule in self.on
 
     def option(self, rule: str, name: str, default: Any) -> Any:
         return self.options.get(rule, {}).get(name, default)
@@ -52,15 +56,17 @@ Builder = Callable[[Model, Context], DataFrame]
 
 class Registry:
     """Rules by name, and the builders of their groups. A group's builder makes the findings of all its rules in one
-    pass, as rules that look at the same table share its scan."""
+    pass, as rules that look at the same table share its scan. A group may state of which kinds the nodes are that it looks
+    at: no others are made then, if all groups of a run do so."""
 
     def __init__(self) -> None:
         self.rules: dict[str, Rule] = {}
         self.builders: dict[str, Builder] = {}
+        self.kinds: dict[str, tuple[str, ...] | None] = {}
 
-    def group(self, name: str, *rules: tuple[str, str, str]) -> Callable[[Builder], Builder]:
+    def group(self, name: str, *rules: tuple[str, str, str], kinds: tuple[str, ...] | None = None) -> Callable[[Builder], Builder]:
         def add(builder: Builder) -> Builder:
-            self.builders[name] = builder
+            self.builders[name], self.kinds[name] = builder, kinds
             for rule, level, description in rules:
                 self.add(Rule(rule, level, description, name))
             return builder
@@ -118,6 +124,10 @@ class Registry:
         groups = sorted({self.rules[name].group for name in levels})
         if not groups:
             return model.documents.sparkSession.createDataFrame([], FINDING)
+        context.on = frozenset(levels)
+        kinds = [self.kinds.get(g) for g in groups]
+        if None not in kinds:
+            model = model.narrowed(k for ks in kinds for k in ks)
         found = reduce(DataFrame.unionByName, [self.builders[g](model, context) for g in groups])
         severity = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(levels.items()) for x in pair]), F.col("rule"))
         found = found.where(F.col("rule").isin(*levels)).withColumn("severity", severity)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,10 +59,24 @@ def not_within(points: DataFrame, ranges: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     """Tables over one set of documents (doc_id, text). The reader runs once if ``stored`` names a folder to keep
-    nodes and lines in (Parquet, any file system), else once for each plan that uses them."""
+    nodes and lines in (Parquet, any file system), else once for each plan that uses them. kinds: of which kinds nodes are
+    made, all if None; other kinds are an error then."""
 
     documents: DataFrame
     stored: str | None = None
+    kinds: frozenset[str] | None = None
+    whole: Model | None = None
+    _narrowed: dict[frozenset[str], Model] = field(default_factory=dict, repr=False)
+
+    def narrowed(self, kinds: Iterable[str]) -> Model:
+        """A model of the same documents with nodes of some kinds only; this one if its nodes are made already."""
+        wanted = frozenset(kinds)
+        if self.kinds is not None or "_made" in self.__dict__:
+            return self
+        if wanted not in self._narrowed:
+            folder = f"{self.stored}/{len(self._narrowed)}" if self.stored else None
+            self._narrowed[wanted] = Model(self.documents, folder, wanted, self)
+        return self._narrowed[wanted]
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         if self.stored is None:
@@ -72,16 +87,24 @@ class Model:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self._kept("lines", lines(self.documents))
+        return self.whole.lines if self.whole else self._kept("lines", lines(self.documents))
 
     @cached_property
-    def nodes(self) -> DataFrame:
-        found = reader.nodes(self.documents)
+    def _made(self) -> DataFrame:
+        found = reader.nodes(self.documents, self.kinds)
         # sorted by kind without a shuffle: each rule's scan then skips the pages of other kinds
         return self._kept("nodes", found.sortWithinPartitions("kind") if self.stored else found)
 
+    @property
+    def nodes(self) -> DataFrame:
+        if self.kinds is not None:
+            raise ValueError(f"only nodes of {sorted(self.kinds)} are made")
+        return self._made
+
     def of(self, *kinds: str) -> DataFrame:
-        return self.nodes.where(F.col("kind").isin(*kinds))
+        if self.kinds is not None and not self.kinds.issuperset(kinds):
+            raise ValueError(f"nodes of {sorted(set(kinds) - self.kinds)} are not made")
+        return self._made.where(F.col("kind").isin(*kinds))
 
     @cached_property
     def headings(self) -> DataFrame:
@@ -115,7 +138,7 @@ class Model:
 
     @cached_property
     def identifiers(self) -> DataFrame:
-        return self.nodes.where("ident IS NOT NULL").where(F.col("kind").isin("heading", "div", "code_block", "span", "link", "image")).select("doc_id", "ident", "kind", "start", "end")
+        return self.of("heading", "div", "code_block", "span", "link", "image").where("ident IS NOT NULL").select("doc_id", "ident", "kind", "start", "end")
 
     @cached_property
     def protected(self) -> DataFrame:

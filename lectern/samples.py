@@ -92,7 +92,7 @@ def prose_of(text: Column) -> Column:
 
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, text: the made-up Markdown of ``documents``, with all of their words: each line is a paragraph."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"), "doc_id")
     src = docs.select("doc_id", "lang", "source", prose_of(F.col("text")).alias("para"))
     return src.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".md")).alias("path"), F.expr(markdown_sql()).alias("text"))
 

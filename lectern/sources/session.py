@@ -30,12 +30,19 @@ def cut(df: DataFrame) -> DataFrame:
 SMALL = 8 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table dealt out to all cores, in more tasks than those if it is larger, so that a task's part doesn't grow with the
-    table: one file of one row group is one task, however many cores there are, and a task reads up to 128 MB of files,
-    which what is made of its rows exceeds many times. A table whose size Spark doesn't know stays as it is."""
+def parts(df: DataFrame) -> int | None:
+    """In how many tasks ``spread`` deals out a table; None if Spark doesn't know its size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # Spark's mark for an unknown size
-        return df
-    return df.repartition(max(cores, -(-size // SMALL)))
+        return None
+    return max(1, -(-size // (SMALL * cores))) * cores  # as many for each core
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """A table dealt out to all cores, in more tasks than those if it is larger, so that a task's part doesn't grow with the
+    table: one file of one row group is one task, however many cores there are, and a task reads up to 128 MB of files,
+    which what is made of its rows exceeds many times. A table whose size Spark doesn't know stays as it is. key: a column
+    of many values by which rows are dealt out, so that later steps by it needn't do so again."""
+    n = parts(df)
+    return df if not n else df.repartition(n, key) if key else df.repartition(n)

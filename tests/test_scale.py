@@ -6,7 +6,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import arrow, text
+from lectern.lint import fix, prose, rules  # noqa: F401
+from lectern.lint.registry import REGISTRY
 from lectern.plans import formatter, gate, reader
+from lectern.plans.model import Model
 from lectern.sources import session
 
 
@@ -76,3 +79,52 @@ def test_tags_that_touch(spark):
     cases = ["{% a %}{% /a %}{%b%}", "%}{%}{%}{%", "#}{#}{#", "}}}{{{", "--><!--><!-- x", "%}{#", "a -->b", "}} {{", "é%}{%"]
     rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", text.spaced_tags(F.col("t")).alias("s")).collect()
     assert {r.t: r.s for r in rows} == {c: re.sub(ends, " ", c) for c in cases}
+
+
+
+MIXED = "---\na: b\n---\n\n# One *x*\n\nPlain words here.\n\n- one `c`\n* two http://e.org/a,\n\nA word\n\n: meant\n\nTitle\n===\n\n```\nhttp://in.code\n```\n\nx. item\r\n\r\nsee <b> and $http://in.math$ (http://e.org/b)\n"
+
+
+def test_a_run_makes_only_the_nodes_that_its_rules_look_at(spark, tmp_path):
+    docs = spark.createDataFrame([(1, MIXED)], "doc_id long, text string")
+    model = Model(docs, f"file:{tmp_path}/m")
+    on = {r: "off" for r in REGISTRY.rules} | {"style/unordered-list-marker": "warning", "style/bare-url": "warning"}
+    got = REGISTRY.run(model, on).select("rule", "start").collect()
+    assert sorted((r.rule, r.start) for r in got) == [("style/bare-url", MIXED.index("http://e.org/a")), ("style/bare-url", MIXED.index("http://e.org/b")), ("style/unordered-list-marker", MIXED.index("* two"))]
+    kept = [p for p in tmp_path.rglob("*") if p.is_dir()]
+    assert not [p for p in kept if p.name == "lines"]
+    kinds = {r.kind for p in kept if p.name == "nodes" for r in spark.read.parquet(f"file:{p}").select("kind").collect()}
+    assert kinds == {"bullet_list", "item", "code_block", "frontmatter", "code", "math"}
+    part = Model(docs).narrowed(["heading"])
+    assert [r.text for r in part.headings.orderBy("start").collect()] == ["One x", "Title"]
+    for wrong in (lambda: part.of("para"), lambda: part.nodes):
+        try:
+            wrong()
+            raise AssertionError("nodes that aren't made")
+        except ValueError:
+            pass
+
+
+def test_some_kinds_of_nodes_are_as_among_all():
+    for kinds in (("heading",), ("item", "bullet_list"), ("code", "math", "code_block"), ("text",), ("para", "cite")):
+        both = [[{k: v for k, v in r.items() if k not in ("node_id", "parent_id")} for r in found if r["kind"] in kinds] for found in (reader.rows(MIXED), reader.rows(MIXED, frozenset(kinds)))]
+        assert both[0] == both[1]
+
+
+def test_marks_of_a_text_are_those_of_its_lines():
+    at, by_line = 0, []
+    for line in MIXED.split("\n"):
+        by_line += [m | {"start": at + m["start"], "end": at + m["end"]} for m in prose.line_marks(line.removesuffix("\r"))]
+        at += len(line) + 1
+    assert prose.marks(MIXED) == by_line and len(by_line) == 5
+
+
+def test_texts_stay_where_they_are_while_they_are_fixed(spark, monkeypatch):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("- a\n* b\n\nSee http://e.org/"), "id").alias("text")).repartition(7, "doc_id")
+    seen, whole = [], session.cut
+    monkeypatch.setattr(session, "cut", lambda df: seen.append((df._jdf.queryExecution().executedPlan().toString(), whole(df))) or seen[-1][1])
+    on = {r: "off" for r in REGISTRY.rules} | {"style/unordered-list-marker": "warning", "style/bare-url": "warning"}
+    got = {r.doc_id: (r.text, r.applied) for r in fix.fix(docs, REGISTRY, on).collect()}
+    assert got == {k: (f"- a\n- b\n\nSee <http://e.org/{k}>", 2) for k in range(200)}
+    texts = [plan for plan, df in seen if "text" in df.columns]
+    assert len(texts) == 2 and texts[1].count("Exchange hashpartitioning") <= 1
