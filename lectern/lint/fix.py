@@ -32,7 +32,7 @@ def spliced(text: Column, edits: Column) -> Column:
 def fix(documents: DataFrame, registry: Registry, settings: dict[str, Any] | None = None, context: Context | None = None, folder: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """``documents`` (doc_id, text) after all fixes, with how many were applied. A round fixes all documents at once;
     it ends when none has a fix left. folder: where the rounds' models are kept. Texts that are dealt out by
-    document stay where they are: only edits move."""
+    document stay where they are, unless Spark's shuffle partitions are more than their parts."""
     from lectern.sources.session import cut
 
     now = cut(documents.select("doc_id", "text", F.lit(0).alias("applied")))
