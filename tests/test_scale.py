@@ -105,6 +105,24 @@ def test_a_run_makes_only_the_nodes_that_its_rules_look_at(spark, tmp_path):
             pass
 
 
+#: Queries, and of which kinds the nodes are that they may make and sort.
+OWN_KINDS = (
+    ("frontmatter_findings", ("frontmatter",)),
+)
+
+
+def test_findings_make_nodes_of_their_own_kinds_in_parts_of_a_size(spark, monkeypatch):
+    from lectern.queries import QUERIES
+
+    seen, whole = [], reader.nodes
+    monkeypatch.setattr(reader, "nodes", lambda docs, kinds=None: seen.append((kinds, docs.rdd.getNumPartitions())) or whole(docs, kinds))
+    monkeypatch.setattr(session, "SMALL", 10_000)
+    for name, kinds in OWN_KINDS:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        made, parts = seen.pop()
+        assert made == frozenset(kinds) and parts > spark.sparkContext.defaultParallelism and not seen
+
+
 def test_some_kinds_of_nodes_are_as_among_all():
     for kinds in (("heading",), ("item", "bullet_list"), ("code", "math", "code_block"), ("text",), ("para", "cite")):
         both = [[{k: v for k, v in r.items() if k not in ("node_id", "parent_id")} for r in found if r["kind"] in kinds] for found in (reader.rows(MIXED), reader.rows(MIXED, frozenset(kinds)))]
