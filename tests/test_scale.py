@@ -108,6 +108,7 @@ def test_a_run_makes_only_the_nodes_that_its_rules_look_at(spark, tmp_path):
 #: Queries, and of which kinds the nodes are that they may make and sort.
 OWN_KINDS = (
     ("frontmatter_findings", ("frontmatter",)),
+    ("heading_findings", ("heading",)),
 )
 
 
