@@ -109,6 +109,7 @@ def test_a_run_makes_only_the_nodes_that_its_rules_look_at(spark, tmp_path):
 OWN_KINDS = (
     ("frontmatter_findings", ("frontmatter",)),
     ("heading_findings", ("heading",)),
+    ("lint_report", ("link", "image")),
 )
 
 
