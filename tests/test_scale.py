@@ -110,6 +110,7 @@ OWN_KINDS = (
     ("frontmatter_findings", ("frontmatter",)),
     ("heading_findings", ("heading",)),
     ("lint_report", ("link", "image")),
+    ("list_marker_findings", ("item", "bullet_list", "code_block")),
 )
 
 
